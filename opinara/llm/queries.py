@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lang_id, token_counts, url_filters
+from . import lang_id, quality, token_counts, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -60,3 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held)
     model = lang_id.learn(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
     return lang_id.identify(docs.select("doc_id", "text", "held_out"), model, keep=("held_out",))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.grade(docs, model)
