@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lang_id, quality, token_counts, url_filters
+from . import lang_id, pieces, quality, token_counts, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
     return quality.grade(docs, model)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(piece_model()))
