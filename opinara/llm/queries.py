@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lang_id, pieces, quality, token_counts, url_filters
+from . import embed_dedup, lang_id, lsh_forest, pieces, quality, token_counts, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(piece_model()))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.link_documents(table(spark, sf_dir, "documents"))
