@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_dedup, lang_id, lsh_forest, pieces, quality, token_counts, url_filters
+from . import embed_dedup, lang_id, lsh_forest, pieces, quality, suffix_dedup, token_counts, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -82,3 +82,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
