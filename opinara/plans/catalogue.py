@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def query(sql: str | None = None):
     """Register a query under its function's name, with the oracle's SQL."""
 
@@ -24,11 +20,5 @@ def query(sql: str | None = None):
     return add
 
 
-@query(
-    """
-    SELECT l_partkey AS product, CAST(count(*) AS BIGINT) AS n_rows
-    FROM lineitem GROUP BY 1
-    """
-)
-def product_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("product")).agg(F.count("*").alias("n_rows"))
+for _part in ("scores", "accounts", "store", "labels", "texts", "shelf"):
+    importlib.import_module(f"opinara.plans.{_part}")
