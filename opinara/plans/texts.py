@@ -1 +1,152 @@
-"""Queries."""
+"""Queries on text: parsing, predicates, similarity, names, categories."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import sentiment as SE, text as TX
+from ..operators import similar as SM
+from .catalogue import query
+from .standins import table
+
+DUP_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, regexp_replace(lower(text), '[\s\pP]', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, lang, source, string_split(t, '') AS c FROM d WHERE length(t) > 3),
+g AS (SELECT doc_id, lang, source, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS s FROM c),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) + len(b.s) AS n FROM g a JOIN g b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id
+      AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s))
+"""
+
+
+def _templates(spark, sf_dir):
+    t = TX.bare(F.lower("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", t.alias("t")).where(F.length("t") > 3).select("doc_id", "lang", "source", TX.bigrams(F.col("t")).alias("s"))
+    return rows, SM.similar_pairs(rows, ["lang", "source"], "doc_id", "s", 0.8)
+
+
+@query(DUP_SQL + "SELECT a, b, round(k / (n - k), 6) AS similarity FROM p WHERE k >= 0.8 * (n - k) - 1e-9")
+def template_pairs(spark, sf_dir):
+    return _templates(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+@query(DUP_SQL + """, h AS (SELECT DISTINCT unnest([a, b]) AS doc_id FROM p WHERE k >= 0.8 * (n - k) - 1e-9)
+SELECT lang, source, CAST(count(*) AS BIGINT) AS n, CAST(count(h.doc_id) AS BIGINT) AS flagged, CASE WHEN count(*) >= 3 THEN round(count(h.doc_id) / count(*), 4) ELSE 0 END AS ratio FROM g LEFT JOIN h ON g.doc_id = h.doc_id GROUP BY 1, 2""")
+def template_ratio(spark, sf_dir):
+    rows, pairs = _templates(spark, sf_dir)
+    return SM.flagged_ratio(rows, pairs, ["lang", "source"], "doc_id")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_brand, p_name FROM part), g AS (SELECT p_brand, p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(p_name, i, 2))) AS s FROM n)
+SELECT a.p_name AS a, b.p_name AS b, CAST(count(*) AS BIGINT) AS n_brands, min(round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6)) AS similarity
+FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_name < b.p_name AND len(list_intersect(a.s, b.s)) >= 0.5 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) GROUP BY 1, 2
+""")
+def bigram_jaccard(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct().withColumns({"s": TX.bigrams(F.col("p_name")), "id": F.struct("p_brand", "p_name")})
+    pairs = SM.similar_pairs(names, ["p_brand"], "id", "s", 0.5)
+    return pairs.groupBy(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b")).agg(F.count("*").alias("n_brands"), F.min(F.round("similarity", 6)).alias("similarity"))
+
+
+@query("""
+WITH c AS (SELECT p_brand AS brand, p_name AS name, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT brand, name, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC, length(name) DESC, name) = 1
+""")
+def representative_name(spark, sf_dir):
+    c = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    best = F.struct(-F.col("n"), -F.length("name"), F.col("name"))
+    return c.groupBy("brand").agg(F.min_by("name", best).alias("name"), F.max("n").alias("n"))
+
+
+CATEGORY_WORDS = [("fastener", "bolt", True), ("fastener", "ring", False), ("machine", "gear", True), ("machine", "gizmo", False), ("colour", "red", False), ("colour", "blue", False), ("size", "small", False)]
+
+
+@query("""
+WITH k(category, word, strong, i) AS (VALUES ('fastener', 'bolt', true, 0), ('fastener', 'ring', false, 0), ('machine', 'gear', true, 1), ('machine', 'gizmo', false, 1), ('colour', 'red', false, 2), ('colour', 'blue', false, 2), ('size', 'small', false, 3)),
+n AS (SELECT DISTINCT p_name FROM part),
+h AS (SELECT p_name, category, i, count(*) FILTER (strong) AS s, coalesce(max(length(word)) FILTER (strong), 0) AS ls, count(*) FILTER (NOT strong) AS w, coalesce(max(length(word)) FILTER (NOT strong), 0) AS lw FROM n JOIN k ON contains(p_name, word) GROUP BY 1, 2, 3),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY s DESC, ls DESC, w DESC, lw DESC, i) = 1)
+SELECT p_partkey, coalesce(category, 'other') AS category FROM part LEFT JOIN b USING (p_name)
+""")
+def keyword_category(spark, sf_dir):
+    from ..operators.shelf import categorise
+
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return categorise(names, "p_name", CATEGORY_WORDS, "other").select("p_partkey", "category")
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, 'que|the') AND NOT regexp_matches(text, 'ment|tion') AS flagged FROM conversations")
+def predicate_chain(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (t.rlike("que|the") & ~t.rlike("ment|tion")).alias("flagged"))
+
+
+@query("""
+WITH c AS (SELECT source AS product, text <> '' AS counted, text LIKE '%License%' AND text NOT LIKE '%password%' AS shill FROM documents)
+SELECT product, CAST(count(*) FILTER (counted) AS BIGINT) AS n_comments, round(CASE WHEN count(*) FILTER (counted) >= 3 THEN count(*) FILTER (counted AND shill) / count(*) FILTER (counted) ELSE 0 END, 6) AS shill_ratio,
+  CASE WHEN count(*) FILTER (counted) >= 3 THEN count(*) FILTER (counted AND shill) / count(*) FILTER (counted) ELSE 0 END >= 0.25 AS shill_flag FROM c GROUP BY 1
+""")
+def shill_stats(spark, sf_dir):
+    from ..operators.publish import shill_stats as stats
+
+    t = F.col("text")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("product"), (t != "").alias("counted"), (t.contains("License") & ~t.contains("password")).alias("shill"))
+    return stats(rows).withColumn("shill_ratio", F.round("shill_ratio", 6))
+
+
+@query("SELECT page_id, url, regexp_matches(url, '^https://([^/?#]*\\.)?example\\.(com|net)/en/') AS allowed FROM pages")
+def url_allowlist(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", TX.allowed_url(F.col("url"), "https", ["example.com", "example.net"], "/en/").alias("allowed"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", TX.html_title(F.col("html")).alias("title"))
+
+
+@query("""
+SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS BIGINT) AS n_links, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))), ' ') AS links FROM pages
+""")
+def html_links(spark, sf_dir):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("n_paragraphs"), F.size(links).cast("long").alias("n_links"), F.array_join(F.array_sort(F.array_distinct(links)), " ").alias("links"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS BIGINT) AS n_fields FROM events")
+def json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.size(F.json_object_keys("props")), F.lit(0)).cast("long").alias("n_fields"))
+
+
+@query("""
+SELECT p_partkey, '【name】' || p_name AS form, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part
+""")
+def field_map(spark, sf_dir):
+    form = F.concat(F.lit("【name】"), "p_name", F.lit("\n【 size】:9\n【size】："), F.col("p_size").cast("string"), F.lit(" \n"))
+    m = TX.field_map(form)
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("【name】"), "p_name").alias("form"), m["name"].alias("name"), m["size"].alias("size"))
+
+
+@query("SELECT page_id, CASE WHEN b <> '' THEN b ELSE 'local-' || substr(sha1(url), 1, 12) END AS post_id FROM (SELECT page_id, url, regexp_extract(url, '/([^/?#]+?)(?:\\.html?)?(?:[?#].*)?$', 1) AS b FROM pages)")
+def post_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", TX.post_id(F.col("url")).alias("post_id"))
+
+
+@query("""
+SELECT * FROM (VALUES ('爆', 100), ('XX', -10), ('X3', -3), ('', 0), ('12', 12), ('-4', -4), ('a', NULL)) t(raw, push_count)
+""")
+def push_counts(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("爆", "XX", "X3", "", "12", "-4", "a")], "raw string")
+    return rows.select("raw", TX.push_count(F.col("raw")).alias("push_count"))
+
+
+@query("SELECT * FROM (VALUES ('85', 85.0::DOUBLE), ('8/10', 80.0), ('4/5', 80.0), ('★★★★', 80.0), ('8分', 80.0), ('250', 100.0), ('無', NULL)) t(raw, author_score)")
+def author_scores(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("85", "8/10", "4/5", "★★★★", "8分", "250", "無")], "raw string")
+    return rows.select("raw", TX.author_score(F.col("raw")).alias("author_score"))
+
+
+@query("""
+SELECT * FROM (VALUES ('推', '超好吃', 1.0::DOUBLE), ('→', '不好吃', -0.4), ('噓', '難吃又貴', -0.9), ('→', '餅乾', 0.0), ('推', '', 0.6), ('→', '有點鹹', -0.2)) t(tag, text, sentiment)
+""")
+def lexicon_sentiment(spark, sf_dir):
+    rows = spark.createDataFrame([("推", "超好吃"), ("→", "不好吃"), ("噓", "難吃又貴"), ("→", "餅乾"), ("推", ""), ("→", "有點鹹")], "tag string, text string")
+    return rows.select("tag", "text", SE.comment_score(F.col("tag"), F.col("text")).alias("sentiment"))
