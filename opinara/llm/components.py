@@ -28,7 +28,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of an edge (u, v), loops left out."""
+    """node, component (the smallest node reachable) for the nodes of edges (u, v), but for the smallest ones themselves, which name their components."""
     edges = checkpoint(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):

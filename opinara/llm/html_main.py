@@ -321,7 +321,9 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
         tag = r.choice(["article", "article", "main", "div", "div", "section"])
         name = f' class="{r.choice(CONTENT_NAMES)}"' if tag in ("div", "section") or r.random() < 0.3 else ""
         inner = f"<h1>{words(2, 10)}</h1>" * (r.random() < 0.8) + prose(r.randint(1, 4)) + some(["ad", "share", "aside"], 0.15) + prose(r.randint(0, 6)) + some(["share", "form", "comments", "notice"], 0.12)
-        if r.random() < 0.25:  # a page of many short lines
+        if r.random() < 0.15:  # hardly any text
+            inner = f"<h1>{words(1, 9)}</h1>" * (r.random() < 0.5) + f"<p>{words(1, 20)}</p>"
+        elif r.random() < 0.25:  # a page of many short lines
             inner += "".join(f"<p>{words(1, 5)}</p>" for _ in range(r.randint(8, 40)))
         body = f'<{tag}{name} data-main="1">{inner}</{tag}>'
         if r.random() < 0.4:

@@ -80,8 +80,8 @@ class OrdinalModel:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs: int = 8, telling: float = 4.0, least_shift: float = 0.5, steps: int = 200, rate: float = 0.2, l2: float = 1e-4) -> OrdinalModel:
-    """Buckets of at least ``min_docs`` training documents and of a mean
-    grade ``telling`` standard errors and ``least_shift`` standard deviations from the overall mean get
+    """Buckets of at least ``min_docs`` training documents whose
+    share above some threshold is ``telling`` standard errors and ``least_shift`` standard deviations from the overall share get
     a weight, so that neither chance nor a text's length decides. Full-batch Adam on the mean log-loss; thresholds stay ordered as a first value plus positive steps."""
     prior = np.array([((grades > k).sum() + 0.5) / (len(grades) + 1) for k in range(n_grades - 1)])
     theta = -np.log(prior / (1 - prior))
@@ -90,10 +90,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs: int
     flat = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n = np.bincount(flat, minlength=BUCKETS)
-    total = np.bincount(flat, weights=grades[doc], minlength=BUCKETS)
     common = n >= min(min_docs, max(1, len(rows) // 20))
-    shift = np.abs(total - n * grades.mean()) / max(grades.std(), 1e-9)  # in standard deviations, times n
-    common &= (shift >= telling * np.sqrt(n)) & (shift >= least_shift * n)
+    apart = np.zeros(BUCKETS, bool)
+    for k in range(n_grades - 1):
+        over = (grades > k).astype(float)
+        shift = np.abs(np.bincount(flat, weights=over[doc], minlength=BUCKETS) - n * over.mean()) / max(over.std(), 1e-9)  # in standard deviations, times n
+        apart |= (shift >= telling * np.sqrt(n)) & (shift >= least_shift * n)
+    common &= apart
     doc, flat = doc[common[flat]], flat[common[flat]]
     used, at = np.unique(flat, return_inverse=True)
     w = np.zeros(len(used))
