@@ -9,8 +9,8 @@ candidates are as deep as it allows, and where it is sparse they are shallow.
 Rounds: every document proposes, of those outside its component, its best neighbour and the first document of
 a region, judged by the whole signatures; pairs are confirmed on the full sets, and links give
 components. After ``ROUNDS`` rounds a last one compares all pairs across components in
-the regions that still hold several, block by block, so no link between components is lost to
-the choice of neighbours. At a similarity of 0.75 a pair shares no region with probability
+the regions that still hold several, block by block and on the full sets, and sends on only the links, so none between
+components is lost to the choice of neighbours. At a similarity of 0.75 a pair shares no region with probability
 (1 - 0.75**BASE)**TREES, about 2e-6.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are kept. Repeated rows
@@ -101,18 +101,24 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["id", "n_shingles", "digest", "signature"])
 
 
+def regions(by_tree: np.ndarray) -> np.ndarray:
+    """(documents, TREES): a hash of each tree's first values."""
+    region = np.zeros(by_tree.shape[:2], np.uint64)
+    for d in range(BASE):
+        region = (region ^ by_tree[:, :, d]) * np.uint64(0x9E3779B97F4A7C15)
+        region ^= region >> np.uint64(31)
+    return region
+
+
 def _plant(batches):
-    """Per document and tree: the region (a hash of the tree's first values) and the rest of its label."""
+    """Per document and tree: the region and the rest of its label."""
     for batch in batches:
         v = np.array([np.frombuffer(x.as_py(), "<u4") for x in batch.column("signature")], np.uint32).reshape(-1, VALUES)
         n = len(v)
         if not n:
             continue
         by_tree = v.reshape(n, TREES, DEPTH)
-        region = np.zeros((n, TREES), np.uint64)
-        for d in range(BASE):
-            region = (region ^ by_tree[:, :, d]) * np.uint64(0x9E3779B97F4A7C15)
-            region ^= region >> np.uint64(31)
+        region = regions(by_tree)
         label = np.zeros((n, TREES), np.uint64)
         for d in range(BASE, DEPTH):
             label = (label << np.uint64(32)) | by_tree[:, :, d]
@@ -124,9 +130,11 @@ def _plant(batches):
 
 
 def _short(batches):
-    """The signatures with a byte per value, enough to estimate similarity."""
+    """The signatures with a byte per value, enough to estimate similarity, then four bytes of each tree's region."""
     for batch in batches:
-        v = [np.frombuffer(x.as_py(), "<u4").astype(np.uint8).tobytes() for x in batch.column("signature")]
+        v = np.array([np.frombuffer(x.as_py(), "<u4") for x in batch.column("signature")], np.uint32).reshape(-1, VALUES)
+        r = regions(v.reshape(len(v), TREES, DEPTH)).astype("<u4")
+        v = [a.astype(np.uint8).tobytes() + b.tobytes() for a, b in zip(v, r, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(v, pa.binary())], ["rep", "short"])
 
 
@@ -144,7 +152,7 @@ def _neighbours(floor: float):
             out = {"u": [], "v": [], "alike": [], "first": []}
             rows = zip(*[batch.column(k).to_pylist() for k in ("t", "region", "rep", "component", "short")], strict=True)
             for t, region, rep, component, short in rows:
-                row = (t, region, rep, component, np.frombuffer(short, np.uint8))
+                row = (t, region, rep, component, np.frombuffer(short, np.uint8, VALUES))
                 if head is None or head[:2] != row[:2]:
                     head, last, other = row, row, None
                     continue
@@ -165,36 +173,53 @@ def _neighbours(floor: float):
     return run
 
 
-def _across(floor: float):
-    """Over the rows of block pairs, sorted by key: all pairs of different components that look alike."""
+def _across(floor: float, percent: int):
+    """Over the rows of block pairs, sorted by key: links between different components, each pair judged on its full sets in the first tree that it shares."""
+    known = WordHashes()
 
-    def pairs(rows):
+    def links(rows):
         rep = np.array([r[0] for r in rows])
         component = np.array([r[1] for r in rows])
-        short = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
-        side = np.array([r[3] for r in rows])
+        short = np.stack([np.frombuffer(r[2], np.uint8, VALUES) for r in rows])
+        region = np.stack([np.frombuffer(r[2], "<u4", TREES, VALUES) for r in rows])
+        side, t = np.array([r[3] for r in rows]), rows[0][4]
+        sets: dict[int, np.ndarray] = {}
+
+        def full(i):
+            if i not in sets:
+                s = shingles(rows[i][5], known)
+                sets[i] = s if digest(s) == rows[i][6] else None  # None: another row of a repeated id
+            return sets[i]
+
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         for i in left:
             j = right[component[right] != component[i]]
             if side[0] == 2:
                 j = j[rep[j] > rep[i]]
-            if len(j):
-                for k in j[_alike(short[j], short[i]) >= floor]:
+            j = j[_alike(short[j], short[i]) >= floor]
+            if t and len(j):
+                j = j[~(region[j, :t] == region[i, :t]).any(axis=1)]
+            for k in j.tolist():
+                x, y = full(int(i)), full(k)
+                if x is None or y is None or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     yield max(int(rep[i]), int(rep[k])), min(int(rep[i]), int(rep[k]))
 
     def run(batches):
         key, rows, found = None, [], set()
         for batch in batches:
-            for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "rep", "component", "short", "side")], strict=True):
+            for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "rep", "component", "short", "side", "t", "text", "digest")], strict=True):
                 if k != key and rows:
-                    found.update(pairs(rows))
+                    found.update(links(rows))
                     rows = []
                 key = k
                 rows.append(row)
             yield _pairs(found)
             found = set()
         if rows:
-            found.update(pairs(rows))
+            found.update(links(rows))
         yield _pairs(found)
 
     return run
@@ -238,13 +263,12 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     short = checkpoint(chosen.select("rep", "signature").mapInArrow(_short, "rep long, short binary"))
     bodies = checkpoint(texts.join(chosen.select("rep", "digest"), F.col("id") == F.col("rep")).select("rep", "digest", "text"))
 
-    edges = tried = None
-    joined = None
+    edges = joined = tried = None
     for step in range(ROUNDS + 1):
-        if joined is None:
-            now = rows.withColumn("component", F.col("rep"))
-        else:
+        now = rows.withColumn("component", F.col("rep"))
+        if joined is not None:
             now = rows.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "t", "region", "label", F.coalesce("component", "rep").alias("component"))
+        if joined is not None or step == ROUNDS:
             mixed = now.groupBy("t", "region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b")
             now = now.join(mixed.select("t", "region", "size"), ["t", "region"])
         now = now.join(short, "rep")
@@ -253,29 +277,28 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
             near = ordered.mapInArrow(_neighbours(floor), "u long, v long, alike double, first boolean")
             best = near.groupBy("u").agg(F.max_by("v", F.struct("alike", -F.col("v"))).alias("x"), F.min(F.when(F.col("first"), F.col("v"))).alias("y"))
             pairs = best.select("u", F.explode(F.array("x", "y")).alias("v")).where("v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            first = bodies.select(F.col("rep").alias("u"), F.col("digest").alias("digest_u"), F.col("text").alias("text_u"))
+            second = bodies.select(F.col("rep").alias("v"), F.col("digest").alias("digest_v"), F.col("text").alias("text_v"))
+            judged = checkpoint(pairs.join(first, "u").join(second, "v").mapInArrow(_confirm(percent), "u long, v long, linked boolean"))
+            tried = judged.select("u", "v") if tried is None else tried.unionByName(judged.select("u", "v"))
+            links = judged.where("linked").select("u", "v")
         else:
             blocks = F.ceil(F.col("size") / BLOCK).cast("int")
             dealt = (
-                now.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+                now.join(bodies, "rep")
+                .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
                 .select(
-                    F.xxhash64("t", "region", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "component", "short",
+                    F.xxhash64("t", "region", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "component", "short", "t", "text", "digest",
                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
                 )
             )
-            pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_across(floor), "u long, v long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        first = bodies.select(F.col("rep").alias("u"), F.col("digest").alias("digest_u"), F.col("text").alias("text_u"))
-        second = bodies.select(F.col("rep").alias("v"), F.col("digest").alias("digest_v"), F.col("text").alias("text_v"))
-        judged = checkpoint(pairs.join(first, "u").join(second, "v").mapInArrow(_confirm(percent), "u long, v long, linked boolean"))
-        links = judged.where("linked").select("u", "v")
-        tried = judged.select("u", "v") if tried is None else tried.unionByName(judged.select("u", "v"))
-        edges = links if edges is None else edges.unionByName(links)
-        if not links.take(1) and step:
-            if step == ROUNDS:
-                break
+            links = checkpoint(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_across(floor, percent), "u long, v long"))
+        if not links.take(1):
             continue
+        edges = links if edges is None else edges.unionByName(links)
         joined = components(edges)
     by_set = folded.select("digest", "rep")
     if joined is not None:

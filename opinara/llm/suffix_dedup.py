@@ -69,10 +69,46 @@ def selected(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+# What goes back to documents travels packed, by buckets of ids
+
+
+def pack_docs(ids, payloads: list[bytes]) -> bytes:
+    return struct.pack("<I", len(ids)) + np.asarray(ids, "<i8").tobytes() + np.array([len(p) for p in payloads], "<u4").tobytes() + b"".join(payloads)
+
+
+def unpack_docs(blob: bytes):
+    (n,) = struct.unpack_from("<I", blob)
+    at = 4 + 12 * n
+    for i, size in zip(np.frombuffer(blob, "<i8", n, 4).tolist(), np.frombuffer(blob, "<u4", n, 4 + 8 * n).tolist(), strict=True):
+        yield i, blob[at : at + size]
+        at += size
+
+
+def by_doc_bucket(ids, payloads: list[bytes], buckets: int) -> tuple[list[int], list[bytes]]:
+    """(bucket, pack) of payloads per document."""
+    held: dict[int, list] = {}
+    for i, p in zip(ids, payloads, strict=True):
+        held.setdefault(i % buckets, []).append((i, p))
+    return list(held), [pack_docs(*zip(*x, strict=True)) for x in held.values()]
+
+
+def _deal(batches):
+    """One row per document with all that was packed for it; a bucket's packs meet in one partition."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for blob in batch.column("blob"):
+            for i, p in unpack_docs(blob.as_py()):
+                held.setdefault(i, []).append(p)
+    ids = list(held)
+    for a in range(0, len(ids), 1000):
+        part = ids[a : a + 1000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([b"".join(held.pop(i)) for i in part], pa.binary())], ["at", "payload"])
+
+
 # 1. Which grams occur twice
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, doc_buckets: int):
     def run(batches):
         ids, grams, size = [], [], 0
 
@@ -82,15 +118,12 @@ def _ask(buckets: int):
             doc = np.repeat(np.arange(len(grams), dtype=np.uint32), counts)
             _, first, where, n = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
             twice = n[where] > 1
-            keys, blobs, kinds = [], [], []
-            for d in np.unique(doc[twice]):  # known at once: the answer goes straight to the document
-                keys.append(int(ids[d]))
-                blobs.append(np.unique(flat[twice & (doc == d)]).tobytes() if len(grams) < 2 else None)
-                kinds.append(1)
-            if len(keys) and blobs[0] is None:
+            keys, blobs = [], []
+            if twice.any():  # known at once: the answer goes straight to the documents
                 order = np.flatnonzero(twice)  # doc is sorted
-                cut = np.flatnonzero(np.diff(doc[order])) + 1
-                blobs = [np.unique(x).tobytes() for x in np.split(flat[order], cut)]
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(doc[order])) + 1])
+                keys, blobs = by_doc_bucket([int(ids[d]) for d in doc[order[starts]]], [np.unique(x).tobytes() for x in np.split(flat[order], starts[1:])], doc_buckets)
+            kinds = [1] * len(keys)
             asked = np.zeros(len(flat), bool)
             asked[first] = True  # one entry for each gram; of those known here, it only tells the others
             at = np.flatnonzero(asked)
@@ -122,36 +155,40 @@ def _ask(buckets: int):
     return run
 
 
-def _answer(batches):
+def _answer(doc_buckets: int):
     """All askers of a gram meet here; documents learn which of their grams occur elsewhere."""
-    docs, grams, known = [], [], []
-    for batch in batches:
-        passed = {"id": [], "grams": []}
-        for key, kind, blob in zip(*[batch.column(k).to_pylist() for k in ("key", "kind", "blob")], strict=True):
-            if kind == 1:
-                passed["id"].append(key)
-                passed["grams"].append(blob)
-                continue
-            n_docs, n = struct.unpack_from("<II", blob)
-            at = 8
-            ids = np.frombuffer(blob, "<i8", n_docs, at)
-            at += 8 * n_docs
-            grams.append(np.frombuffer(blob, "<u8", n, at))
-            docs.append(ids[np.frombuffer(blob, "<u4", n, at + 8 * n)])
-            known.append(np.frombuffer(blob, np.uint8, n, at + 12 * n).astype(bool))
-        if passed["id"]:
-            yield pa.RecordBatch.from_arrays([pa.array(passed["id"], pa.int64()), pa.array(passed["grams"], pa.binary())], ["id", "grams"])
-    if grams:
-        g, d, k = np.concatenate(grams), np.concatenate(docs), np.concatenate(known)
-        _, where, n = np.unique(g, return_inverse=True, return_counts=True)
-        again = (n[where] > 1) & ~k
-        g, d = g[again], d[again]
-        by = np.argsort(d, kind="stable")
-        g, d = g[by], d[by]
-        if len(d):
-            cut = np.flatnonzero(np.diff(d)) + 1
-            starts = np.concatenate([[0], cut])
-            yield pa.RecordBatch.from_arrays([pa.array(d[starts], pa.int64()), pa.array([x.tobytes() for x in np.split(g, cut)], pa.binary())], ["id", "grams"])
+
+    def run(batches):
+        docs, grams, known = [], [], []
+        for batch in batches:
+            keys, passed = [], []
+            for key, kind, blob in zip(*[batch.column(k).to_pylist() for k in ("key", "kind", "blob")], strict=True):
+                if kind == 1:
+                    keys.append(key)
+                    passed.append(blob)
+                    continue
+                n_docs, n = struct.unpack_from("<II", blob)
+                at = 8
+                ids = np.frombuffer(blob, "<i8", n_docs, at)
+                at += 8 * n_docs
+                grams.append(np.frombuffer(blob, "<u8", n, at))
+                docs.append(ids[np.frombuffer(blob, "<u4", n, at + 8 * n)])
+                known.append(np.frombuffer(blob, np.uint8, n, at + 12 * n).astype(bool))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(passed, pa.binary())], ["key", "blob"])
+        if grams:
+            g, d, k = np.concatenate(grams), np.concatenate(docs), np.concatenate(known)
+            _, where, n = np.unique(g, return_inverse=True, return_counts=True)
+            again = (n[where] > 1) & ~k
+            g, d = g[again], d[again]
+            by = np.argsort(d, kind="stable")
+            g, d = g[by], d[by]
+            if len(d):
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+                keys, blobs = by_doc_bucket(d[starts].tolist(), [x.tobytes() for x in np.split(g, starts[1:])], doc_buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+    return run
 
 
 # 2. Sorted runs
@@ -207,7 +244,7 @@ def _cover_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[li
     return doc[np.concatenate([[0], cut])].tolist() if len(doc) else [], [x.tobytes() for x in np.split(both, cut)] if len(doc) else []
 
 
-def _runs(buckets: int):
+def _runs(buckets: int, doc_buckets: int):
     def run(batches):
         held, size = [], 0
 
@@ -220,7 +257,7 @@ def _runs(buckets: int):
             same[1:] = (rows[1:] == rows[:-1]).all(axis=1)
             after, before = rows[:, MATCH].astype(np.int64), rows[:, -1].astype(np.int64) - 1
             full = same & (after + before >= MATCH)
-            keys, blobs = _cover_rows(doc[full], (pos - before)[full], (pos + after)[full])
+            keys, blobs = by_doc_bucket(*_cover_rows(doc[full], (pos - before)[full], (pos + after)[full]), doc_buckets)
             kinds = [1] * len(keys)
             rows, doc, pos, gram = rows[~same], doc[~same], pos[~same], gram[~same]
             part = gram % np.uint64(buckets)
@@ -232,10 +269,12 @@ def _runs(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["key", "kind", "blob"])
 
         for batch in batches:
-            for i, text, blobs in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("grams"), strict=True):
+            for i, text, grams in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("payload"), strict=True):
+                if not grams.is_valid:  # nothing of it occurs twice
+                    continue
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), np.uint8)
                 at, g = selected(data)
-                good = np.isin(g, np.concatenate([np.frombuffer(b, "<u8") for b in blobs.as_py()]))
+                good = np.isin(g, np.frombuffer(grams.as_py(), "<u8"))
                 at, g = at[good], g[good]
                 for a in range(0, len(at), 50_000):
                     part = at[a : a + 50_000]
@@ -369,23 +408,25 @@ def merge_bucket(blobs: list[bytes]):
     return covered(np.concatenate([keys, before], axis=1), group, doc, pos)
 
 
-def _merge(batches):
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        ids, blobs = [], []
-        for key, kind, blob in zip(*[batch.column(k).to_pylist() for k in ("key", "kind", "blob")], strict=True):
-            if kind == 1:
-                ids.append(key)
-                blobs.append(blob)
-            else:
-                held.setdefault(key, []).append(blob)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "spans"])
-    for key in sorted(held):
-        ids, blobs = _cover_rows(*merge_bucket(held[key]))
-        held[key] = []
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "spans"])
+def _merge(doc_buckets: int):
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            keys, passed = [], []
+            for key, kind, blob in zip(*[batch.column(k).to_pylist() for k in ("key", "kind", "blob")], strict=True):
+                if kind == 1:
+                    keys.append(key)
+                    passed.append(blob)
+                else:
+                    held.setdefault(key, []).append(blob)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(passed, pa.binary())], ["key", "blob"])
+        for key in sorted(held):
+            keys, blobs = by_doc_bucket(*_cover_rows(*merge_bucket(held.pop(key))), doc_buckets)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+    return run
 
 
 # 4. Back to the documents
@@ -404,10 +445,9 @@ def union(spans: np.ndarray) -> np.ndarray:
 def _finish(batches):
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
-        for text, blobs in zip(batch.column("text"), batch.column("blobs"), strict=True):
+        for text, payload in zip(batch.column("text"), batch.column("payload"), strict=True):
             data = (text.as_py() or "").encode("utf-8", "replace")
-            got = [np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs.as_py() or []]
-            spans = union(np.concatenate(got)) if got else np.zeros((0, 2), np.int64)
+            spans = union(np.frombuffer(payload.as_py() or b"", "<i8").reshape(-1, 2))
             kept, at = [], 0
             for a, b in spans.tolist():
                 kept.append(data[at:a])
@@ -437,13 +477,14 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, spans (array of start, end), kept (the remaining bytes): one row per input row."""
     rows, given, total = _numbered(docs, id_col, text_col)
-    buckets = max(16, total >> 21)
-    asked = rows.mapInArrow(_ask(buckets), "key long, kind int, blob binary")
-    answers = asked.repartition("key").mapInArrow(_answer, "id long, grams binary").groupBy("id").agg(F.collect_list("grams").alias("grams"))
-    repeated = rows.join(answers, "id").select("id", "text", "grams")
-    runs = repeated.mapInArrow(_runs(buckets), "key long, kind int, blob binary")
-    spans = runs.repartition("key").mapInArrow(_merge, "id long, spans binary").groupBy(F.col("id").alias("at")).agg(F.collect_list("spans").alias("blobs"))
-    out = rows.join(spans, F.col("id") == F.col("at"), "left").select("id", "text", "blobs")
+    buckets, doc_buckets = max(16, total >> 21), max(16, total >> 23)
+    packed, dealt = "key long, blob binary", "at long, payload binary"
+    asked = rows.mapInArrow(_ask(buckets, doc_buckets), "key long, kind int, blob binary")
+    answers = asked.repartition("key").mapInArrow(_answer(doc_buckets), packed).repartition("key").mapInArrow(_deal, dealt)
+    # Both joins keep every document, so that they share one exchange of the texts.
+    runs = rows.join(answers, F.col("id") == F.col("at"), "left").select("id", "text", "payload").mapInArrow(_runs(buckets, doc_buckets), "key long, kind int, blob binary")
+    spans = runs.repartition("key").mapInArrow(_merge(doc_buckets), packed).repartition("key").mapInArrow(_deal, dealt)
+    out = rows.join(spans, F.col("id") == F.col("at"), "left").select("id", "text", "payload")
     out = out.mapInArrow(_finish, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     if given is not None:
         out = out.join(given, F.col("id") == F.col("own")).select(F.col("given").alias("id"), "n_bytes", "n_removed", "spans", "kept")
