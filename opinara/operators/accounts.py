@@ -31,6 +31,11 @@ def burst_flags(activity: DataFrame, keys: tuple[str, ...] = ("user_id", "brand"
     return rows.withColumn("burst", F.max(F.col("_n") >= least).over(ordered.rangeBetween(-span, 0))).drop("_at", "_n")
 
 
+def round_exact(value, digits: int = 4):
+    """Half up on the decimal value, so that ties do not turn on the noise of binary fractions."""
+    return F.round(value.cast("decimal(20,12)"), digits).cast("double")
+
+
 def suspicion(activity: DataFrame, stats: DataFrame) -> DataFrame:
     """Features, suspicion score and credibility per user; accounts of little activity are above suspicion."""
     s = stats.groupBy("user_id").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max("mean").alias("best"), F.sum("mean").alias("sum_means"), F.count("*").alias("brands"))
@@ -40,10 +45,10 @@ def suspicion(activity: DataFrame, stats: DataFrame) -> DataFrame:
     one_sided = F.least(F.lit(1.0), (F.greatest(F.lit(0.0), F.col("best")) + F.abs(F.least(F.lit(0.0), others))) / 2)
     out = s.join(extreme, "user_id").join(burst, "user_id")
     active = F.col("total") >= C.MIN_ACTIVITY
-    out = out.select("user_id", "total", *[F.when(active, F.round(c, 4)).otherwise(0.0).alias(n) for n, c in (("one_sided", one_sided), ("single_brand", F.col("most") / F.col("total")), ("extreme", F.col("extreme")), ("burst", F.col("burst")))])
+    out = out.select("user_id", "total", *[F.when(active, round_exact(c)).otherwise(0.0).alias(n) for n, c in (("one_sided", one_sided), ("single_brand", F.col("most") / F.col("total")), ("extreme", F.col("extreme")), ("burst", F.col("burst")))])
     score = sum((F.lit(w) * F.col(n) for n, w in C.SUSPICION_WEIGHTS.items() if n != "template_like"), F.lit(0.0))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-    return out.withColumn("suspicion", F.round(score, 4)).withColumn("credibility", F.round(F.greatest(F.lit(C.WEIGHT_FLOOR), 1 - F.col("suspicion")), 4))
+    return out.withColumn("suspicion", round_exact(score)).withColumn("credibility", F.round(F.greatest(F.lit(C.WEIGHT_FLOOR), 1 - F.col("suspicion")), 4))
 
 
 def merge_runs(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], who: str, tag: str, text: str) -> DataFrame:

@@ -46,10 +46,10 @@ SUSPICION_SQL = "WITH " + ACTIVITY_SQL + ", " + BURST_SQL + """
 , s AS (SELECT user_id, brand, count(*) AS n, avg(sentiment) AS mean FROM e GROUP BY 1, 2),
 u AS (SELECT user_id, sum(n) AS total, max(n) AS most, max(mean) AS best, sum(mean) AS sm, count(*) AS k FROM s GROUP BY 1),
 x AS (SELECT user_id, avg((abs(sentiment) >= 0.85)::INT) AS extreme FROM e GROUP BY 1), y AS (SELECT user_id, avg(burst::INT) AS burst FROM b GROUP BY 1),
-f AS (SELECT user_id, total, CASE WHEN total >= 5 THEN round(least(1, (greatest(0, best) + abs(least(0, CASE WHEN k > 1 THEN (sm - best) / (k - 1) ELSE 0 END))) / 2), 4) ELSE 0 END AS one_sided,
-  CASE WHEN total >= 5 THEN round(most / total, 4) ELSE 0 END AS single_brand, CASE WHEN total >= 5 THEN round(extreme, 4) ELSE 0 END AS extreme, CASE WHEN total >= 5 THEN round(burst, 4) ELSE 0 END AS burst
+f AS (SELECT user_id, total, CASE WHEN total >= 5 THEN CAST(round(CAST(least(1, (greatest(0, best) + abs(least(0, CASE WHEN k > 1 THEN (sm - best) / (k - 1) ELSE 0 END))) / 2) AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS one_sided,
+  CASE WHEN total >= 5 THEN CAST(round(CAST(most / total AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS single_brand, CASE WHEN total >= 5 THEN CAST(round(CAST(extreme AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS extreme, CASE WHEN total >= 5 THEN CAST(round(CAST(burst AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS burst
   FROM u JOIN x USING (user_id) JOIN y USING (user_id)),
-g AS (SELECT *, round(least(1, greatest(0, 0.35 * one_sided + 0.20 * single_brand + 0.20 * extreme + 0.15 * burst)), 4) AS suspicion FROM f)
+g AS (SELECT *, CAST(round(CAST(least(1, greatest(0, 0.35 * one_sided + 0.20 * single_brand + 0.20 * extreme + 0.15 * burst)) AS DECIMAL(20,12)), 4) AS DOUBLE) AS suspicion FROM f)
 """
 
 
