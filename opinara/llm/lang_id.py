@@ -1,14 +1,14 @@
 """Language ID (operator 9) by compression.
 
-A language's model is a raw-content zstandard dictionary: text of a bounded sample of its
-labelled documents. A text is cut into blocks, each block is compressed with every dictionary,
+A language's model is a raw-content zstandard dictionary: blocks drawn from the whole texts of a
+bounded sample of its labelled documents. A text is cut into blocks, each block is compressed with every dictionary,
 and the language whose sizes add up to the least wins. The score is the winner's margin over
 the runner-up, relative to the runner-up; a margin below ``narrow`` sets ``rejected``.
 
 Training reads only text and non-null ``lang`` of documents outside the held-out fold. At most
-``docs_per_lang`` documents of a language, and ``chars_per_doc`` characters of each, are taken, those with
-the smallest hashed ids; dictionaries are ``dict_bytes`` long at most, so what is broadcast
-is bounded by the number of languages.
+``docs_per_lang`` documents of a language are taken, those with the smallest hashed ids, and of all blocks of
+``BLOCK`` characters of their whole texts those with the smallest hashes, up to ``dict_bytes`` in all, so that
+what is collected and broadcast is bounded by the number of languages.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; if no language
 can be learned, so does every text. Equal sizes go to the first language by name. Repeated rows each get a row.
@@ -21,8 +21,6 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .common import slices  # noqa: F401
-
 BLOCK = 2000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -32,7 +30,7 @@ def letters(text: str) -> str:
     return NOT_LETTERS.sub(" ", text).strip().lower()
 
 
-def learn(docs: DataFrame, docs_per_lang: int = 200, chars_per_doc: int = 4000, dict_bytes: int = 98_304) -> dict[str, bytes]:
+def learn(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 98_304) -> dict[str, bytes]:
     """The dictionaries by language, from labelled rows (doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -40,23 +38,27 @@ def learn(docs: DataFrame, docs_per_lang: int = 200, chars_per_doc: int = 4000,
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * docs_per_lang / n)))])
     rank = F.xxhash64(F.col("doc_id").cast("string"), F.lit(9))
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK).cast("int"))
     sample = (
         rows.withColumn("rank", rank)
-        .where(F.pmod("rank", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-        .select("lang", "rank", F.substring("text", 1, chars_per_doc).alias("text"))
+        .where((F.col("text") != "") & (F.pmod("rank", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)))
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text")))
         .where(F.col("n") <= docs_per_lang)
+        .select("lang", "rank", "text", F.explode(starts).alias("k"))
+        .select("lang", "k", F.xxhash64("rank", "k").alias("rank"), F.expr(f"substring(text, k * {BLOCK} + 1, {BLOCK})").alias("text"))
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text")))
+        .where(F.col("n") <= 2 * dict_bytes // BLOCK)
         .select("lang", "n", "text")
     )
     got: dict[str, list] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"])):
         got.setdefault(r["lang"], []).append(letters(r["text"]))
-    return {k: " ".join(v).encode()[:dict_bytes] for k, v in sorted(got.items()) if any(v)}
+    return {k: " ".join(v).encode("utf-8", "replace")[:dict_bytes] for k, v in sorted(got.items()) if any(v)}
 
 
 def sizes(text: str, compressors) -> list[int]:
     """Compressed bytes of the whole text, block by block, for each compressor."""
-    data = text.encode()
+    data = text.encode("utf-8", "replace")
     blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
     return [sum(len(c(b)) for b in blocks) for c in compressors]
 
