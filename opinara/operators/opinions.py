@@ -18,7 +18,7 @@ def decay_weight(posted_at, as_of, rate: float = C.TIME_DECAY) -> Column:
 
 def one_vote(opinions: DataFrame) -> DataFrame:
     """One row per product and user: weighted stance, mean weight, role of the heaviest opinion (the first of equal ones)."""
-    heavy = F.struct(-F.col("weight"), F.col("ord"))
+    heavy = F.struct(-F.col("weight"), F.col("ord"), F.col("role"))
     return opinions.groupBy("product", "user").agg(
         F.coalesce(F.try_divide(F.sum(F.col("score") * F.col("weight")), F.when(F.sum("weight") > 0, F.sum("weight"))), F.avg("score")).alias("stance"),
         F.avg("weight").alias("weight"),

@@ -26,7 +26,7 @@ def consensus_bands(spark, sf_dir):
 
 @query("""
 WITH """ + OPINIONS_SQL + """
-, x AS (SELECT product, usr, role, weight, row_number() OVER (PARTITION BY product, usr ORDER BY weight DESC, ord) AS k FROM o)
+, x AS (SELECT product, usr, role, weight, row_number() OVER (PARTITION BY product, usr ORDER BY weight DESC, ord, role) AS k FROM o)
 SELECT v.product, v.usr AS "user", round(stance, 8) AS stance, round(v.weight, 9) AS weight, x.role AS role FROM v JOIN x ON v.product = x.product AND v.usr = x.usr AND k = 1
 """)
 def one_vote_per_human(spark, sf_dir):
