@@ -87,7 +87,9 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model: str, cache: str |
 
     def stored() -> DataFrame:
         schema = "digest binary, n_tokens long, tokenizer string"
-        return spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        rows = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+        # A new cache holds each digest once; without an aggregate, the join can split the rows of a frequent text.
+        return rows if fresh else rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     exists = not fresh and _exists(spark, cache)
     misses = texts.join(stored().select("digest"), "digest", "left_anti") if exists else texts
