@@ -23,28 +23,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id."""
-    docs = docs.select(*COLUMNS)
-    links = lsh_forest.link_documents(docs)
-    dropped = links.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if _ids_repeat(docs) else kept
+    """One document of each group of near-duplicates stays: that of the smallest id, null ids last. Rows of one id are documents of their own."""
+    docs = _keyed(docs.select(*COLUMNS))
+    links = lsh_forest.link_documents(docs, id_col="_row")
+    dropped = links.where(~F.col("kept")).select(F.col("_row").alias("_gone"))
+    return docs.join(dropped, F.col("_row") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
-def _ids_repeat(docs: DataFrame) -> bool:
-    """True if an id has several rows; those are copies of one document to this pipeline."""
-    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key per row, _row, in the order of ids: the id itself, unless ids repeat or are null."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1):
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *[c for c in COLUMNS if c != "doc_id"])
+    return checkpoint(ordered.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that occur earlier go; a character cut in two goes whole. Null texts stay null."""
-    docs = docs.select(*COLUMNS)
-    kept = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.try_validate_utf8(F.col("kept")))
+    """Bytes of passages that occur earlier go; a character cut in two goes whole. Null texts stay null. Every row stays, whatever its id."""
+    docs = docs.select(*COLUMNS).withColumn("_null", F.col("text").isNull())
+    out = suffix_dedup.remove_repeats(docs, keep=("lang", "source", "n_chars", "_null"))
     # Where a cut leaves parts of a character, its stray bytes are dropped.
     repaired = F.regexp_replace(F.make_valid_utf8(F.col("kept")), "�", "")
-    out = docs.join(kept.select(F.col("doc_id").alias("_id"), "n_removed", "kept"), F.col("doc_id") == F.col("_id"))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(text, repaired)))
+    out = out.withColumn("text", F.when(~F.col("_null"), F.coalesce(F.try_validate_utf8(F.col("kept")), repaired)))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 

@@ -14,7 +14,7 @@ the least of some ``MATCH``-byte window, so equal windows hold equal selected pl
 
 Defined results: null texts count as empty; texts of fewer than ``MATCH`` bytes lose nothing, unless rows repeat (see
 below); nothing is matched across documents. Where ids repeat or are null, rows stand in the order of (id, text), nulls first, each as a document of
-its own. Every input row gives one row. Other columns are ignored.
+its own. Every input row gives one row. Of other columns those named in ``keep`` stay with their row.
 """
 
 from __future__ import annotations
@@ -457,35 +457,37 @@ def _finish(batches):
             out["n_removed"].append(int((spans[:, 1] - spans[:, 0]).sum()))
             out["spans"].append([{"start": a, "end": b} for a, b in spans.tolist()])
             out["kept"].append(b"".join(kept))
+        carried = [batch.column("carried")] if "carried" in batch.schema.names else []
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept"], pa.binary())],
-            ["id", "n_bytes", "n_removed", "spans", "kept"],
+            [batch.column("id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept"], pa.binary()), *carried],
+            ["id", "n_bytes", "n_removed", "spans", "kept", *["carried"] * len(carried)],
         )
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int]:
-    """(id, text) with ids that are unique and stand in order; the ids' rows if they had to be made; bytes of all texts."""
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _numbered(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None, int]:
+    """(id, text, carried if any) with ids that are unique and stand in order; the ids' rows if they had to be made; bytes of all texts."""
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.struct(*keep).alias("carried")] * bool(keep))
     per_id = found.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
     total = per_id.agg(F.max("n").alias("n"), F.sum("size").alias("size"), F.count(F.when(F.col("id").isNull(), 1)).alias("null")).first()
     if (total["n"] or 0) <= 1 and not total["null"]:
         return found, None, total["size"] or 0
-    made = checkpoint(found.orderBy("id", "text").withColumn("own", F.monotonically_increasing_id()))
-    return made.select(F.col("own").alias("id"), "text"), made.select("own", F.col("id").alias("given")), total["size"] or 0
+    made = checkpoint(found.orderBy(*found.columns).withColumn("own", F.monotonically_increasing_id()))
+    return made.select(F.col("own").alias("id"), *found.columns[1:]), made.select("own", F.col("id").alias("given")), total["size"] or 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, spans (array of start, end), kept (the remaining bytes): one row per input row."""
-    rows, given, total = _numbered(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_bytes, n_removed, spans (array of start, end), kept (the remaining bytes), the columns named in ``keep``: one row per input row."""
+    rows, given, total = _numbered(docs, id_col, text_col, keep)
     buckets, doc_buckets = max(16, total >> 21), max(16, total >> 23)
     packed, dealt = "key long, blob binary", "at long, payload binary"
-    asked = rows.mapInArrow(_ask(buckets, doc_buckets), "key long, kind int, blob binary")
+    asked = rows.select("id", "text").mapInArrow(_ask(buckets, doc_buckets), "key long, kind int, blob binary")
     answers = asked.repartition("key").mapInArrow(_answer(doc_buckets), packed).repartition("key").mapInArrow(_deal, dealt)
-    # Both joins keep every document, so that they share one exchange of the texts.
-    runs = rows.join(answers, F.col("id") == F.col("at"), "left").select("id", "text", "payload").mapInArrow(_runs(buckets, doc_buckets), "key long, kind int, blob binary")
+    # Both joins keep every document with all its columns, so that they share one exchange of the texts.
+    runs = rows.join(answers, F.col("id") == F.col("at"), "left").select(*rows.columns, "payload").mapInArrow(_runs(buckets, doc_buckets), "key long, kind int, blob binary")
     spans = runs.repartition("key").mapInArrow(_merge(doc_buckets), packed).repartition("key").mapInArrow(_deal, dealt)
-    out = rows.join(spans, F.col("id") == F.col("at"), "left").select("id", "text", "payload")
-    out = out.mapInArrow(_finish, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    out = rows.join(spans, F.col("id") == F.col("at"), "left").select(*rows.columns, "payload")
+    carried = f", carried {rows.schema['carried'].dataType.simpleString()}" if keep else ""
+    out = out.mapInArrow(_finish, f"id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary{carried}")
     if given is not None:
-        out = out.join(given, F.col("id") == F.col("own")).select(F.col("given").alias("id"), "n_bytes", "n_removed", "spans", "kept")
-    return out.withColumnRenamed("id", id_col)
+        out = out.join(given, F.col("id") == F.col("own")).withColumn("id", F.col("given")).drop("own", "given")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept", *["carried.*"] * bool(keep))

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opinara.llm import common, components, decontam, embed_dedup, html_main, lang_id, lsh_forest, pieces, quality, suffix_dedup, token_counts, url_filters
 from opinara.llm.queries import ORACLES, QUERIES, URL_RULES, piece_model
@@ -399,3 +400,47 @@ def test_pipeline_stages_keep_columns(spark):
         if k + 1 < len(corpus_pipeline.STAGES):
             assert tuple(rows.columns) == corpus_pipeline.COLUMNS
     assert rows.where("n_tokens <> size(tokens)").count() == 0
+
+
+def odd_ids(spark, texts):
+    """Rows with null and repeated ids, each with a lang of its own."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2, 3, 100 + k]), t, f"l{k}", f"s{k}", len(t or "")) for k, t in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_near_duplicates_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = [None, None, "", *[make(40) for _ in range(30)]]
+    for t in texts[5:15]:
+        texts += [t, t + " " + make(2), make(1) + " " + t][: rng.randint(1, 3)]
+    rows, frame = odd_ids(spark, texts)
+    sets = [set(lsh_forest.shingles(r[1], lsh_forest.WordHashes()).tolist()) for r in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] or "", rows[k][2]))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for k in order:
+        first.setdefault(group[k], k)
+    got = sorted(tuple(r) for r in corpus_pipeline.near_duplicates_stage(spark, frame, "").select("lang", "source", F.coalesce("doc_id", F.lit(-1))).collect())
+    assert got == sorted((rows[k][2], rows[k][3], -1 if rows[k][0] is None else rows[k][0]) for k in first.values())
+
+
+def test_repeated_passages_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    shared = [make(150), make(300)]
+    rows, frame = odd_ids(spark, [None, None, "", "", *[make(rng.randint(0, 80)) + rng.choice([*shared, ""]) + make(rng.randint(0, 80)) for _ in range(30)]])
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2]))
+    want = [(r[2], r[3], r[0], None if r[1] is None else c[4]) for r, c in zip(rows, brute_cover([(r[0], r[1]) for r in rows]), strict=True)]
+    out = corpus_pipeline.repeated_passages_stage(spark, frame, "").collect()
+    assert sorted((r["lang"], r["source"], r["doc_id"], None if r["text"] is None else hashlib.sha256(r["text"].encode()).hexdigest()) for r in out) == sorted(want, key=lambda x: x[0])
+    assert all(r["n_chars"] == len(r["text"] or "") for r in out)
