@@ -10,10 +10,11 @@ The last sentence or line of an item with several counts as its answer, the rest
 Exact pruning in front of the search: a segment's lightest words together make less than the share ``LIGHT`` of the threshold,
 so only passages whose other words reach the rest for some segment are searched.
 
-The index is broadcast in blocks of at most ``MAX_ITEMS`` items and ``MAX_CHARS`` characters; more items mean more passes over the documents.
+The index is broadcast in blocks of at most ``MAX_ITEMS`` items and ``MAX_CHARS`` characters, one at a time; more items mean more passes
+over the documents. Weights come from the segments of all items, so that they do not depend on the blocks.
 
-Defined results: null and empty texts have no passages and no leaks; null and empty items are never met; items with equal texts
-are all reported. Repeated rows each get a row; ids of documents may repeat or be null. Without items no document leaks.
+Defined results: null and empty texts have no passages and no leaks; items of null or empty text are never met; items with equal texts
+are all reported, and an id with several texts if one of them is met. A null id is reported as null, first. Repeated rows each get a row; ids of documents may repeat or be null. Without items no document leaks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import checkpoint
+
 SEGMENT = 64
 SHINGLE = 5
 MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
@@ -59,6 +62,11 @@ def share(part: list[str], here: list[str]) -> float:
     return len(own & grams(here, min(SHINGLE, len(part)))) / len(own)
 
 
+def in_order(items) -> list[int | None]:
+    """Distinct ids in order, null first."""
+    return sorted(set(items), key=lambda i: (i is not None, i or 0))
+
+
 class Terms(dict):
     """Numbers of words as they stand in texts: -1 for those of marks only, -2 outside the index."""
 
@@ -86,36 +94,57 @@ class Postings:
         self.most = max(self.blocks)
 
 
+def segments_of(text: str | None) -> list[dict[str, int]]:
+    """The words of each segment of an item, counted."""
+    w = word_list(text)
+    out: list[dict[str, int]] = []
+    if not w:
+        return out
+    size = math.ceil(len(w) / math.ceil(len(w) / SEGMENT))
+    for a in range(0, len(w), size):
+        counts: dict[str, int] = {}
+        for x in w[a : a + size]:
+            counts[x] = counts.get(x, 0) + 1
+        out.append(counts)
+    return out
+
+
+@dataclass
+class Statistics:
+    """Of the segments of all items: their number, their mean length, and how many hold a word."""
+
+    n: int
+    mean: float
+    held: dict[str, int]
+
+
 class Index:
-    """The inverted index of test items, with what is needed to verify a meeting."""
+    """The inverted index of test items, with what is needed to verify a meeting. Without ``known`` the items are all there are."""
 
-    def __init__(self, items: list[tuple[int, str]], retrieve: float = 0.5):
+    def __init__(self, items: list[tuple[int | None, str]], retrieve: float = 0.5, known: Statistics | None = None):
         self.retrieve = retrieve
-        self.items = [(i, *question_and_answer(t), len(word_list(t))) for i, t in items if word_list(t)]
+        self.items = []
         segments: list[dict[str, int]] = []
         self.item_of: list[int] = []
-        texts = dict(items)
-        for k, (i, *_) in enumerate(self.items):
-            w = word_list(texts[i])
-            n = max(1, math.ceil(len(w) / SEGMENT))
-            size = math.ceil(len(w) / n)
-            for a in range(0, len(w), size):
-                counts: dict[str, int] = {}
-                for x in w[a : a + size]:
-                    counts[x] = counts.get(x, 0) + 1
-                segments.append(counts)
-                self.item_of.append(k)
-        held: dict[str, int] = {}
+        for i, t in items:
+            if not (cut := segments_of(t)):
+                continue
+            self.item_of += [len(self.items)] * len(cut)
+            self.items.append((i, *question_and_answer(t), len(word_list(t))))
+            segments += cut
+        here: dict[str, int] = {}
         for s in segments:
             for w in s:
-                held[w] = held.get(w, 0) + 1
-        mean = sum(sum(s.values()) for s in segments) / max(1, len(segments))
-        self.numbers = {w: k for k, w in enumerate(sorted(held))}
+                here[w] = here.get(w, 0) + 1
+        if known is None:
+            known = Statistics(len(segments), sum(sum(s.values()) for s in segments) / max(1, len(segments)), here)
+        held, mean = known.held, known.mean
+        self.numbers = {w: k for k, w in enumerate(sorted(here))}
         lists: list[tuple[list[int], list[float]]] = [([], []) for _ in self.numbers]
         heavy: list[list[tuple[int, float]]] = [[] for _ in self.numbers]
         for k, s in enumerate(segments):
             size = sum(s.values())
-            weight = {w: math.log(1 + (len(segments) - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for w, n in s.items()}
+            weight = {w: math.log(1 + (known.n - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for w, n in s.items()}
             total, light = sum(weight.values()), 0.0
             for w in sorted(weight, key=lambda w: (weight[w], w)):
                 share = weight[w] / total
@@ -239,43 +268,84 @@ class Index:
             here = [EDGE.sub("", w) for w in raw[max(0, a - size) : b + size]]
             if share(q, here) >= question and (not s or share(s, here) >= answer):
                 found.add(item)
-        return max(1, -(-len(ids) // SEGMENT) - 1), sorted(found), best
+        return max(1, -(-len(ids) // SEGMENT) - 1), in_order(found), best
 
 
-def _find(blocks, names: list[str], question: float, answer: float):
+def _find(shared, keep: list[str], question: float, answer: float, last: bool):
+    """Over rows of ``keep``, _text and what earlier blocks found, if any: the same with this block's; without _text after the last."""
+    names = [*keep, *([] if last else ["_text"])]
+
     def run(batches):
-        first = None
+        index = None
         for batch in batches:
-            got = [(0, [], 0.0)] * batch.num_rows
-            for shared in blocks:
-                if len(blocks) > 1 or first is None:  # one block's index at a time
-                    first = shared.value[0], Terms(shared.value[0].numbers)
-                more = [first[0].leaks(t.as_py(), first[1], question, answer) for t in batch.column(names[-1])]
-                got = [(y[0], sorted({*x[1], *y[1]}), max(x[2], y[2])) for x, y in zip(got, more, strict=True)]
+            if index is None:
+                index = shared.value[0]
+                terms = Terms(index.numbers)
+            got = [index.leaks(t.as_py(), terms, question, answer) for t in batch.column("_text")]
+            if "_items" in batch.schema.names:
+                got = [(max(n, m), in_order([*i, *j]), max(b, c)) for (n, i, b), m, j, c in zip(got, *[batch.column(k).to_pylist() for k in ("_passages", "_items", "_best")], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in names[:-1]], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([float(g[2]) for g in got], pa.float64())],
-                [*names[:-1], "n_passages", "items", "best_score"],
+                [*[batch.column(k) for k in names], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([float(g[2]) for g in got], pa.float64())],
+                [*names, "_passages", "_items", "_best"],
             )
 
     return run
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """Test items in blocks small enough to broadcast. The list of items is read by the driver block by block."""
-    blocks, now, size = [], [], 0
-    for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates(["item_id", "text"]).orderBy("item_id", "text").toLocalIterator():
+def distinct_items(items: DataFrame) -> DataFrame:
+    return items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id", "text"])
+
+
+def item_blocks(items: DataFrame):
+    """Test items in blocks small enough to broadcast, which the driver reads one after the other."""
+    now, size = [], 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         if now and (len(now) >= MAX_ITEMS or size + len(r["text"]) > MAX_CHARS):
-            blocks.append(now)
+            yield now
             now, size = [], 0
         now.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return [*blocks, now]
+    yield now
+
+
+def _segments(batches):
+    for batch in batches:
+        cut = [s for t in batch.column("text") for s in segments_of(t.as_py())]
+        yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in cut], pa.list_(pa.string())), pa.array([sum(s.values()) for s in cut], pa.int64())], ["words", "size"])
+
+
+def _statistics(items: DataFrame):
+    """A function from a block of items to the statistics of all items' segments, of words only those in the block."""
+    spark = items.sparkSession
+    segments = items.select("text").mapInArrow(_segments, "words array<string>, size long")
+    total = segments.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    held = checkpoint(segments.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("held")))
+
+    def of(block) -> Statistics:
+        words = sorted({w for _, t in block for w in word_list(t)})
+        mine = spark.createDataFrame(pa.table({"word": pa.array(words, pa.string())}))
+        return Statistics(total["n"], (total["size"] or 0) / max(1, total["n"]), {r["word"]: r["held"] for r in held.join(mine, "word").collect()})
+
+    return of
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, retrieve: float = 0.5, question: float = 0.6, answer: float = 0.6, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns named in ``keep``, n_passages, items (ids verified), best_score, contaminated."""
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast([Index(b, retrieve)]) for b in item_blocks(items)]
+    items = distinct_items(items)
+    blocks = item_blocks(items)
+    block, after = next(blocks), next(blocks, None)
+    known = None if after is None else _statistics(items)  # a single block has all segments itself
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_passages long", "items array<long>", "best_score double"])
-    return rows.mapInArrow(_find(blocks, rows.columns, question, answer), out).withColumn("contaminated", F.size("items") > 0)
+    fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields}
+    found = ["_passages long", "_items array<long>", "_best double"]
+    while True:
+        shared = spark.sparkContext.broadcast([Index(block, retrieve, known and known(block))])
+        out = [fields[k] for k in keep] + [fields["_text"]] * (after is not None) + found
+        rows = rows.mapInArrow(_find(shared, list(keep), question, answer, after is None), ", ".join(out))
+        if after is None:
+            break
+        rows = checkpoint(rows)
+        shared.destroy()
+        block, after = after, next(blocks, None)
+    return rows.select(*keep, F.col("_passages").alias("n_passages"), F.col("_items").alias("items"), F.col("_best").alias("best_score")).withColumn("contaminated", F.size("items") > 0)

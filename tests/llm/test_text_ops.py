@@ -290,6 +290,22 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs(spark, []), items).count() == 0
 
 
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{make(30)}. {make(8)}." for _ in range(40)]
+    rows = [(None if k % 10 == 9 else k % 7, t) for k, t in enumerate(texts)]  # null ids, and ids with several texts
+    items = spark.createDataFrame([*rows, (3, None), (4, "")], "item_id long, text string").repartition(3)
+    edited = lambda t: " ".join(w if rng.random() > 0.3 else word() for w in t.split(" "))
+    read = docs(spark, [None, "", make(300), *[f"{make(50)} {t} {make(50)}" for t in texts], *[f"{make(50)} {edited(t)} {make(50)}" for t in texts]])
+    found = lambda: sorted((r["doc_id"], r["n_passages"], r["items"], round(r["best_score"], 9), r["contaminated"]) for r in decontam.find_leaks(read, items).collect())
+    whole = found()
+    assert all(rows[k][0] in whole[3 + k][2] for k in range(40)) and not any(r[4] for r in whole[:3])
+    monkeypatch.setattr(decontam, "MAX_ITEMS", 9)
+    assert found() == whole
+
+
 # 9
 
 
