@@ -13,13 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The shared folder of the cluster; a temporary one only where none is set on a local master, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opinara-"))
+        context.setCheckpointDir(_shared_base(spark))
     return context.getCheckpointDir()
 
 
+def _shared_base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = tempfile.mkdtemp(prefix="opinara-")
+    return base
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, cutting the lineage."""
     checkpoint_dir(df.sparkSession)
@@ -31,6 +40,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A folder that later sessions meet again: beside the sessions' checkpoints where a shared folder is set, else this session's."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/{name}"
+
+
+def wanted_partitions(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
+    """As many partitions as the session's setting, or more, so that one gets about ``each`` bytes at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+
+
 def slices(sizes, limit: int):
     """Ranges (start, end) of consecutive items whose sizes add up to about ``limit`` at most."""
     start, total = 0, 0

@@ -14,13 +14,16 @@ places. Each distinct stretch of a task is searched once and kept in a bounded c
 stretches of up to ``WIDE`` bytes that are not in it are searched together, column by column.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; a text that holds the marker
-itself decodes with a space in its place, as the format has it; repeated rows each get a row.
+itself decodes with a space in its place, as the format has it; repeated rows each get a row; empty tables give empty
+results. Very long texts are read whole; only an unbroken stretch stands in memory at once with its search, and the cache is
+bounded in bytes. Other columns are carried only if named in ``keep``; those of the results replace none of the input's.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +38,7 @@ UNKNOWN_PENALTY = 10.0
 NEVER = -1e8
 MAX_PIECES = 1_000_000
 WIDE = 40
-CACHE = 200_000
+CACHE = 100_000_000
 STRETCH = re.compile("▁+[^▁\n]*|[^▁\n]+|\n+")
 
 
@@ -161,8 +164,8 @@ class Vocabulary:
             j = i
         return out[::-1]
 
-    def _best_many(self, items: list[bytes]) -> list[list[int]]:
-        """Ids of many short stretches at once: each step handles one byte of all of them."""
+    def _best_many(self, items: list[bytes]) -> list[bytes]:
+        """Packed ids of many short stretches at once: each step handles one byte of all of them."""
         n, wide = len(items), max(map(len, items))
         lens = np.array([len(x) for x in items])
         text = np.zeros((n, wide + 1), np.int32)
@@ -204,32 +207,56 @@ class Vocabulary:
                 better = score > best[rows[k], to]
                 k, to = k[better], to[better]
                 best[rows[k], to], back[rows[k], to], piece[rows[k], to] = score[better], i, -1
-        back, piece = back.tolist(), piece.tolist()
-        return [self._trace(x, back[r], piece[r]) for r, x in enumerate(items)]
-
-    def search(self, stretches, cache: dict) -> None:
+        return self._trace_many(items, lens, back, piece)
+
+    def _trace_many(self, items: list[bytes], lens: np.ndarray, back: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """The best paths of all rows at once, from their ends: packed ids. Rows with an unknown character are traced one by one."""
+        rows, at, steps, odd = np.arange(len(items)), lens.copy(), [], np.zeros(len(items), bool)
+        while len(rows):
+            p = piece[rows, at]
+            odd[rows[p < 0]] = True
+            got = np.full(len(items), -1, np.int32)
+            got[rows] = p
+            steps.append(got)
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        ids = np.stack(steps[::-1], axis=1)  # the first id of a row stands behind those of no use
+        good = ids >= 0
+        ends = 4 * np.cumsum(good.sum(axis=1))
+        flat = ids[good].astype("<i4").tobytes()
+        out, start = [], 0
+        for end in ends.tolist():
+            out.append(flat[start:end])
+            start = end
+        for r in np.flatnonzero(odd).tolist():
+            out[r] = _packed(self._trace(items[r], back[r].tolist(), piece[r].tolist()))
+        return out
+
+    def search(self, stretches: set[str], cache: Stretches) -> None:
         """Put the ids of every stretch into the cache."""
-        new = {s: s.encode("utf-8", "surrogatepass") for s in stretches if s not in cache}
+        new = {s: s.encode("utf-8", "surrogatepass") for s in stretches - cache.keys()}
         short = sorted((s for s, d in new.items() if len(d) <= WIDE), key=lambda s: len(new[s]))
         for a in range(0, len(short), 20_000):
             part = short[a : a + 20_000]
             for s, ids in zip(part, self._best_many([new[s] for s in part]), strict=True):
                 cache[s] = ids
+            cache.size += sum(200 + 4 * len(s) + len(cache[s]) for s in part)
         for s, d in new.items():
             if len(d) > WIDE:
-                cache[s] = self._best_one(d)
+                cache[s] = _packed(self._best_one(d))
+                cache.size += 200 + 4 * len(s) + len(cache[s])
 
-    def encode(self, texts: list[str], cache: dict | None = None) -> list[list[int]]:
-        cache = {} if cache is None else cache
-        if len(cache) > CACHE:
-            cache.clear()
+    def encode(self, texts: list[str], cache: Stretches | None = None) -> list[bytes]:
+        """The ids of each text, packed as little-endian 32-bit numbers."""
         cut = [STRETCH.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.search({s for c in cut for s in c}, cache)
-        return [[i for s in c for i in cache[s]] for c in cut]
+        cache = Stretches() if cache is None else cache
+        cache.make_room()
+        self.search(set().union(*cut), cache)
+        return [b"".join(map(cache.__getitem__, c)) for c in cut]
 
     # Decoding
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         if not hasattr(self, "_bytes"):
             self._bytes = [p.encode() for p in self.pieces]
             for b in range(256):
@@ -238,18 +265,33 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+class Stretches(dict):
+    """The packed ids of each stretch, within ``CACHE`` bytes: more are held only while one batch needs them."""
+
+    size = 0
+
+    def make_room(self) -> None:
+        if self.size > CACHE:
+            self.clear()
+            self.size = 0
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 def _width(lead: int) -> int:
     return 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
 
 
 def _encode(shared, names: list[str]):
     def run(batches):
-        vocabulary, cache = shared.value, {}
+        vocabulary, cache = shared.value, Stretches()
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(names[-1])]
+            texts = [t or "" for t in batch.column(names[-1]).to_pylist()]
             for a, b in slices([len(t) for t in texts], 1 << 20):
                 part = batch.slice(a, b - a)
-                ids = vocabulary.encode(texts[a:b], cache)
+                ids = [np.frombuffer(x, "<i4") for x in vocabulary.encode(texts[a:b], cache)]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names[:-1]], pa.array(ids, pa.list_(pa.int32()))], [*names[:-1], "tokens"])
 
     return run
@@ -281,37 +323,35 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("do
     return rows.mapInArrow(_decode(shared, rows.columns), out)
 
 
-def digest(tokens) -> str:
-    """SHA-256 of the ids as little-endian 32-bit numbers."""
-    return hashlib.sha256(np.asarray(tokens, np.dtype("<i4")).tobytes()).hexdigest()
-
-
-def _round_trip(shared):
+def _round_trip(shared, names: list[str]):
     def run(batches):
-        vocabulary, cache = shared.value, {}
+        vocabulary, cache = shared.value, Stretches()
         low, high = vocabulary.bytes_at, vocabulary.bytes_at + 256
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
+            texts = [t or "" for t in batch.column(names[-1]).to_pylist()]
             for a, b in slices([len(t) for t in texts], 1 << 20):
-                ids = vocabulary.encode(texts[a:b], cache)
-                numbers = [np.array(x, np.int32) for x in ids]
-                backs = [vocabulary.decode(x) for x in ids]
+                part = batch.slice(a, b - a)
+                packed = vocabulary.encode(texts[a:b], cache)
+                ids = [np.frombuffer(x, "<i4") for x in packed]
+                backs = [vocabulary.decode(x.tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(a, b - a),
+                        *[part.column(k) for k in names[:-1]],
                         pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([int(((x >= low) & (x < high)).sum()) for x in numbers], pa.int64()),
-                        pa.array([digest(x) for x in numbers], pa.string()),
+                        pa.array([int(((x >= low) & (x < high)).sum()) for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in backs], pa.string()),
                         pa.array([x == t for x, t in zip(backs, texts[a:b], strict=True)], pa.bool_()),
                     ],
-                    ["doc_id", "n_tokens", "n_byte_tokens", "tokens_sha256", "decoded_sha256", "round_trip"],
+                    [*names[:-1], "n_tokens", "n_byte_tokens", "tokens_sha256", "decoded_sha256", "round_trip"],
                 )
 
     return run
 
 
-def round_trips(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per document what its encoding and decoding give, as counts and digests."""
+def round_trips(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns named in ``keep``, and what each text's encoding and decoding give, as counts and digests (of the ids as little-endian 32-bit numbers)."""
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return docs.select("doc_id", "text").mapInArrow(_round_trip(shared), "doc_id long, n_tokens long, n_byte_tokens long, tokens_sha256 string, decoded_sha256 string, round_trip boolean")
+    out = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long, n_byte_tokens long, tokens_sha256 string, decoded_sha256 string, round_trip boolean"]
+    return rows.mapInArrow(_round_trip(shared, rows.columns), ", ".join(out))

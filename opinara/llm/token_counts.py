@@ -6,7 +6,10 @@ once and appended to the cache. The content is normalised only in that null beco
 empty text: this tokenizer keeps every byte, so no other change of the text keeps its count.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside a
-text are ordinary text; repeated rows each get a row. Very long texts are encoded in pieces
+text are ordinary text; repeated rows each get a row, whatever their ids; empty tables give empty results;
+other columns are ignored. A cache holds whole rows only, as Spark commits files when they are complete: after a
+broken append, what is missing is encoded again; a digest stored twice counts once, and
+rows of another tokenizer are passed over. Very long texts are encoded in pieces
 of about a megabyte, cut in front of a space that follows another character; no token of a
 vocabulary checked by ``splits_at_spaces`` crosses such a place, so counts stay exact.
 """
@@ -19,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_path, slices
+from .common import checkpoint, slices
 
 CHUNK = 1 << 20
 
@@ -77,26 +80,24 @@ def _encode(path: str):
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, model: str, cache: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit. ``cache`` is a folder of Parquet files; a new one if None."""
+    """id, n_bytes, n_tokens, over_limit. ``cache``: a folder of Parquet files, made where there is none; without one nothing is stored."""
     version = tokenizer_version(model)
-    fresh = cache is None
-    cache = cache or shared_path(spark, "token-counts")
     content = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.unhex(F.sha2(content, 256))
-    texts = docs.select(digest.alias("digest"), content.alias("content"))
-
-    def stored() -> DataFrame:
-        schema = "digest binary, n_tokens long, tokenizer string"
-        rows = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-        # A new cache holds each digest once; without an aggregate, the join can split the rows of a frequent text.
-        return rows if fresh else rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-
-    exists = not fresh and _exists(spark, cache)
-    misses = texts.join(stored().select("digest"), "digest", "left_anti") if exists else texts
-    encoded = misses.groupBy("digest").agg(F.first("content").alias("content")).mapInArrow(_encode(model), "digest binary, n_tokens long")
-    encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
-    keyed = docs.select(F.col(id_col), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    return keyed.join(stored(), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
+    keyed = checkpoint(rows.select("id", "digest", F.octet_length("content").cast("long").alias("n_bytes")))
+    stored = lambda: spark.read.schema("digest binary, n_tokens long, tokenizer string").parquet(cache).where(F.col("tokenizer") == version)
+    # Digests first; then the text of one row for each that is missing. The id in the join's key parts the rows of a frequent text.
+    missing = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
+    if cache and _exists(spark, cache):
+        missing = missing.join(stored().select("digest"), "digest", "left_anti")
+    m = missing.withColumnRenamed("digest", "_digest").hint("shuffle_hash")
+    texts = rows.join(m, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("rep"))).select("digest", "content")
+    encoded = texts.mapInArrow(_encode(model), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    if cache:
+        encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
+        encoded = stored().join(keyed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Read back from storage, counts have no aggregate in front of the join, so that it can split the rows of a frequent text.
+    return keyed.join(checkpoint(encoded), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
