@@ -3,16 +3,20 @@
 Equal vectors of a label are first folded into one, with the number of its copies. Each
 distinct vector gets a bucket per table: the signs of its products with the table's random planes. The
 number of planes follows the number of vectors, and that of tables follows from it so that a pair at
-the threshold shares a bucket of some table but for the probability ``miss``. Buckets of one
-vector are dropped; larger ones are dealt in blocks of about ``BLOCK`` vectors, and each pair of blocks
-is compared as a matrix, in double precision. A link counts in the first table that finds it, and a
+the threshold shares a bucket of some table but for the probability ``miss``. Only ids and signs travel: buckets of one
+vector are dropped, larger ones are dealt in blocks of about ``BLOCK`` vectors, and in each pair of blocks a vector
+is marked if some other there agrees with it in so many signs of all tables that they may be a pair (at the
+threshold, ``SIGMAS`` standard deviations allow for chance), and in no earlier table's bucket. Marked vectors alone are then brought
+there, and compared as a matrix, in double precision. A link counts in the first table that finds it, and a
 block pair sends on per vector its number of links and the smallest vector it is joined to there,
 never the pairs.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite
-component, and those without a label, link with nothing and form a component of their own. Vectors of
+component, and those without a label, link with nothing and form a component of their own. Vectors are scaled by a power of
+two first, so that neither huge nor tiny components overflow. Vectors of
 different length link with nothing. Repeated ids: rows that share an id stand
 for one vector each as to links, and the smallest id names the component; a null id stays null and alone.
+Other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from .common import checkpoint
 from .components import components
 
 BLOCK = 512
+SIGMAS = 7.0
 
 
 def plan(n: int, threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -40,32 +45,101 @@ def hyperplanes(width: int, planes: int, tables: int, seed: int = 3) -> np.ndarr
     return np.random.default_rng([seed, width]).standard_normal((width, planes * tables))
 
 
-def buckets(x: np.ndarray, planes: int, tables: int) -> np.ndarray:
-    """(rows, tables): each table's signs as one number."""
-    signs = (x @ hyperplanes(x.shape[1], planes, tables)) >= 0
-    return signs.reshape(len(x), tables, planes) @ (1 << np.arange(planes, dtype=np.int64))
+def scaled(v: np.ndarray) -> np.ndarray:
+    """The vector times the power of two that brings its largest component below 1: no component's digits change."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
 
 
-def _hash(planes: int, tables: int):
+def near_enough(planes: int, tables: int, threshold: float) -> int:
+    """In how many of all signs a pair at the threshold may differ."""
+    n, p = planes * tables, math.acos(min(1.0, threshold)) / math.pi
+    return math.ceil(n * p + SIGMAS * math.sqrt(n * p * (1 - p)) + 1)
+
+
+def _pack(planes: int, tables: int):
+    """The vectors as packed doubles, and the signs of all tables as bits, each table's from a byte's border on."""
+
     def run(batches):
         for batch in batches:
-            raw = [np.frombuffer(v.as_py(), "<f8") for v in batch.column("vector")]
-            out = np.zeros((len(raw), tables), np.int64)
+            raw = [scaled(np.asarray(v.as_py(), "<f8")) for v in batch.column("v")]
+            signs: list = [None] * len(raw)
             for width in {len(v) for v in raw}:
                 at = [i for i, v in enumerate(raw) if len(v) == width]
-                out[at] = buckets(np.stack([raw[i] for i in at]), planes, tables)
-            n = len(raw)
-            rows = np.repeat(np.arange(n), tables)
-            part = batch.take(pa.array(rows))
-            signs = pa.array([out[i].astype("<i4").tobytes() for i in range(n)], pa.binary()).take(pa.array(rows))
+                side = (np.stack([raw[i] for i in at]) @ hyperplanes(width, planes, tables)) >= 0
+                for i, bits in zip(at, np.packbits(side.reshape(len(at), tables, planes), axis=2).reshape(len(at), -1), strict=True):
+                    signs[i] = bits.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), part.column("label"), part.column("copies"), part.column("vector"), signs, pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(out.ravel())],
-                ["rep", "label", "copies", "vector", "signs", "t", "bucket"],
+                [batch.column("rep").cast(pa.int64()), batch.column("label"), batch.column("copies"), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(signs, pa.binary())],
+                ["rep", "label", "copies", "vector", "signs"],
             )
 
     return run
 
 
+def _read_signs(rows: list[bytes], tables: int) -> np.ndarray:
+    """(rows, tables, bytes of a table)"""
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), tables, -1)
+
+
+def _by_key(names: tuple[str, ...], finish, drain):
+    """Over rows sorted by key: ``finish`` takes all rows of a key, ``drain`` gives what is ready."""
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", *names)], strict=True):
+                if k != key and rows:
+                    finish(key, rows)
+                    rows = []
+                key = k
+                rows.append(row)
+            yield drain()
+        if rows:
+            finish(key, rows)
+        yield drain()
+
+    return run
+
+
+def _mark(tables: int, most: int):
+    """The rows of a block pair (rep, signs, side, t) that may have a link there which no earlier table has."""
+
+    def run(batches):
+        out: dict[str, list] = {"key": [], "rep": [], "side": [], "t": []}
+
+        def finish(key, rows):
+            side, t = np.array([r[2] for r in rows]), rows[0][3]
+            signs = _read_signs([r[1] for r in rows], tables)
+            flat = signs.reshape(len(rows), -1)
+            hit = np.zeros(len(rows), bool)
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            some = max(1, 8192 // len(right)) if len(right) else 1
+            for a in range(0, len(left), some):
+                part = left[a : a + some]
+                i, j = np.nonzero(np.bitwise_count(flat[part][:, None] ^ flat[right][None]).sum(axis=2, dtype=np.int32) <= most)
+                i, j = part[i], right[j]
+                good = (i < j) if side[0] == 2 else (i != j)
+                i, j = i[good], j[good]
+                if t and len(i):
+                    first = ~(signs[i, :t] == signs[j, :t]).all(axis=2).any(axis=1)
+                    i, j = i[first], j[first]
+                hit[i] = True
+                hit[j] = True
+            for i in np.flatnonzero(hit).tolist():
+                for name, x in zip(out, (key, rows[i][0], int(side[i]), t), strict=True):
+                    out[name].append(x)
+
+        def drain():
+            got = pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["rep"], pa.int64()), pa.array(out["side"], pa.int32()), pa.array(out["t"], pa.int32())], list(out))
+            for x in out.values():
+                x.clear()
+            return got
+
+        yield from _by_key(("rep", "signs", "side", "t"), finish, drain)(batches)
+
+    return run
+
+
 def _joined(pairs_i, pairs_j, n):
     """The smallest member joined to each of n local members by the pairs."""
     root = np.arange(n)
@@ -80,43 +154,39 @@ def _joined(pairs_i, pairs_j, n):
         root = new
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, tables: int):
+    """Exact cosines between the marked rows (rep, copies, vector, signs, side, t) of a block pair."""
+
     def run(batches):
         out_rep, out_low, out_links = [], [], []
 
-        def finish(rows):
-            """rows of one block pair: [(rep, copies, vector, signs, side, t)]"""
+        def finish(_, rows):
             rows.sort(key=lambda r: r[0])
-            rep = np.array([r[0] for r in rows])
-            copies = np.array([r[1] for r in rows])
-            side = np.array([r[4] for r in rows])
+            rep, copies, side, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[4] for r in rows]), rows[0][5]
             widths = np.array([len(r[2]) for r in rows])
-            t = rows[0][5]
+            signs = _read_signs([r[3] for r in rows], tables)
             got_i, got_j = [], []
             for width in set(widths.tolist()):
                 at = np.flatnonzero(widths == width)
                 left, right = at[side[at] != 1], at[side[at] != 0]
                 if not len(left) or not len(right):
                     continue
-                x = np.stack([np.frombuffer(rows[i][2], "<f8") for i in range(len(rows)) if widths[i] == width])
+                x = np.stack([np.frombuffer(rows[i][2], "<f8") for i in at])
                 x /= np.sqrt((x * x).sum(1))[:, None]
                 place = np.full(len(rows), -1)
                 place[at] = np.arange(len(at))
-                signs = np.stack([np.frombuffer(rows[i][3], "<i4") for i in at])
-                for a in range(0, len(left), 1024):
-                    some = left[a : a + 1024]
-                    i, j = np.nonzero(x[place[some]] @ x[place[right]].T >= threshold)
-                    i, j = some[i], right[j]
-                    good = (i < j) if side[0] == 2 else (i != j)
-                    i, j = i[good], j[good]
-                    if t and len(i):
-                        first = np.ones(len(i), bool)
-                        for k in range(0, len(i), 65_536):
-                            s = slice(k, k + 65_536)
-                            first[s] = ~(signs[place[i[s]], :t] == signs[place[j[s]], :t]).any(1)
-                        i, j = i[first], j[first]
-                    got_i.append(i)
-                    got_j.append(j)
+                i, j = np.nonzero(x[place[left]] @ x[place[right]].T >= threshold)
+                i, j = left[i], right[j]
+                good = (i < j) if side[0] == 2 else (i != j)
+                i, j = i[good], j[good]
+                if t and len(i):
+                    first = np.ones(len(i), bool)
+                    for k in range(0, len(i), 16_384):
+                        s = slice(k, k + 16_384)
+                        first[s] = ~(signs[i[s], :t] == signs[j[s], :t]).all(axis=2).any(axis=1)
+                    i, j = i[first], j[first]
+                got_i.append(i)
+                got_j.append(j)
             i, j = (np.concatenate(got_i), np.concatenate(got_j)) if got_i else (np.zeros(0, int), np.zeros(0, int))
             if len(i):
                 links = np.bincount(i, weights=copies[j], minlength=len(rows)) + np.bincount(j, weights=copies[i], minlength=len(rows))
@@ -132,19 +202,7 @@ def _compare(threshold: float):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["u", "v", "links"])
 
-        key, rows = None, []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("key", "rep", "copies", "vector", "signs", "side", "t")]
-            for k, *row in zip(*columns, strict=True):
-                if k != key and rows:
-                    finish(rows)
-                    rows = []
-                key = k
-                rows.append(row)
-            yield drain()
-        if rows:
-            finish(rows)
-        yield drain()
+        yield from _by_key(("rep", "copies", "vector", "signs", "side", "t"), finish, drain)(batches)
 
     return run
 
@@ -162,27 +220,27 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     )
     n = folded.count()
     planes, tables = plan(n, threshold, miss)
-    # The vectors as packed doubles: what a block compares is what the table holds.
-    packed = folded.select("rep", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_pack, "rep long, label string, copies long, vector binary")
-    hashed = packed.mapInArrow(_hash(planes, tables), "rep long, label string, copies long, vector binary, signs binary, t int, bucket long")
-    sizes = packed.mapInArrow(_hash(planes, tables), "rep long, label string, copies long, vector binary, signs binary, t int, bucket long").groupBy("label", "t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    bytes_each = -(-planes // 8)
+    packed = folded.select("rep", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_pack(planes, tables), "rep long, label string, copies long, vector binary, signs binary")
+    packed = checkpoint(packed)
+    # What travels per table is the id and a digest of label, table and bucket.
+    bucket = lambda t: F.xxhash64("label", t, F.substring("signs", t * bytes_each + 1, bytes_each))
+    placed = packed.select("rep", "signs", "label", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).select("rep", "t", bucket(F.col("t")).alias("k"))
+    sizes = placed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = (
-        hashed.join(sizes, ["label", "t", "bucket"])
+        placed.join(sizes, "k").join(packed.select("rep", "signs"), "rep")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
-            F.xxhash64("label", "t", "bucket").alias("k"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "label", "bucket", "t",
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "copies", "vector", "signs",
+            F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "signs",
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "t",
         )
-        .withColumn("key", F.concat_ws("|", "t", "bucket", "a", "b", "label"))
-    )
-    met = (
-        dealt.repartition("key").sortWithinPartitions("key")
-        .select("key", "rep", "copies", "vector", "signs", "side", "t")
-        .mapInArrow(_compare(threshold), "u long, v long, links long")
     )
+    marked = dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_mark(tables, near_enough(planes, tables, threshold)), "key long, rep long, side int, t int")
+    brought = checkpoint(marked).join(packed.select("rep", "copies", "vector", "signs"), "rep").select("key", "rep", "copies", "vector", "signs", "side", "t")
+    met = brought.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(threshold, tables), "u long, v long, links long")
     met = checkpoint(met)
     joined = components(met.select("u", "v"))
     links = met.groupBy("u").agg(F.sum("links").alias("links"))
@@ -193,8 +251,3 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
-
-def _pack(batches):
-    for batch in batches:
-        packed = pa.array([np.asarray(v.as_py(), "<f8").tobytes() for v in batch.column("v")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("rep").cast(pa.int64()), batch.column("label"), batch.column("copies"), packed], ["rep", "label", "copies", "vector"])

@@ -125,9 +125,27 @@ def test_embedding_links_match_brute_force(spark):
         assert got[i] == (near[i].sum(), root[i], root[i] == i)
     for i in range(900, 907):
         assert got[i] == (0, i, True)
+    tall = [(i, (np.array(r[1], float) * f).tolist(), r[2]) for i, (r, f) in enumerate(zip(rows[:240], [1e300, 1e-300, 1e154, 1e-200, 1.0] * 48))] + [(240, [5e-324] * 16, 0), (241, [1e308] * 16, 0)]
+    huge = spark.createDataFrame(tall, "vec_id long, embedding array<double>, label int")
+    scaled = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.link_vectors(huge).collect()}
+    assert all(scaled[i] == got[i][:2] for i in range(240)) and scaled[240] == (1, 240) == scaled[241]
+    twice = spark.createDataFrame([(1, x[0].tolist(), 0), (1, x[0].tolist(), 0), (1, x[40].tolist(), 0), (None, x[0].tolist(), 0), (None, None, None)], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embed_dedup.link_vectors(twice).where("vec_id is not null").collect()) == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True)]
+    assert [tuple(r) for r in embed_dedup.link_vectors(twice).where("vec_id is null").collect()] == [(None, 0, None, True)] * 2
     assert embed_dedup.link_vectors(frame.limit(0)).count() == 0
 
 
+def test_blocks_of_large_buckets_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(24) + 0.11 * rng.standard_normal((90, 24))
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    whole = sorted(tuple(r) for r in embed_dedup.link_vectors(frame).collect())
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    assert [r[1] for r in whole] == ((y @ y.T >= 0.98).sum(axis=1) - 1).tolist() and sum(r[1] for r in whole) > 100
+    monkeypatch.setattr(embed_dedup, "BLOCK", 4)
+    assert sorted(tuple(r) for r in embed_dedup.link_vectors(frame).collect()) == whole
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(8, 30)] + [(5, 5), (30, 7), (30, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
