@@ -1,20 +1,24 @@
 """MinHash near-dedup (operator 5) with an LSH forest, confirmed on full shingle sets.
 
 A document's set holds its distinct shingles of ``SHINGLE`` words (A-Z lower-cased). Documents of equal sets
-are folded into one. Each set gets a signature of ``TREES * DEPTH`` MinHash values; a tree's order
-sorts documents by its ``DEPTH`` values, and documents with the same first ``BASE`` of them form a region.
-Neighbours in an order have the longest common prefix there, so that where a region is dense the
-candidates are as deep as it allows, and where it is sparse they are shallow.
-
-Rounds: every document proposes, of those outside its component, its best neighbour and the first document of
-a region, judged by the whole signatures; pairs are confirmed on the full sets, and links give
-components. After ``ROUNDS`` rounds a last one compares all pairs across components in
-the regions that still hold several, block by block and on the full sets, and sends on only the links, so none between
-components is lost to the choice of neighbours. At a similarity of 0.75 a pair shares no region with probability
-(1 - 0.75**BASE)**TREES, about 2e-6.
-
-Defined results: null texts and texts without words have no shingles, link with nothing and are kept. Repeated rows
-of one id are linked as copies. A null id names no component: it takes its group's smallest id if it has one.
+are folded into one. Each set gets a signature of ``VALUES`` MinHash values. The forest has ``TREES`` orders: each sorts the
+signatures from another of their values on. Documents with the same first ``BASE`` values of an order form a region; its ``DEEP``
+next values are the label by which the region is sorted, and neighbours there have the longest common prefixes.
+
+1. Neighbours: every document proposes its best neighbour in the orders and the first document of a region.
+2. Leaves: a region with several components is parted along its sorted labels, deeper where it is dense, until a part, a leaf, holds
+   ``BLOCK`` documents at most (or has no further value). All pairs of a leaf across components are candidates.
+3. The rest: in regions that were parted and still hold several components, pairs across leaves and components.
+
+Candidates are judged by the whole signatures, each pair in the first order that has it in one region; only documents with a
+candidate above the floor bring their texts there, and a pair counts if its full sets are alike enough. Links give components.
+So no link between components is lost to the choice of neighbours, and step 3 has work only where step 2 parted a region.
+At a similarity of 0.75 a pair shares no region with probability (1 - 0.75**BASE)**TREES, about 2e-6; the signatures judge a
+true pair below the floor with a probability of about 3e-5.
+
+Defined results: null texts and texts without words have no shingles, link with nothing and are kept. Rows of repeated or null
+ids are documents of their own; a component takes its smallest id, nulls last, and a group of null ids only has none. Very long texts are
+read whole; leaves are dealt so that about ``WEIGHT`` shingles meet in a task at once, or one document. Ties between neighbours go to the smaller id.
 Empty tables give empty results. Other columns are ignored.
 """
 
@@ -25,16 +29,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint
 from .components import components
 
 SHINGLE = 5
-TREES, DEPTH, BASE = 24, 5, 3
-VALUES = TREES * DEPTH
-ROUNDS = 2
-BLOCK = 512
+TREES, STEP, BASE, DEEP = 24, 5, 3, 8
+VALUES = TREES * STEP
+ROUNDS = 1
+BLOCK, WEIGHT = 256, 2_000_000
 #: A candidate's estimated similarity may fall short of the threshold by this: about four standard errors of VALUES values.
 SLACK = 0.16
 _SEEDS = np.random.default_rng(5)
@@ -44,12 +48,14 @@ _P = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(SHINGLE)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept until there are many."""
+    """64-bit hashes of words, kept until there are many; long ones are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 400_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -101,40 +107,46 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["id", "n_shingles", "digest", "signature"])
 
 
-def regions(by_tree: np.ndarray) -> np.ndarray:
-    """(documents, TREES): a hash of each tree's first values."""
-    region = np.zeros(by_tree.shape[:2], np.uint64)
+def regions(v: np.ndarray) -> np.ndarray:
+    """(documents, TREES): a hash of each order's first values."""
+    region = np.zeros((len(v), TREES), np.uint64)
     for d in range(BASE):
-        region = (region ^ by_tree[:, :, d]) * np.uint64(0x9E3779B97F4A7C15)
+        region = (region ^ v[:, d::STEP]) * np.uint64(0x9E3779B97F4A7C15)
         region ^= region >> np.uint64(31)
     return region
 
 
+def labels(v: np.ndarray) -> np.ndarray:
+    """(documents, TREES): a byte of each of an order's next values, the first one on top."""
+    label = np.zeros((len(v), TREES), np.uint64)
+    for d in range(BASE, BASE + DEEP):
+        label = (label << np.uint64(8)) | (v[:, (np.arange(TREES) * STEP + d) % VALUES] & np.uint32(255))
+    return label
+
+
+def _values(column) -> np.ndarray:
+    return np.array([np.frombuffer(x.as_py(), "<u4") for x in column], np.uint32).reshape(-1, VALUES)
+
+
 def _plant(batches):
-    """Per document and tree: the region and the rest of its label."""
+    """Per document and order: the region and the label."""
     for batch in batches:
-        v = np.array([np.frombuffer(x.as_py(), "<u4") for x in batch.column("signature")], np.uint32).reshape(-1, VALUES)
+        v = _values(batch.column("signature"))
         n = len(v)
         if not n:
             continue
-        by_tree = v.reshape(n, TREES, DEPTH)
-        region = regions(by_tree)
-        label = np.zeros((n, TREES), np.uint64)
-        for d in range(BASE, DEPTH):
-            label = (label << np.uint64(32)) | by_tree[:, :, d]
-        rep = np.repeat(np.asarray(batch.column("rep")), TREES)
+        each = np.repeat(np.arange(n), TREES)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rep, pa.int64()), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(region.ravel().view(np.int64)), pa.array(label.ravel().view(np.int64))],
-            ["rep", "t", "region", "label"],
+            [batch.column("rep").take(pa.array(each)), batch.column("n").take(pa.array(each)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(regions(v).ravel().view(np.int64)), pa.array(labels(v).ravel().view(np.int64))],
+            ["rep", "n", "t", "region", "label"],
         )
 
 
 def _short(batches):
-    """The signatures with a byte per value, enough to estimate similarity, then four bytes of each tree's region."""
+    """The signatures with a byte per value, enough to estimate similarity, then four bytes of each order's region."""
     for batch in batches:
-        v = np.array([np.frombuffer(x.as_py(), "<u4") for x in batch.column("signature")], np.uint32).reshape(-1, VALUES)
-        r = regions(v.reshape(len(v), TREES, DEPTH)).astype("<u4")
-        v = [a.astype(np.uint8).tobytes() + b.tobytes() for a, b in zip(v, r, strict=True)]
+        v = _values(batch.column("signature"))
+        v = [a.tobytes() + b.tobytes() for a, b in zip(v.astype(np.uint8), regions(v).astype("<u4"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(v, pa.binary())], ["rep", "short"])
 
 
@@ -173,54 +185,95 @@ def _neighbours(floor: float):
     return run
 
 
+def _candidates(component, short, leaf, side, t: int, floor: float):
+    """(i, j) by rows of a block pair: of different components, alike above the floor, in one region here first, and (in step 3) of different leaves."""
+    values = np.stack([np.frombuffer(x, np.uint8, VALUES) for x in short])
+    region = np.stack([np.frombuffer(x, "<u4", TREES, VALUES) for x in short])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for i in left.tolist():
+        j = right[right > i] if side[0] == 2 else right
+        j = j[component[j] != component[i]]
+        if leaf[0] is not None:
+            j = j[leaf[j] != leaf[i]]
+        j = j[_alike(values[j], values[i]) >= floor]
+        if t and len(j):
+            j = j[~(region[j, :t] == region[i, :t]).any(axis=1)]
+        if len(j):
+            yield i, j
+
+
+def _by_key(batches, names: tuple[str, ...], finish):
+    """Over rows sorted by key: yields what ``finish`` makes of all rows of each key, once per batch."""
+    key, rows, found = None, [], []
+    for batch in batches:
+        for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", *names)], strict=True):
+            if k != key and rows:
+                found += finish(key, rows)
+                rows = []
+            key = k
+            rows.append(row)
+        yield found
+        found = []
+    yield finish(key, rows) if rows else []
+
+
+def _mark(floor: float):
+    """The rows of block pairs (rep, component, short, leaf, side, t) that have a candidate there."""
+
+    def finish(key, rows):
+        rep, component, short, leaf, side, t = zip(*rows, strict=True)
+        hit = set()
+        for i, j in _candidates(np.array(component), short, np.array(leaf), np.array(side), t[0], floor):
+            hit.add(i)
+            hit.update(j.tolist())
+        return [(key, *rows[i]) for i in sorted(hit)]
+
+    def run(batches):
+        names = ["key", "rep", "component", "short", "leaf", "side", "t"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+        for found in _by_key(batches, tuple(names[1:]), finish):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in enumerate(kinds)], names)
+
+    return run
+
+
 def _across(floor: float, percent: int):
-    """Over the rows of block pairs, sorted by key: links between different components, each pair judged on its full sets in the first tree that it shares."""
+    """Over the marked rows of block pairs with their texts: links between components, until those they join are one."""
     known = WordHashes()
 
-    def links(rows):
-        rep = np.array([r[0] for r in rows])
-        component = np.array([r[1] for r in rows])
-        short = np.stack([np.frombuffer(r[2], np.uint8, VALUES) for r in rows])
-        region = np.stack([np.frombuffer(r[2], "<u4", TREES, VALUES) for r in rows])
-        side, t = np.array([r[3] for r in rows]), rows[0][4]
+    def finish(_, rows):
+        rep, component, short, leaf, side, t, text = zip(*rows, strict=True)
         sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
 
         def full(i):
             if i not in sets:
-                s = shingles(rows[i][5], known)
-                sets[i] = s if digest(s) == rows[i][6] else None  # None: another row of a repeated id
+                sets[i] = shingles(text[i], known)
             return sets[i]
 
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for i in left:
-            j = right[component[right] != component[i]]
-            if side[0] == 2:
-                j = j[rep[j] > rep[i]]
-            j = j[_alike(short[j], short[i]) >= floor]
-            if t and len(j):
-                j = j[~(region[j, :t] == region[i, :t]).any(axis=1)]
+        def find(c):
+            while c in root:
+                c = root[c]
+            return c
+
+        links = []
+        for i, j in _candidates(np.array(component), short, np.array(leaf), np.array(side), t[0], floor):
             for k in j.tolist():
-                x, y = full(int(i)), full(k)
-                if x is None or y is None or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                a, b = find(component[i]), find(component[k])
+                if a == b:
+                    continue
+                x, y = full(i), full(k)
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    yield max(int(rep[i]), int(rep[k])), min(int(rep[i]), int(rep[k]))
+                    root[max(a, b)] = min(a, b)
+                    links.append((max(rep[i], rep[k]), min(rep[i], rep[k])))
+        return links
 
     def run(batches):
-        key, rows, found = None, [], set()
-        for batch in batches:
-            for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "rep", "component", "short", "side", "t", "text", "digest")], strict=True):
-                if k != key and rows:
-                    found.update(links(rows))
-                    rows = []
-                key = k
-                rows.append(row)
-            yield _pairs(found)
-            found = set()
-        if rows:
-            found.update(links(rows))
-        yield _pairs(found)
+        for found in _by_key(batches, ("rep", "component", "short", "leaf", "side", "t", "text"), finish):
+            yield _pairs(set(found))
 
     return run
 
@@ -236,75 +289,112 @@ def _confirm(percent: int):
         last_text, last = None, None
         for batch in batches:
             good = []
-            for a, b, da, db in zip(*[batch.column(k) for k in ("text_u", "text_v", "digest_u", "digest_v")], strict=True):
+            for a, b in zip(*[batch.column(k) for k in ("text_u", "text_v")], strict=True):
                 a, b = a.as_py(), b.as_py()
                 if b != last_text:
                     last_text, last = b, shingles(b, known)
                 x, y = shingles(a, known), last
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(digest(x) == da.as_py() and digest(y) == db.as_py() and 100 * both >= percent * (len(x) + len(y) - both))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(good, pa.bool_())], ["u", "v", "linked"])
 
     return run
 
 
+def leaves(rows: DataFrame) -> DataFrame:
+    """With a leaf's key, and whether its region was parted. Rows: of regions (t, region) with their size."""
+    region = F.xxhash64("t", "region")
+    prefix = lambda d: F.expr(f"shiftrightunsigned(label, 8 * ({DEEP} - {d}))")
+    flat = rows.where(F.col("size") > BLOCK).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(DEEP)))).select("rep", "t", F.xxhash64("t", "region", "d", prefix("d")).alias("leaf"), "d")
+    fits = flat.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") <= BLOCK).select("leaf")
+    shallow = flat.join(fits, "leaf").groupBy("rep", "t").agg(F.min_by("leaf", "d").alias("fit"))
+    deepest = F.xxhash64("t", "region", F.lit(DEEP), "label")
+    parted = F.col("size") > BLOCK
+    return rows.join(shallow, ["rep", "t"], "left").withColumn("leaf", F.when(parted, F.coalesce("fit", deepest)).otherwise(region)).withColumn("parted", parted).drop("fit")
+
+
+def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows of groups that hold several components, with the groups' sizes and shingles."""
+    groups = rows.groupBy(*keys).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("a < b")
+    return rows.drop("size", "weight").join(groups.select(*keys, "size", "weight"), list(keys))
+
+
+def _links_between(rows: DataFrame, group: Column, leaf: Column, short: DataFrame, bodies: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links across components inside groups, dealt in pairs of blocks. Rows: rep, t, component, size and weight of their group."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    dealt = (
+        rows.select("rep", "t", "component", group.alias("g"), leaf.cast("long").alias("leaf"), blocks.alias("blocks"))
+        .join(short, "rep")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "component", "short", "leaf",
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "t",
+        )
+    )
+    marked = dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_mark(floor), "key long, rep long, component long, short binary, leaf long, side int, t int")
+    brought = checkpoint(marked).join(bodies, "rep").repartition("key").sortWithinPartitions("key", "rep")
+    return checkpoint(brought.mapInArrow(_across(floor, percent), "u long, v long"))
+
+
+def _own_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """id, given (the column's own), text: ids are unique and in the order of given ids, nulls last; whether they had to be made."""
+    rows = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).alias("text"))
+    if not rows.groupBy("given").count().where("count > 1 or given is null").take(1):
+        return rows.select(F.col("given").alias("id"), "given", "text"), False
+    ordered = rows.orderBy(F.col("given").asc_nulls_last(), "text")
+    return checkpoint(ordered.select(F.monotonically_increasing_id().alias("id"), "given", "text")), True
+
+
 def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: one row per input row."""
     floor = percent / 100 - SLACK
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = checkpoint(texts.mapInArrow(_sign, "id long, n_shingles long, digest binary, signature binary"))
-    folded = checkpoint(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")))
-    # Two sets of one id (repeated ids with other texts) share their representative: they count as linked.
-    planted = folded.select("rep", "signature").mapInArrow(_plant, "rep long, t int, region long, label long")
+    texts, made = _own_rows(docs, id_col, text_col)
+    signed = checkpoint(texts.select("id", "text").mapInArrow(_sign, "id long, n_shingles long, digest binary, signature binary"))
+    folded = checkpoint(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    planted = folded.select("rep", "n", "signature").mapInArrow(_plant, "rep long, n long, t int, region long, label long")
     shared = planted.groupBy("t", "region").agg(F.count("*").alias("size")).where("size > 1")
     rows = checkpoint(planted.join(shared.select("t", "region"), ["t", "region"]))
-    inside = rows.select("rep").distinct()
-    chosen = folded.join(inside, "rep")
+    chosen = folded.join(rows.select("rep").distinct(), "rep")
     short = checkpoint(chosen.select("rep", "signature").mapInArrow(_short, "rep long, short binary"))
-    bodies = checkpoint(texts.join(chosen.select("rep", "digest"), F.col("id") == F.col("rep")).select("rep", "digest", "text"))
-
-    edges = joined = tried = None
-    for step in range(ROUNDS + 1):
-        now = rows.withColumn("component", F.col("rep"))
-        if joined is not None:
-            now = rows.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "t", "region", "label", F.coalesce("component", "rep").alias("component"))
-        if joined is not None or step == ROUNDS:
-            mixed = now.groupBy("t", "region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b")
-            now = now.join(mixed.select("t", "region", "size"), ["t", "region"])
-        now = now.join(short, "rep")
-        if step < ROUNDS:
-            ordered = now.select("t", "region", "label", "rep", "component", "short").repartitionByRange("t", "region", "label", "rep").sortWithinPartitions("t", "region", "label", "rep")
-            near = ordered.mapInArrow(_neighbours(floor), "u long, v long, alike double, first boolean")
-            best = near.groupBy("u").agg(F.max_by("v", F.struct("alike", -F.col("v"))).alias("x"), F.min(F.when(F.col("first"), F.col("v"))).alias("y"))
-            pairs = best.select("u", F.explode(F.array("x", "y")).alias("v")).where("v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["u", "v"], "left_anti")
-            first = bodies.select(F.col("rep").alias("u"), F.col("digest").alias("digest_u"), F.col("text").alias("text_u"))
-            second = bodies.select(F.col("rep").alias("v"), F.col("digest").alias("digest_v"), F.col("text").alias("text_v"))
-            judged = checkpoint(pairs.join(first, "u").join(second, "v").mapInArrow(_confirm(percent), "u long, v long, linked boolean"))
-            tried = judged.select("u", "v") if tried is None else tried.unionByName(judged.select("u", "v"))
-            links = judged.where("linked").select("u", "v")
-        else:
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            dealt = (
-                now.join(bodies, "rep")
-                .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                .select(
-                    F.xxhash64("t", "region", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "component", "short", "t", "text", "digest",
-                    F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-                )
-            )
-            links = checkpoint(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_across(floor, percent), "u long, v long"))
-        if not links.take(1):
-            continue
-        edges = links if edges is None else edges.unionByName(links)
-        joined = components(edges)
+    bodies = checkpoint(texts.join(chosen.select("rep"), F.col("id") == F.col("rep")).select("rep", "text"))
+
+    edges = joined = None
+
+    def now() -> DataFrame:
+        if joined is None:
+            return rows.withColumn("component", F.col("rep"))
+        return rows.join(joined, F.col("rep") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
+
+    def add(links: DataFrame) -> None:
+        nonlocal edges, joined
+        if links.take(1):
+            edges = links if edges is None else edges.unionByName(links)
+            joined = components(edges)
+
+    for _ in range(ROUNDS):
+        ordered = now().join(short, "rep").select("t", "region", "label", "rep", "component", "short").repartitionByRange("t", "region", "label", "rep").sortWithinPartitions("t", "region", "label", "rep")
+        near = ordered.mapInArrow(_neighbours(floor), "u long, v long, alike double, first boolean")
+        best = near.groupBy("u").agg(F.max_by("v", F.struct("alike", -F.col("v"))).alias("x"), F.min(F.when(F.col("first"), F.col("v"))).alias("y"))
+        pairs = best.select("u", F.explode(F.array("x", "y")).alias("v")).where("v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        first = bodies.select(F.col("rep").alias("u"), F.col("text").alias("text_u"))
+        second = bodies.select(F.col("rep").alias("v"), F.col("text").alias("text_v"))
+        judged = checkpoint(pairs.join(first, "u").join(second, "v").mapInArrow(_confirm(percent), "u long, v long, linked boolean"))
+        add(judged.where("linked").select("u", "v"))
+
+    grown = checkpoint(leaves(_mixed(now(), "t", "region")).select("rep", "n", "t", "leaf", "parted", "component", F.xxhash64("t", "region").alias("region")))
+    add(_links_between(_mixed(grown, "leaf"), F.col("leaf"), F.lit(None), short, bodies, floor, percent))
+    rows = grown.where("parted").drop("component")
+    add(_links_between(_mixed(now(), "region"), F.col("region"), F.col("leaf"), short, bodies, floor, percent))
+
     by_set = folded.select("digest", "rep")
     if joined is not None:
         by_set = by_set.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     else:
         by_set = by_set.withColumnRenamed("rep", "component_id")
-    out = signed.select("id", "n_shingles", "digest").join(by_set, "digest", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = signed.select("id", "n_shingles", "digest").join(by_set, "digest", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    if made:
+        names = texts.select(F.col("id").alias("_id"), "given")
+        out = out.join(names, F.col("id") == F.col("_id")).drop("id", "_id").withColumnRenamed("given", "id")
+        out = out.join(names, F.col("component_id") == F.col("_id")).drop("component_id", "_id").withColumnRenamed("given", "component_id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

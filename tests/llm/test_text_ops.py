@@ -224,7 +224,7 @@ def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
     base = [[rng.choice(words) for _ in range(n)] for n in (60, 80, 120, 300, 7)]
-    texts = [None, "", "  \n", "One two", "one TWO", "a b c d", "ÀB c d e f", "àb c d e f", "x y z " * 3000]
+    texts = [None, "", "  \n", "One two", "one TWO", "a b c d", "ÀB c d e f", "àb c d e f", "x y z " * 3000, "x y z " * 100_000 + "end"]
     for b in base:
         for edits in [0, 0, 1, 1, 2, 2, 3, 3, 4, 5, 6] * 3:
             c = list(b)
@@ -236,19 +236,38 @@ def test_near_duplicates_match_brute_force(spark):
     assert lsh_forest.link_documents(docs(spark, [])).count() == 0
 
 
-def test_blocks_of_dense_regions_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "BLOCK", 4)
+def test_forest_parts_dense_regions_and_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "ROUNDS", 0)
     rng = random.Random(6)
-    b = [f"w{k}" for k in range(100)]
     texts = []
-    for _ in range(40):
-        c = list(b)
-        for _ in range(rng.randint(0, 5)):
-            c[rng.randrange(100)] = "z"
-        texts.append(" ".join(c))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in lsh_forest.link_documents(docs(spark, texts)).collect()}
-    assert got == dict(enumerate(brute_groups(texts)))
+    for _ in range(2):
+        b = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+        for _ in range(30):
+            c = list(b)
+            for _ in range(rng.randint(0, 5)):
+                c[rng.randrange(100)] = "z"
+            texts.append(" ".join(c))
+    groups = lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in lsh_forest.link_documents(docs(spark, texts)).collect()}
+    want = dict(enumerate(brute_groups(texts)))
+    assert groups() == want
+    monkeypatch.setattr(lsh_forest, "BLOCK", 4)
+    seen = []
+    real = lsh_forest.leaves
+    monkeypatch.setattr(lsh_forest, "leaves", lambda rows: (seen.append(real(rows)), seen[-1])[1])
+    assert groups() == want
+    sizes = [r["count"] for r in seen[0].groupBy("leaf").count().collect()]
+    assert seen[0].where("parted").count() > 0 and len(set(sizes)) > 2
+    # Without the forest's leaves nothing is found.
+    monkeypatch.setattr(lsh_forest, "leaves", lambda rows: real(rows).limit(0))
+    assert groups() != want
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(7, a, 1), (7, b, 2), (3, b + " c", 3), (None, a, 4), (None, "one two three four five six", 5), (None, None, 6), (9, "", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_shingles long")
+    got = sorted((tuple(r) for r in lsh_forest.link_documents(frame).collect()), key=str)
+    assert got == sorted([(7, 36, 7, True), (7, 36, 3, False), (3, 37, 3, True), (None, 36, 7, False), (None, 2, None, True), (None, 0, None, True), (9, 0, 9, True)], key=str)
 
 
 # 6
