@@ -40,11 +40,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that occur earlier go; a character cut in two goes whole. Null texts stay null. Every row stays, whatever its id."""
-    docs = docs.select(*COLUMNS).withColumn("_null", F.col("text").isNull())
-    out = suffix_dedup.remove_repeats(docs, keep=("lang", "source", "n_chars", "_null"))
-    # Where a cut leaves parts of a character, its stray bytes are dropped.
-    repaired = F.regexp_replace(F.make_valid_utf8(F.col("kept")), "�", "")
-    out = out.withColumn("text", F.when(~F.col("_null"), F.coalesce(F.try_validate_utf8(F.col("kept")), repaired)))
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
