@@ -3,18 +3,24 @@
 Only suffixes that can matter are sorted. Positions are selected by content: where the hash of the next ``GRAM`` bytes is
 the least of some ``MATCH``-byte window, so equal windows hold equal selected places and none is without one.
 
-1. Each task asks, by hash, which selected grams occur twice; grams repeated within the task are known at once.
+1. Each task asks, by hash, which selected grams occur twice, and how often; grams repeated within the task are known at once.
 2. Suffixes at repeated grams, up to ``MATCH`` bytes with what can stand before them in a window, are sorted per task;
    equal ones are folded into the earliest. The sorted runs go out front-coded: each suffix as the length of
    the prefix it shares with the one before, and the rest.
 3. Each bucket of grams merges its runs with a loser tree that knows for every contender its common prefix with the
    last winner, so known prefixes are never compared again. The common prefixes of the merged order bound the
    groups of one gram; within a group all windows around it are told apart, and all but the earliest of equal ones are covered.
+   Windows are found equal by a hash and their bytes then compared.
 4. Covered stretches return to their documents by id.
 
+A task holds one bucket at a time, of about 2 MB of texts, and partitions grow in number with the texts. A gram of ``HOT`` occurrences or
+more (a larger number beyond ``HOT << 26`` bytes, so that such grams are 2 million at most) would not fit one: the windows of which it is
+the least gram are keyed each by its own digest instead, pre-aggregated to the earliest, and all others of a digest are covered.
+
 Defined results: null texts count as empty; texts of fewer than ``MATCH`` bytes lose nothing, unless rows repeat (see
 below); nothing is matched across documents. Where ids repeat or are null, rows stand in the order of (id, text), nulls first, each as a document of
-its own. Every input row gives one row. Of other columns those named in ``keep`` stay with their row.
+its own. Every input row gives one row. Very long texts are read whole, their suffixes sorted 50,000 at a time. Empty tables give empty results.
+Of other columns those named in ``keep`` stay with their row, whatever they are called but for the results' own names.
 """
 
 from __future__ import annotations
@@ -27,12 +33,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, wanted_partitions
 
 MATCH, GRAM = 100, 32
 WINDOW = MATCH - GRAM + 1  # grams of a window
 BEFORE = MATCH - GRAM  # bytes of a window in front of its gram at most
 FLUSH = 8 << 20
+HOT = 500_000
 _RNG = np.random.default_rng(10)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -51,10 +58,10 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def selected(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Selected places of a text's bytes, and the hashes of the grams there."""
+def selected(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected places of a text's bytes, the hashes of the grams there, and the least hash of every window."""
     if len(data) < MATCH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = _BYTE[data]
     size = 1
     while size < GRAM:
@@ -66,7 +73,7 @@ def selected(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = _slide(g, WINDOW, np.minimum)
     pad = np.zeros(WINDOW - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == g)
-    return at, g[at]
+    return at, g[at], least
 
 
 # What goes back to documents travels packed, by buckets of ids
@@ -92,17 +99,49 @@ def by_doc_bucket(ids, payloads: list[bytes], buckets: int) -> tuple[list[int],
     return list(held), [pack_docs(*zip(*x, strict=True)) for x in held.values()]
 
 
+def _by_key(batches, finish):
+    """Over (key, kind, blob) rows sorted by key: what ``finish`` makes of the blobs of kind 0 of each key, and blobs of kind 1 as they are, as (key, blob) rows."""
+    key, blobs = None, []
+    for batch in batches:
+        keys, out = [], []
+        for k, kind, blob in zip(*[batch.column(c).to_pylist() for c in ("key", "kind", "blob")], strict=True):
+            if k != key and blobs:
+                made = finish(blobs)
+                keys += made[0]
+                out += made[1]
+                blobs = []
+            key = k
+            if kind:
+                keys.append(k)
+                out.append(blob)
+            else:
+                blobs.append(blob)
+        yield keys, out
+    yield finish(blobs) if blobs else ([], [])
+
+
+def _blob_rows(keys, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+
 def _deal(batches):
-    """One row per document with all that was packed for it; a bucket's packs meet in one partition."""
-    held: dict[int, list[bytes]] = {}
+    """One row per document with all that was packed for it; rows are sorted by the documents' bucket."""
+    key, held = None, {}
+
+    def drain():
+        ids = list(held)
+        for a in range(0, len(ids), 1000):
+            part = ids[a : a + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([b"".join(held.pop(i)) for i in part], pa.binary())], ["at", "payload"])
+
     for batch in batches:
-        for blob in batch.column("blob"):
+        for k, blob in zip(batch.column("key").to_pylist(), batch.column("blob"), strict=True):
+            if k != key:
+                yield from drain()
+            key = k
             for i, p in unpack_docs(blob.as_py()):
                 held.setdefault(i, []).append(p)
-    ids = list(held)
-    for a in range(0, len(ids), 1000):
-        part = ids[a : a + 1000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([b"".join(held.pop(i)) for i in part], pa.binary())], ["at", "payload"])
+    yield from drain()
 
 
 # 1. Which grams occur twice
@@ -124,9 +163,8 @@ def _ask(buckets: int, doc_buckets: int):
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(doc[order])) + 1])
                 keys, blobs = by_doc_bucket([int(ids[d]) for d in doc[order[starts]]], [np.unique(x).tobytes() for x in np.split(flat[order], starts[1:])], doc_buckets)
             kinds = [1] * len(keys)
-            asked = np.zeros(len(flat), bool)
-            asked[first] = True  # one entry for each gram; of those known here, it only tells the others
-            at = np.flatnonzero(asked)
+            at = np.sort(first)  # one entry for each gram, with its number; of those known here, it only tells the others
+            times = n[where]
             part = flat[at] % np.uint64(buckets)
             by = np.argsort(part, kind="stable")
             at, part = at[by], part[by]
@@ -134,7 +172,7 @@ def _ask(buckets: int, doc_buckets: int):
             for x in np.split(at, cut) if len(at) else []:
                 local, index = np.unique(doc[x], return_inverse=True)
                 keys.append(int(flat[x[0]] % np.uint64(buckets)))
-                blobs.append(struct.pack("<II", len(local), len(x)) + np.array([ids[d] for d in local], "<i8").tobytes() + flat[x].tobytes() + index.astype("<u4").tobytes() + twice[x].tobytes())
+                blobs.append(struct.pack("<II", len(local), len(x)) + np.array([ids[d] for d in local], "<i8").tobytes() + flat[x].tobytes() + index.astype("<u4").tobytes() + times[x].astype("<u4").tobytes())
                 kinds.append(0)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["key", "kind", "blob"])
 
@@ -155,42 +193,75 @@ def _ask(buckets: int, doc_buckets: int):
     return run
 
 
-def _answer(doc_buckets: int):
-    """All askers of a gram meet here; documents learn which of their grams occur elsewhere."""
+def _answer(doc_buckets: int, hot: int):
+    """All askers of a gram meet here; documents learn which of their grams occur elsewhere. Grams of ``hot`` occurrences come with a blob of no bytes."""
+
+    def finish(blobs):
+        docs, grams, times = [], [], []
+        for blob in blobs:
+            n_docs, n = struct.unpack_from("<II", blob)
+            at = 8 + 8 * n_docs
+            grams.append(np.frombuffer(blob, "<u8", n, at))
+            docs.append(np.frombuffer(blob, "<i8", n_docs, 8)[np.frombuffer(blob, "<u4", n, at + 8 * n)])
+            times.append(np.frombuffer(blob, "<u4", n, at + 12 * n))
+        g, d, k = np.concatenate(grams), np.concatenate(docs), np.concatenate(times)
+        known, where, n = np.unique(g, return_inverse=True, return_counts=True)
+        often = known[np.bincount(where, weights=k) >= hot].view(np.int64).tolist()
+        again = (n[where] > 1) & (k == 1)
+        g, d = g[again], d[again]
+        if not len(d):
+            return often, [b""] * len(often)
+        by = np.argsort(d, kind="stable")
+        g, d = g[by], d[by]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+        keys, packs = by_doc_bucket(d[starts].tolist(), [x.tobytes() for x in np.split(g, starts[1:])], doc_buckets)
+        return keys + often, packs + [b""] * len(often)
+
+    def run(batches):
+        for found in _by_key(batches, finish):
+            yield _blob_rows(*found)
+
+    return run
+
+
+def _windows(shared):
+    """The windows whose least gram is among the shared ones: their bytes, document and start."""
 
     def run(batches):
-        docs, grams, known = [], [], []
         for batch in batches:
-            keys, passed = [], []
-            for key, kind, blob in zip(*[batch.column(k).to_pylist() for k in ("key", "kind", "blob")], strict=True):
-                if kind == 1:
-                    keys.append(key)
-                    passed.append(blob)
-                    continue
-                n_docs, n = struct.unpack_from("<II", blob)
-                at = 8
-                ids = np.frombuffer(blob, "<i8", n_docs, at)
-                at += 8 * n_docs
-                grams.append(np.frombuffer(blob, "<u8", n, at))
-                docs.append(ids[np.frombuffer(blob, "<u4", n, at + 8 * n)])
-                known.append(np.frombuffer(blob, np.uint8, n, at + 12 * n).astype(bool))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(passed, pa.binary())], ["key", "blob"])
-        if grams:
-            g, d, k = np.concatenate(grams), np.concatenate(docs), np.concatenate(known)
-            _, where, n = np.unique(g, return_inverse=True, return_counts=True)
-            again = (n[where] > 1) & ~k
-            g, d = g[again], d[again]
-            by = np.argsort(d, kind="stable")
-            g, d = g[by], d[by]
-            if len(d):
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-                keys, blobs = by_doc_bucket(d[starts].tolist(), [x.tobytes() for x in np.split(g, starts[1:])], doc_buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+            windows, docs, starts = [], [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                data = (text.as_py() or "").encode("utf-8", "replace")
+                at = np.flatnonzero(np.isin(selected(np.frombuffer(data, np.uint8))[2], shared.value)).tolist()
+                windows += [data[a : a + MATCH] for a in at]
+                docs += [i] * len(at)
+                starts += at
+            for a in range(0, len(docs), 20_000):
+                s = slice(a, a + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(windows[s], pa.binary()), pa.array(docs[s], pa.int64()), pa.array(starts[s], pa.int64())], ["window", "doc", "start"])
 
     return run
 
 
+def _window_covers(doc_buckets: int):
+    def run(batches):
+        for batch in batches:
+            doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "start"))
+            yield _blob_rows(*by_doc_bucket(*_cover_rows(doc, start, start + MATCH), doc_buckets))
+
+    return run
+
+
+def covered_by_window(rows: DataFrame, shared, doc_buckets: int) -> DataFrame:
+    """(key, blob) of stretches covered by windows around hot grams: all of equal windows but the earliest."""
+    windows = rows.select("id", "text").mapInArrow(_windows(shared), "window binary, doc long, start long")
+    windows = windows.select(F.unhex(F.left(F.sha2("window", 256), F.lit(32))).alias("w"), F.struct("doc", "start").alias("place"))
+    first = windows.groupBy("w").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
+    # Read back, it has no aggregate in front of the join, so that a window of very many documents can be split.
+    again = windows.join(checkpoint(first), "w").where(F.col("place") > F.col("first")).select("place.*")
+    return again.mapInArrow(_window_covers(doc_buckets), "key long, blob binary")
+
+
 # 2. Sorted runs
 
 
@@ -244,7 +315,7 @@ def _cover_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[li
     return doc[np.concatenate([[0], cut])].tolist() if len(doc) else [], [x.tobytes() for x in np.split(both, cut)] if len(doc) else []
 
 
-def _runs(buckets: int, doc_buckets: int):
+def _runs(buckets: int, doc_buckets: int, shared):
     def run(batches):
         held, size = [], 0
 
@@ -273,8 +344,10 @@ def _runs(buckets: int, doc_buckets: int):
                 if not grams.is_valid:  # nothing of it occurs twice
                     continue
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), np.uint8)
-                at, g = selected(data)
+                at, g, _ = selected(data)
                 good = np.isin(g, np.frombuffer(grams.as_py(), "<u8"))
+                if shared is not None:
+                    good &= ~np.isin(g, shared.value)
                 at, g = at[good], g[good]
                 for a in range(0, len(at), 50_000):
                     part = at[a : a + 50_000]
@@ -359,6 +432,11 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]):
             i //= 2
 
 
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, c: int) -> np.ndarray:
+    """Whether rows a and b have the same window from column c on."""
+    return (text[a, c : c + MATCH] == text[b, c : c + MATCH]).all(axis=1)
+
+
 def covered(rows: np.ndarray, group: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     """(doc, start, end) of covered stretches. ``group``: the number of the gram's group, for rows of suffix, length, before, length."""
     by = np.lexsort((pos, doc))
@@ -378,9 +456,13 @@ def covered(rows: np.ndarray, group: np.ndarray, doc: np.ndarray, pos: np.ndarra
         c = BEFORE - o
         window = sums[fits, c + MATCH] - sums[fits, c] * _power(MATCH)
         window ^= window >> np.uint64(31)
-        _, at = np.unique(window * np.uint64(0xBF58476D1CE4E5B9) + salt[fits], return_index=True)  # the earliest, as rows stand in order
-        again = np.ones(len(fits), bool)
-        again[at] = False
+        _, at, where = np.unique(window * np.uint64(0xBF58476D1CE4E5B9) + salt[fits], return_index=True, return_inverse=True)
+        origin = fits[at[where]]  # the earliest, as rows stand in order
+        again = origin != fits
+        if not (same_bytes(text, fits[again], origin[again], c) & (group[fits[again]] == group[origin[again]])).all():
+            whole = np.concatenate([text[fits, c : c + MATCH], group[fits].astype("<i8")[:, None].view(np.uint8)], axis=1)
+            _, at, where = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            again = fits[at[where]] != fits
         hit = fits[again]
         first[hit] = np.minimum(first[hit], o)
         last[hit] = np.maximum(last[hit], o)
@@ -410,21 +492,8 @@ def merge_bucket(blobs: list[bytes]):
 
 def _merge(doc_buckets: int):
     def run(batches):
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            keys, passed = [], []
-            for key, kind, blob in zip(*[batch.column(k).to_pylist() for k in ("key", "kind", "blob")], strict=True):
-                if kind == 1:
-                    keys.append(key)
-                    passed.append(blob)
-                else:
-                    held.setdefault(key, []).append(blob)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(passed, pa.binary())], ["key", "blob"])
-        for key in sorted(held):
-            keys, blobs = by_doc_bucket(*_cover_rows(*merge_bucket(held.pop(key))), doc_buckets)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+        for found in _by_key(batches, lambda blobs: by_doc_bucket(*_cover_rows(*merge_bucket(blobs)), doc_buckets)):
+            yield _blob_rows(*found)
 
     return run
 
@@ -442,25 +511,42 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.concatenate([new[1:], [True]])]], axis=1)
 
 
+def without(data: bytes, spans) -> bytes:
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]])
+
+
+def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
+    """The stretch with all of the characters that it cuts in two."""
+    while a > 0 and data[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(data) and data[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
 def _finish(batches):
     for batch in batches:
-        out = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
+        out = {"n_bytes": [], "n_removed": [], "spans": [], "kept": [], "text": []}
         for text, payload in zip(batch.column("text"), batch.column("payload"), strict=True):
             data = (text.as_py() or "").encode("utf-8", "replace")
             spans = union(np.frombuffer(payload.as_py() or b"", "<i8").reshape(-1, 2))
-            kept, at = [], 0
-            for a, b in spans.tolist():
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
             out["n_bytes"].append(len(data))
             out["n_removed"].append(int((spans[:, 1] - spans[:, 0]).sum()))
             out["spans"].append([{"start": a, "end": b} for a, b in spans.tolist()])
-            out["kept"].append(b"".join(kept))
-        carried = [batch.column("carried")] if "carried" in batch.schema.names else []
+            if "carried" in batch.schema.names:
+                wide = union(np.array([whole_characters(data, a, b) for a, b in spans.tolist()], np.int64).reshape(-1, 2))
+                out["text"].append(without(data, wide.tolist()).decode() if text.is_valid else None)
+                out["kept"].append(None)
+            else:
+                out["kept"].append(without(data, spans.tolist()))
+        carried = {"text": pa.array(out["text"], pa.string()), "carried": batch.column("carried")} if "carried" in batch.schema.names else {"kept": pa.array(out["kept"], pa.binary())}
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept"], pa.binary()), *carried],
-            ["id", "n_bytes", "n_removed", "spans", "kept", *["carried"] * len(carried)],
+            [batch.column("id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *carried.values()],
+            ["id", "n_bytes", "n_removed", "spans", *carried],
         )
 
 
@@ -476,18 +562,28 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_bytes, n_removed, spans (array of start, end), kept (the remaining bytes), the columns named in ``keep``: one row per input row."""
+    """id, n_bytes, n_removed, spans (array of start, end) and kept, the remaining bytes: one row per input row.
+
+    With columns named in ``keep``, these instead of ``kept``, and text: what remains as text, in which a character that is cut goes whole; null texts stay null.
+    """
+    spark = docs.sparkSession
     rows, given, total = _numbered(docs, id_col, text_col, keep)
-    buckets, doc_buckets = max(16, total >> 21), max(16, total >> 23)
-    packed, dealt = "key long, blob binary", "at long, payload binary"
-    asked = rows.select("id", "text").mapInArrow(_ask(buckets, doc_buckets), "key long, kind int, blob binary")
-    answers = asked.repartition("key").mapInArrow(_answer(doc_buckets), packed).repartition("key").mapInArrow(_deal, dealt)
+    buckets, doc_buckets, parts = max(16, total >> 21), max(16, total >> 23), wanted_partitions(spark, total)
+    asked_for, packed, dealt = "key long, kind int, blob binary", "key long, blob binary", "at long, payload binary"
+    met = lambda df: df.repartition(parts, "key").sortWithinPartitions("key")
+    asked = rows.select("id", "text").mapInArrow(_ask(buckets, doc_buckets), asked_for)
+    found = checkpoint(met(asked).mapInArrow(_answer(doc_buckets, max(HOT, total >> 26)), packed))
+    hot = [r["key"] for r in found.where(F.octet_length("blob") == 0).select("key").collect()]
+    shared = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64)) if hot else None
+    answers = met(found.where(F.octet_length("blob") > 0)).mapInArrow(_deal, dealt)
     # Both joins keep every document with all its columns, so that they share one exchange of the texts.
-    runs = rows.join(answers, F.col("id") == F.col("at"), "left").select(*rows.columns, "payload").mapInArrow(_runs(buckets, doc_buckets), "key long, kind int, blob binary")
-    spans = runs.repartition("key").mapInArrow(_merge(doc_buckets), packed).repartition("key").mapInArrow(_deal, dealt)
-    out = rows.join(spans, F.col("id") == F.col("at"), "left").select(*rows.columns, "payload")
-    carried = f", carried {rows.schema['carried'].dataType.simpleString()}" if keep else ""
-    out = out.mapInArrow(_finish, f"id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary{carried}")
+    runs = rows.join(answers, F.col("id") == F.col("at"), "left").select(*rows.columns, "payload").mapInArrow(_runs(buckets, doc_buckets, shared), asked_for)
+    covers = met(runs).mapInArrow(_merge(doc_buckets), packed)
+    if shared is not None:
+        covers = covers.unionByName(covered_by_window(rows, shared, doc_buckets))
+    out = rows.join(met(covers).mapInArrow(_deal, dealt), F.col("id") == F.col("at"), "left").select(*rows.columns, "payload")
+    rest = f"text string, carried {rows.schema['carried'].dataType.simpleString()}" if keep else "kept binary"
+    out = out.mapInArrow(_finish, f"id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, {rest}")
     if given is not None:
         out = out.join(given, F.col("id") == F.col("own")).withColumn("id", F.col("given")).drop("own", "given")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept", *["carried.*"] * bool(keep))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", *(["text", "carried.*"] if keep else ["kept"]))

@@ -460,6 +460,34 @@ def test_repeats_match_brute_force(spark):
     assert repeats(docs(spark, [])) == []
 
 
+def test_hot_grams_are_split_by_window(spark, monkeypatch):
+    rng = random.Random(21)
+    make = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    line, passage = make(60), make(160)
+    texts = [make(rng.randint(0, 90)) + rng.choice([line, passage, passage[20:], ""]) + make(rng.randint(0, 90)) for _ in range(80)]
+    whole = repeats(docs(spark, texts))
+    assert whole == brute_cover(enumerate(texts))
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    used = []
+    real = suffix_dedup.covered_by_window
+    monkeypatch.setattr(suffix_dedup, "covered_by_window", lambda *a: (used.append(len(a[1].value)), real(*a))[1])
+    assert repeats(docs(spark, texts)) == whole and used and used[0] > 0
+
+
+def test_windows_of_equal_hashes_are_told_apart_by_their_bytes(spark, monkeypatch):
+    rng = random.Random(22)
+    make = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    shared = make(120)
+    texts = [make(40) + shared[: rng.randint(90, 120)] + make(40) for _ in range(30)]
+    gram = suffix_dedup.selected
+    rows = [suffix_dedup._contexts(np.frombuffer(t.encode(), np.uint8), gram(np.frombuffer(t.encode(), np.uint8))[0]) for t in texts]
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(30), [len(r) for r in rows])
+    plain = suffix_dedup.covered(flat, np.zeros(len(flat), np.int64), doc, np.zeros(len(flat), np.int64))
+    monkeypatch.setattr(suffix_dedup, "_BYTE", np.zeros(256, np.uint64))  # every window has the same hash
+    again = suffix_dedup.covered(flat, np.zeros(len(flat), np.int64), doc, np.zeros(len(flat), np.int64))
+    assert len(plain[0]) and all((a == b).all() for a, b in zip(plain, again))
+
+
 def test_repeated_and_null_ids_each_get_a_row(spark):
     rng = random.Random(2)
     t = "".join(rng.choice("abcdef ") for _ in range(300))
@@ -468,6 +496,24 @@ def test_repeated_and_null_ids_each_get_a_row(spark):
     assert got == [(0, 150, 0), (1, 300, 150), (1, 300, 300), (2, 0, 0)]
 
 
+def test_cut_characters_go_whole_and_others_stay(spark):
+    rng = random.Random(23)
+    make = lambda n: "".join(rng.choice("日本語é☃\ufffd") for _ in range(n))
+    shared = make(60)
+    texts = [make(9) + shared + make(9), make(5) + shared[1:] + make(7), "\ufffd", None, shared]
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, texts), keep=("lang", "rep")).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        gone = {k for a, b in [(s["start"], s["end"]) for s in out[i]["spans"]] for k in range(a, b)}
+        want, at = "", 0
+        for ch in t or "":
+            n = len(ch.encode())
+            want += "" if gone & set(range(at, at + n)) else ch
+            at += n
+        assert out[i]["text"] == (None if t is None else want) and len(data) == out[i]["n_bytes"] and out[i]["rep"] == "y"
+    assert len(out[1]["spans"]) and out[2]["text"] == "\ufffd"
+
+
 def test_merge_never_compares_known_prefixes(monkeypatch):
     rng = random.Random(11)
     strings = [bytes(rng.choice(b"ab") for _ in range(20)) for _ in range(300)]
@@ -550,7 +596,7 @@ def test_repeated_passages_stage_with_null_and_repeated_ids(spark):
     rng = random.Random(13)
     make = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
     shared = [make(150), make(300)]
-    rows, frame = odd_ids(spark, [None, None, "", "", *[make(rng.randint(0, 80)) + rng.choice([*shared, ""]) + make(rng.randint(0, 80)) for _ in range(30)]])
+    rows, frame = odd_ids(spark, [None, None, "", "", "\ufffd" + shared[0] + "\ufffd", *[make(rng.randint(0, 80)) + rng.choice([*shared, ""]) + make(rng.randint(0, 80)) for _ in range(30)]])
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2]))
     want = [(r[2], r[3], r[0], None if r[1] is None else c[4]) for r, c in zip(rows, brute_cover([(r[0], r[1]) for r in rows]), strict=True)]
     out = corpus_pipeline.repeated_passages_stage(spark, frame, "").collect()
