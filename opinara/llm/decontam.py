@@ -15,6 +15,7 @@ over the documents. Weights come from the segments of all items, so that they do
 
 Defined results: null and empty texts have no passages and no leaks; items of null or empty text are never met; items with equal texts
 are all reported, and an id with several texts if one of them is met. A null id is reported as null, first. Repeated rows each get a row; ids of documents may repeat or be null. Without items no document leaks.
+Very long texts are read whole, passage by passage; other columns are carried only if named in ``keep``, and clash with none of the results.
 """
 
 from __future__ import annotations

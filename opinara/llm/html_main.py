@@ -10,7 +10,9 @@ counts. ``labelled_pages`` makes pages of many layouts with labels in ``data-mai
 The text is that of blocks with a marginal of at least a half, in page order. Scripts, styles, comments of the markup and the head never count.
 
 Defined results: null and empty pages give the empty text. Broken markup is read as browsers do where that
-matters here: a new block closes an open paragraph, stray end tags are skipped, an unclosed page ends at its end. Repeated rows each get a row.
+matters here: a new block closes an open paragraph, stray end tags are skipped, an unclosed page ends at its end. Very long and very deeply nested
+pages are read whole, in time that grows with their length. Repeated rows each get a row, empty tables give empty results, and of other
+columns those named in ``keep`` stay. Without labelled pages the weights are 0, every marginal is a half, and all text outside scripts, styles and the like counts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import html
 import math
 import random
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -45,6 +48,8 @@ class Page:
         self.chars, self.linked, self.children = [0], [0], [0]
         self.flow: list[tuple[int, str | None]] = []  # (block, text), or (block, None) at a border
         stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their block
+        self._open: dict[str, list[int]] = {}  # of each tag its places in the stack
+        nearest = lambda tags: max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
         links, at = 0, 0
         head = False
         while m := TOKEN.match(source, at):
@@ -68,7 +73,7 @@ class Page:
             if tag == "body":
                 head = False
             if close:
-                if any(t == tag for t, _ in stack[1:]):
+                if self._open.get(tag):
                     links = self._close(stack, tag, links)
                 continue
             if tag in SKIPPED:
@@ -76,21 +81,18 @@ class Page:
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 continue
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack[1:]):
+            if tag in CLOSES_P and self._open.get("p"):
                 links = self._close(stack, "p", links)
             if tag in ENDS_OWN_KIND:
-                ends, holds = ENDS_OWN_KIND[tag].split(), HOLDS[tag].split()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in holds:
-                        break
-                    if stack[k][0] in ends:
-                        links = self._close(stack, stack[k][0], links)
-                        break
+                k = nearest(ENDS_OWN_KIND[tag].split())
+                if k > nearest(HOLDS[tag].split()):
+                    links = self._close(stack, stack[k][0], links)
             if tag == "br":
                 self.flow.append((stack[-1][1], " "))
             if tag in VOID:
                 continue
             if tag in INLINE:
+                self._open.setdefault(tag, []).append(len(stack))
                 stack.append((tag, stack[-1][1]))
                 links += tag == "a"
                 continue
@@ -102,6 +104,7 @@ class Page:
             self.linked.append(0)
             self.children.append(0)
             self.children[parent] += 1
+            self._open.setdefault(tag, []).append(len(stack))
             stack.append((tag, len(self.tags) - 1))
             self.flow.append((len(self.tags) - 1, None))
             if rest.endswith("/") and tag not in CLOSES_P:
@@ -109,7 +112,8 @@ class Page:
 
     def _close(self, stack, tag: str, links: int) -> int:
         while True:
-            t, block = stack.pop()
+            t, _ = stack.pop()
+            self._open[t].pop()
             if t == "a":
                 links -= 1
             elif t not in INLINE:
@@ -221,6 +225,8 @@ def train(pages: list[str], rounds: int = 45, rate: float = 0.5, l2: float = 0.0
     """Fit by adaptive gradient ascent on the pages' likelihood; labels are in ``data-main`` attributes."""
     model, parsed = TreeModel(), [Page(p) for p in pages]
     labels = [p.labels() for p in parsed]
+    if not pages:
+        return model
     seen_w: dict[str, float] = {}
     seen_p = {k: [[1e-8] * 2 for _ in range(2)] for k in model.pairs}
     for _ in range(rounds):
@@ -271,8 +277,8 @@ PART_NAMES = {
 }
 
 
-def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
-    """Pages of many layouts; ``data-main`` says which elements are the article."""
+def labelled_pages(n: int = 120, seed: int = 7, named: Callable[[list[str]], list[str]] = list) -> list[str]:
+    """Pages of many layouts; ``data-main`` says which elements are the article. ``named`` picks, of each list of names, those to use."""
     r = random.Random(seed)
 
     def words(a: int, b: int) -> str:
@@ -301,11 +307,11 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
         return out
 
     def part(kind: str) -> str:
-        names = PART_NAMES[kind]
+        names = named(PART_NAMES[kind])
         semantic = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         tag = semantic if semantic and r.random() < 0.6 else "section" if r.random() < 0.15 else "div"
-        named = r.random() < 0.5 or tag in ("div", "section")
-        name = f' {r.choice(["class", "class", "id"])}="{r.choice(names)}"' if named else ""
+        shown = r.random() < 0.5 or tag in ("div", "section")
+        name = f' {r.choice(["class", "class", "id"])}="{r.choice(names)}"' if shown else ""
         inner = {
             "nav": lambda: links(tag), "header": lambda: f'<h1>{words(1, 4)}</h1>' * (r.random() < 0.3) + f"<p>{words(2, 9)}</p>" + links(tag) * (r.random() < 0.5),
             "footer": lambda: f"&copy; {words(2, 12)} {links(tag) if r.random() < 0.5 else ''}" if r.random() < 0.6 else f"<p>{words(3, 25)}</p>", "aside": lambda: f"<h3>{words(1, 4)}</h3>" + (links(tag) if r.random() < 0.6 else f"<p>{words(5, 40)}</p>"),
@@ -319,7 +325,7 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
     for _ in range(n):
         some = lambda kinds, p: "".join(part(k) for k in kinds if r.random() < p)
         tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        name = f' class="{r.choice(CONTENT_NAMES)}"' if tag in ("div", "section") or r.random() < 0.3 else ""
+        name = f' class="{r.choice(named(CONTENT_NAMES))}"' if tag in ("div", "section") or r.random() < 0.3 else ""
         inner = f"<h1>{words(2, 10)}</h1>" * (r.random() < 0.8) + prose(r.randint(1, 4)) + some(["ad", "share", "aside"], 0.15) + prose(r.randint(0, 6)) + some(["share", "form", "comments", "notice"], 0.12)
         if r.random() < 0.15:  # hardly any text
             inner = f"<h1>{words(1, 9)}</h1>" * (r.random() < 0.5) + f"<p>{words(1, 20)}</p>"
@@ -327,11 +333,17 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
             inner += "".join(f"<p>{words(1, 5)}</p>" for _ in range(r.randint(8, 40)))
         body = f'<{tag}{name} data-main="1">{inner}</{tag}>'
         if r.random() < 0.4:
-            body = f'<div class="{r.choice(CONTENT_NAMES)}" data-main="0">{some(["nav", "ad"], 0.2)}{body}{some(["aside", "comments"], 0.3)}</div>'
+            body = f'<div class="{r.choice(named(CONTENT_NAMES))}" data-main="0">{some(["nav", "ad"], 0.2)}{body}{some(["aside", "comments"], 0.3)}</div>'
         pages.append(f'<html><body data-main="0">{some(["notice", "header", "nav", "form", "ad"], 0.6)}{body}{some(["comments", "aside", "ad", "form", "notice", "footer"], 0.6)}</body></html>')
     return pages
 
 
+def learn(pages: DataFrame, html_col: str = "html", max_pages: int = 500) -> TreeModel:
+    """A model from pages whose ``data-main`` attributes say what is content: at most ``max_pages``, those of the smallest hashes."""
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html")).orderBy(F.xxhash64("html"), "html").limit(max_pages)
+    return train([r["html"] for r in rows.collect()])
+
+
 @functools.cache
 def default_model() -> TreeModel:
     return train(labelled_pages())

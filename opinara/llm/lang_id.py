@@ -11,7 +11,8 @@ Training reads only text and non-null ``lang`` of documents outside the held-out
 what is collected and broadcast is bounded by the number of languages.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; if no language
-can be learned, so does every text. Equal sizes go to the first language by name. Repeated rows each get a row.
+can be learned, so does every text. Equal sizes go to the first language by name. Repeated rows each get a row; empty tables give
+empty results; very long texts are compressed whole, block by block; other columns are carried only if named in ``keep``.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ and the longest rule wins.
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and gets the default verdict. Rules may repeat; where two of the same length fit,
 the one with the longer host wins, then ``block`` before ``allow``. Repeated rows are each
-judged. An empty rule list gives every URL the default. Columns of the input other than
+judged. An empty rule list gives every URL the default, an empty table no rows. Very long URLs are read whole;
+only prefixes of the lengths that rules have are made of them. Columns of the input other than
 the two named are ignored.
 """
 

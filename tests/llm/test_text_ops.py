@@ -34,6 +34,12 @@ def test_url_rules(spark):
     assert got[7][2:] == ("com/", "allow") and got[8][2:] == ("com/", "allow") and got[9] == ("example.com", "", None, "allow")
     assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filters.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    # Ties: of rules of one length the longer host wins, then block; repeated rules count once. Long URLs are read whole.
+    even = spark.createDataFrame([("a.com", "/x", "allow"), ("com", "/xyz", "block"), ("b.com", "/", "allow"), ("b.com", "/", "block"), ("b.com", "/", "block"), ("c.com", "/" + "p" * 5000, "block")], "host string, path string, verdict string")
+    urls = ["http://a.com/xyz", "http://b.com/", "http://b.com/", "http://c.com/" + "p" * 5000 + "q", "http://c.com/" + "p" * 4999, "http://" + "s." * 3000 + "b.com/", None]
+    tied = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge_urls(tied, even).collect()}
+    assert found[0] == ("a.com/x", "allow") and found[1] == found[2] == found[5] == ("b.com/", "block") and found[3][1] == "block" and found[4] == found[6] == (None, "allow") and len(found) == 7
 
 
 # 2
@@ -192,6 +198,8 @@ def test_encode_and_decode_frames(spark, vocabulary):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(out, vocabulary).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     trips = {r["doc_id"]: r for r in pieces.round_trips(docs(spark, texts), vocabulary).collect()}
+    clash = pieces.round_trips(docs(spark, texts).withColumn("n_tokens", F.lit("mine")).withColumn("_text", F.lit("x")), vocabulary).collect()
+    assert sorted(map(tuple, clash)) == sorted(tuple(r) for r in trips.values())
     assert all(r["round_trip"] for r in trips.values()) and trips[1]["n_tokens"] == 0 and trips[0]["tokens_sha256"] == trips[3]["tokens_sha256"]
     assert pieces.encode(docs(spark, []), vocabulary).count() == 0
 
@@ -315,12 +323,11 @@ def test_html_extraction():
     assert wrong < 0.02 * total
 
 
-def test_marginals_equal_enumeration():
+def enumerated(model, page):
+    """Marginals by summing over all labellings."""
     import itertools
     import math
 
-    model = html_main.default_model()
-    page = html_main.Page("<body><div class=nav><a>x</a></div><article><p>some words in a row here</p><p>b</p></article></body>")
     n = len(page.tags)
     own = [model._own(page.tags[i], page.attributes[i]) + sum(model.weights.get(f, 0.0) for f in html_main.shape_features(page, i)) for i in range(n)]
     total, on = 0.0, [0.0] * n
@@ -329,7 +336,44 @@ def test_marginals_equal_enumeration():
         total += w
         for i in range(n):
             on[i] += w * y[i]
-    assert np.allclose([x / total for x in on], model.marginals(page))
+    return [x / total for x in on]
+
+
+def test_marginals_and_texts_equal_enumeration():
+    model = html_main.default_model()
+    rng = random.Random(3)
+    pages = ["<body><div class=nav><a>x</a></div><article><p>some words in a row here</p><p>b</p></article></body>"]
+    for _ in range(12):
+        part = lambda: rng.choice(["<nav><a href=x>link</a></nav>", "<div class=ad>buy this now</div>", "<p>words of prose that go on for a while, as they do</p>", "<h2>Head</h2>", "<footer>end</footer>", "<article><p>short one</p></article>", "plain"])
+        pages.append("<body>" + "".join(part() for _ in range(rng.randint(1, 6))) + "</body>")
+    for source in pages:
+        page = html_main.Page(source)
+        plain = enumerated(model, page)
+        assert np.allclose(plain, model.marginals(page))
+        assert model.extract(source) == page.text([m >= 0.5 for m in plain])
+
+
+def test_names_never_seen_in_training():
+    """Trained on half of the names, the model tells the blocks of pages that use the other half."""
+    model = html_main.train(html_main.labelled_pages(120, 7, lambda names: names[::2]))
+    wrong = total = 0
+    for source in html_main.labelled_pages(60, 99, lambda names: names[1::2]):
+        page = html_main.Page(source)
+        for m, want, n in zip(model.marginals(page), page.labels(), page.chars):
+            total += n > 0
+            wrong += n > 0 and (m >= 0.5) != want
+    assert wrong < 0.03 * total
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    model = html_main.default_model()
+    began = time.time()
+    for inner in ("<div>", "<p>", "<li>", "<a>", "<td>", "<dt><div>"):
+        model.extract(inner * 20_000 + "words" + "</b></ul>" * 20_000)
+    model.extract("<p>word " * 100_000)
+    assert time.time() - began < 60
 
 
 def test_html_frame(spark):
@@ -337,6 +381,11 @@ def test_html_frame(spark):
     got = {r["page_id"]: r for r in html_main.extract(pages).collect()}
     assert got[1]["text"] == "" and got[1]["n_chars"] == 0 and got[2]["n_chars"] == len(got[2]["text"]) > 20
     assert html_main.extract(pages.limit(0)).count() == 0
+    twice = html_main.extract(pages.unionByName(pages).withColumn("_html", F.lit("clash")).withColumn("n_chars", F.lit(1)), keep=("page_id",)).collect()
+    assert sorted((r["page_id"], r["text"]) for r in twice) == sorted((i, got[i]["text"]) for i in (1, 1, 2, 2))
+    learned = html_main.learn(spark.createDataFrame([(t,) for t in html_main.labelled_pages()] + [(None,)], "html string"))
+    assert learned.extract(pages.collect()[1]["html"]) == got[2]["text"]
+    assert html_main.learn(pages.limit(0)).extract("<p>a</p><script>b</script>") == "a"
 
 
 # 8
@@ -369,6 +418,58 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs(spark, []), items).count() == 0
 
 
+def brute_leaks(texts, items, retrieve=0.5, question=0.6, answer=0.6):
+    """Every passage against every segment of every item, by the plain BM25 formula."""
+    import math
+
+    whole = [(i, t, decontam.segments_of(t)) for i, t in dict.fromkeys(items) if t]
+    cut = [s for _, _, c in whole for s in c]
+    mean = sum(sum(s.values()) for s in cut) / max(1, len(cut))
+    held = {w: sum(w in s for s in cut) for s in cut for w in s}
+
+    def share_of(s, words):
+        size = sum(s.values())
+        weight = {w: math.log(1 + (len(cut) - held[w] + 0.5) / (held[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean)) for w, n in s.items()}
+        return sum(x for w, x in weight.items() if w in words) / sum(weight.values())
+
+    out = []
+    for t in texts:
+        words = decontam.word_list(t)
+        met, n = {}, max(1, -(-len(words) // decontam.SEGMENT) - 1) if words else 0
+        for p in range(n):
+            a, b = p * decontam.SEGMENT, (p + 2) * decontam.SEGMENT
+            for k, (_, _, c) in enumerate(whole):
+                if any(share_of(s, set(words[a:b])) >= retrieve - 1e-9 for s in c):
+                    met[k] = min(met.get(k, (a, b))[0], a), b
+        found = set()
+        for k, (a, b) in met.items():
+            i, text, _ = whole[k]
+            q, s = decontam.question_and_answer(text)
+            size = len(decontam.word_list(text))
+            here = words[max(0, a - size) : b + size]
+            if decontam.share(q, here) >= question and (not s or decontam.share(s, here) >= answer):
+                found.add(i)
+        out.append(decontam.in_order(found))
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(15)
+    make = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 3))) for _ in range(n))
+    questions = [f"{make(rng.randint(4, 40))}. {make(rng.randint(1, 8))}." for _ in range(25)] + [make(150)]
+    items = [*enumerate(questions), (3, questions[4]), (40, questions[0]), (41, questions[0]), (42, None), (43, "")]  # repeated ids, equal texts
+    edit = lambda t, p: " ".join(w if rng.random() > p else "zz" for w in t.split(" "))
+    texts = [None, "", "...", make(400), make(3000) + " " + questions[7] + " " + make(2000)]
+    for q in questions:
+        texts += [f"{make(rng.randint(0, 200))} {edit(q, p)} {make(rng.randint(0, 200))}" for p in (0, 0.05, 0.15, 0.4)]
+    texts += texts[5:7]
+    frame = docs(spark, texts).withColumn("items", F.lit("clash"))
+    got = {r["doc_id"]: r["items"] for r in decontam.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(texts, items)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(bool, want)) > 40 and [0, 40, 41] in want and any(3 in w for w in want)
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
@@ -602,3 +703,40 @@ def test_repeated_passages_stage_with_null_and_repeated_ids(spark):
     out = corpus_pipeline.repeated_passages_stage(spark, frame, "").collect()
     assert sorted((r["lang"], r["source"], r["doc_id"], None if r["text"] is None else hashlib.sha256(r["text"].encode()).hexdigest()) for r in out) == sorted(want, key=lambda x: x[0])
     assert all(r["n_chars"] == len(r["text"] or "") for r in out)
+
+
+def test_pipeline_matches_plain_forms_of_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    questions = [f"{make(25)}. {make(6)}." for _ in range(5)]
+    passage = make(40)
+    texts = [make(rng.randint(30, 90)) + rng.choice(["", "", " " + passage, " " + questions[k % 5]]) + " " + make(10) for k in range(120)]
+    texts = [t + " vile vile vile" if k % 4 == 1 else t for k, t in enumerate(texts)]
+    texts += [texts[0], texts[2] + " more words", None, "", texts[4]]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    labels = [(i, 1, int(i % 4 == 1)) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(questions)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["source"], list(r["tokens"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    known: dict = {}
+    graded = [2 - (i % 4 == 1) for i in range(120)]
+    order = sorted(((graded[i], np.sort(quality.features(texts[i], known)).astype("<i4").tobytes()) for i in range(120)))
+    model = quality.fit([np.frombuffer(b, "<i4") for _, b in order], np.array([g for g, _ in order]), 3)
+    left = [(i, t) for i, t in enumerate(texts) if float(1 / (1 + np.exp(-(sum(float(model.weights[b]) for b in quality.features(t, known)) - model.thresholds[-1])))) >= 0.85]
+    groups = brute_groups([t for _, t in left])
+    left = [x for x, g in zip(left, groups) if g[2]]
+    cleaned, seen = [], set()
+    for i, t in left:
+        data = (t or "").encode()
+        gone = {p + k for p in range(len(data) - 99) if data[p : p + 100] in seen or seen.add(data[p : p + 100]) for k in range(100)}
+        cleaned.append((i, None if t is None else bytes(b for p, b in enumerate(data) if p not in gone).decode()))
+    clean = [(i, t) for (i, t), found in zip(cleaned, brute_leaks([t for _, t in cleaned], list(enumerate(questions)))) if not found]
+    v = pieces.Vocabulary.load(piece_model())
+    assert set(got) == {i for i, _ in clean} and 40 < len(got) < 110
+    for i, t in clean:
+        assert got[i][0] == f"s{i % 3}" and v.decode(got[i][1]) == (t or "") and got[i][2] == len(got[i][1])
