@@ -9,6 +9,7 @@ MIN_ACTIVITY, WEIGHT_FLOOR = 5, 0.1
 SUSPICION_WEIGHTS = {"one_sided": 0.35, "single_brand": 0.20, "extreme": 0.20, "template_like": 0.10, "burst": 0.15}
 BURST_HOURS, BURST_COUNT = 24, 3
 EXTREME = 0.85
+TEMPLATE_SIMILARITY = 0.8
 SHILL_WORDS = ["業配", "葉配"]
 SHILL_CONTEXTS = ["茶葉", "葉子", "樹葉", "葉菜", "葉片"]
 SHILL_MIN_COMMENTS, SHILL_RATIO, SHILL_PENALTY = 3, 0.25, 0.3

@@ -55,19 +55,17 @@ def tag_prior(tag: Column) -> Column:
 
 
 def push_count(text: Column) -> Column:
-    """爆 is 100, XX is -10, Xn is -n, blank is 0; what is no number is null."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    return (
-        F.when(t == "", 0).when(t == "爆", 100).when(F.upper(t) == "XX", -10)
-        .when(t.rlike("^[Xx][0-9]+$"), -F.expr("1") * F.regexp_extract(t, "^[Xx]([0-9]+)$", 1).try_cast("int")).otherwise(F.when(t.rlike("^-?[0-9]+$"), t.try_cast("int")))
-    )
+    """爆 is 100, XX is -10, Xn is -n and X alone -1, blank is 0; what is no number, and null, is null."""
+    t = F.trim(text)
+    number = lambda c: F.when(c.rlike("^[+-]?[0-9]+$"), c.try_cast("int"))
+    return F.when(t == "", 0).when(t == "爆", 100).when(t == "XX", -10).when(t == "X", -1).when(t.startswith("X"), -number(F.substring(t, 2, 20))).otherwise(number(t))
 
 
 def author_score(text: Column) -> Column:
-    """An author's mark on 0..100: n/10, n/5, stars, or a plain number (below 11 with 分 counts tenfold)."""
+    """An author's mark on 0..100: n/10, n/5, stars, or a plain number (up to 10 with 分 counts tenfold)."""
     number = r"([0-9]+(?:\.[0-9]+)?)"
-    ten, five = F.regexp_extract(text, number + r"\s*/\s*10(?![0-9])", 1), F.regexp_extract(text, number + r"\s*/\s*5(?![0-9])", 1)
-    stars = F.length(F.regexp_replace(text, "[^★]", ""))
+    ten, five = F.regexp_extract(text, number + r"\s*/\s*10", 1), F.regexp_extract(text, number + r"\s*/\s*5", 1)
+    stars = F.length(F.regexp_replace(text, "[^★⭐]", ""))
     plain = F.regexp_extract(text, number, 1).try_cast("double")
     value = (
         F.when(ten != "", ten.try_cast("double") * 10).when(five != "", five.try_cast("double") * 20).when(stars > 0, stars * 20.0)
@@ -82,15 +80,26 @@ def post_id(url: Column) -> Column:
     return F.when(base != "", base).otherwise(F.concat(F.lit("local-"), F.substring(F.sha1(F.coalesce(url, F.lit(""))), 1, 12)))
 
 
-def comment_time(month: Column, day: Column, hour: Column, minute: Column, posted_at: Column) -> Column:
-    """A time without a year near a post's: the post's year, or the next or last one if that is within 180 days."""
-    def at(year):
-        return F.try_make_timestamp(year, month, day, hour, minute, F.lit(0))
+def comment_time(text: Column, posted_at: Column, year: int | None = None) -> Column:
+    """A whole date, or month/day and a time in a post's year: the next or last year where that is more than 180 days off.
+
+    Without a post's time the year is ``year``. A day that the year lacks is null.
+    """
+    t = F.trim(text)
+    part = lambda k: F.regexp_extract(t, r"^([0-9]{1,2})/([0-9]{1,2})\s+([0-9]{1,2}):([0-9]{2})$", k).try_cast("int")
+    at = lambda y: F.try_make_timestamp(y, part(1), part(2), part(3), part(4), F.lit(0))
+    posted = posted_at.cast("timestamp")
+    own = F.coalesce(F.year(posted), F.lit(year).cast("int"))
+    same = at(own)
+    off = (F.unix_seconds(same) - F.unix_seconds(posted)) / 86400
+    whole = F.try_to_timestamp(F.when(t.rlike("^[0-9]{4}-"), t), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(whole, F.when(same.isNotNull(), F.when(off < -180, at(own + 1)).when(off > 180, at(own - 1)).otherwise(same)))
+
 
-    year = F.year(posted_at)
-    same, after, before = at(year), at(year + 1), at(year - 1)
-    days = lambda t: F.abs(F.unix_seconds(t) - F.unix_seconds(posted_at.cast("timestamp"))) / 86400
-    return F.when(days(same) <= 180, same).when(days(after) <= 180, after).when(days(before) <= 180, before).otherwise(same)
+def board_time(text: Column) -> Column:
+    """A thread's time, as ``Mon May 13 20:15:30 2024`` or ``2024-05-13 20:15:30``; null if neither."""
+    bare_day = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3}\s+", "")
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(bare_day, r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy")), F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def parse_time(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "yyyy-MM-dd")) -> Column:

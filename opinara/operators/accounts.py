@@ -1,6 +1,6 @@
 """Accounts: profiles per user and brand, suspicion features, bursts, templates, run merging.
 
-An activity frame has user_id, brand, sentiment (-1 to 1), ts and event_id (a total order).
+An activity frame has user_id, brand, sentiment (-1 to 1), ts event_id (a total order) and, for suspicion, text.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
+from ..functions import text as TX
+from .similar import similar_pairs
 
 
 def brand_stats(activity: DataFrame) -> DataFrame:
@@ -23,12 +25,32 @@ def profiles(stats: DataFrame) -> DataFrame:
 
 
 def burst_flags(activity: DataFrame, keys: tuple[str, ...] = ("user_id", "brand"), hours: int = C.BURST_HOURS, least: int = C.BURST_COUNT) -> DataFrame:
-    """Rows covered by some window of ``hours`` from an event on (inclusive) with ``least`` events or more."""
+    """Rows covered by some window of ``hours`` from an event on (inclusive) with ``least`` events or more.
+
+    A window is full if the event ``least - 1`` places on lies within it; a row is covered if the last such start before it is near enough.
+    Both frames run forward only, so an account of any size takes one pass.
+    """
     span = hours * 3_600_000_000
-    at = F.unix_micros(F.to_timestamp_ltz("ts"))
     ordered = Window.partitionBy(*keys).orderBy("_at")
-    rows = activity.withColumn("_at", at).withColumn("_n", F.count("*").over(ordered.rangeBetween(0, span)))
-    return rows.withColumn("burst", F.max(F.col("_n") >= least).over(ordered.rangeBetween(-span, 0))).drop("_at", "_n")
+    rows = activity.withColumn("_at", F.unix_micros(F.to_timestamp_ltz("ts")))
+    rows = rows.withColumn("_start", F.when(F.lead("_at", least - 1).over(ordered) - F.col("_at") <= span, F.col("_at")))
+    near = F.col("_at") - F.max("_start").over(ordered.rangeBetween(Window.unboundedPreceding, 0)) <= span
+    return rows.withColumn("burst", F.coalesce(near, F.lit(False))).drop("_at", "_start")
+
+
+def template_ratio(activity: DataFrame, least: int = 3) -> DataFrame:
+    """user_id, template_like: the share of an account's texts, of those with more than three characters, that equal another of its texts or nearly so.
+
+    Equal texts are folded first; 0 for accounts of fewer than ``least`` such texts.
+    """
+    bare = TX.bare(F.coalesce("text", F.lit("")))
+    texts = activity.select("user_id", bare.alias("t")).where(F.length("t") > 3).groupBy("user_id", "t").agg(F.count("*").alias("n"))
+    keyed = texts.withColumns({"id": F.struct("user_id", "t"), "s": TX.bigrams(F.col("t"))})
+    pairs = similar_pairs(keyed, ["user_id"], "id", "s", C.TEMPLATE_SIMILARITY)
+    partner = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").distinct().withColumn("_hit", F.lit(True))
+    flagged = F.when((F.col("n") > 1) | F.col("_hit"), F.col("n")).otherwise(0)
+    total = F.sum("n")
+    return texts.join(partner, ["user_id", "t"], "left").groupBy("user_id").agg(F.when(total >= least, F.sum(flagged) / total).otherwise(0.0).alias("template_like"))
 
 
 def round_exact(value, digits: int = 4):
@@ -36,17 +58,22 @@ def round_exact(value, digits: int = 4):
     return F.round(value.cast("decimal(20,12)"), digits).cast("double")
 
 
-def suspicion(activity: DataFrame, stats: DataFrame) -> DataFrame:
-    """Features, suspicion score and credibility per user; accounts of little activity are above suspicion."""
-    s = stats.groupBy("user_id").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max("mean").alias("best"), F.sum("mean").alias("sum_means"), F.count("*").alias("brands"))
-    extreme = activity.groupBy("user_id").agg(F.avg((F.abs("sentiment") >= C.EXTREME).cast("double")).alias("extreme"))
-    burst = burst_flags(activity).groupBy("user_id").agg(F.avg(F.col("burst").cast("double")).alias("burst"))
+def suspicion(activity: DataFrame) -> DataFrame:
+    """Features, suspicion score and credibility per user; accounts of little activity are above suspicion. The activity has texts, too."""
+    per_brand = burst_flags(activity).groupBy("user_id", "brand").agg(
+        F.count("*").alias("n"), F.avg("sentiment").alias("mean"), F.count_if(F.abs("sentiment") >= C.EXTREME).alias("extreme"), F.count_if("burst").alias("burst")
+    )
+    total = F.sum("n")
+    users = per_brand.groupBy("user_id").agg(
+        total.alias("total"), (F.max("n") / total).alias("single_brand"), F.max("mean").alias("best"), F.sum("mean").alias("sum_means"), F.count("*").alias("brands"),
+        (F.sum("extreme") / total).alias("extreme"), (F.sum("burst") / total).alias("burst"),
+    )
     others = F.coalesce(F.try_divide(F.col("sum_means") - F.col("best"), F.col("brands") - 1), F.lit(0.0))
     one_sided = F.least(F.lit(1.0), (F.greatest(F.lit(0.0), F.col("best")) + F.abs(F.least(F.lit(0.0), others))) / 2)
-    out = s.join(extreme, "user_id").join(burst, "user_id")
+    out = users.join(template_ratio(activity), "user_id", "left").withColumns({"one_sided": one_sided, "template_like": F.coalesce("template_like", F.lit(0.0))})
     active = F.col("total") >= C.MIN_ACTIVITY
-    out = out.select("user_id", "total", *[F.when(active, round_exact(c)).otherwise(0.0).alias(n) for n, c in (("one_sided", one_sided), ("single_brand", F.col("most") / F.col("total")), ("extreme", F.col("extreme")), ("burst", F.col("burst")))])
-    score = sum((F.lit(w) * F.col(n) for n, w in C.SUSPICION_WEIGHTS.items() if n != "template_like"), F.lit(0.0))
+    out = out.select("user_id", "total", *[F.when(active, round_exact(F.col(n))).otherwise(0.0).alias(n) for n in C.SUSPICION_WEIGHTS])
+    score = sum((F.lit(w) * F.col(n) for n, w in C.SUSPICION_WEIGHTS.items()), F.lit(0.0))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
     return out.withColumn("suspicion", round_exact(score)).withColumn("credibility", F.round(F.greatest(F.lit(C.WEIGHT_FLOOR), 1 - F.col("suspicion")), 4))
 

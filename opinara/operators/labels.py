@@ -12,6 +12,13 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
+def export_delta(candidates: DataFrame, caches: list[tuple[DataFrame, str]], key: str, order: str) -> DataFrame:
+    """Candidates that no cache holds under its key (a cache is a frame with that column), the first row of each key."""
+    for cached, column in caches:
+        candidates = candidates.join(cached.select(column), column, "left_anti")
+    return candidates.groupBy(key).agg(F.min_by(F.struct(*[c for c in candidates.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
 def last_per_key(labels: DataFrame, key: str, order: str) -> DataFrame:
     """Of repeated keys the last row counts."""
     return labels.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_k = 1").drop("_k")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -76,9 +77,32 @@ def age_label(days: Column) -> Column:
     return F.when(days.isNull(), "unknown").when(days <= 0, "today").when(days == 1, "yesterday").when(days < 7, F.concat(days.cast("string"), F.lit(" days ago"))).when(days < 30, F.concat((F.floor(days / 7)).cast("string"), F.lit(" weeks ago"))).otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit(" months ago")))
 
 
-def chunk_numbers(rows: DataFrame, order: str, size: int, salt: int = 16) -> DataFrame:
-    """The chunk of ``size`` rows that each row falls in, by order: ranks within ranges plus the ranges' offsets, so no single task orders all rows."""
-    ranged = rows.repartitionByRange(salt, order).withColumn("_part", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+def pinned(df: DataFrame) -> DataFrame:
+    """Materialised in the session's checkpoint folder, so that what is read twice is the same; a temporary folder only on a local master."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="opinara-"))
+    return df.checkpoint()
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """With ``number``, from 0 on in the order: ranks within ranges plus the ranges' offsets, so no single task orders all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = pinned(ranged.withColumns({"_part": F.spark_partition_id(), "_k": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn("chunk", F.floor((F.col("_before") + F.col("_k") - 1) / size)).drop("_part", "_k", "_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+
+
+def chunk_numbers(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """The chunk of ``size`` rows that each row falls in, by order."""
+    return numbered(rows, order).withColumn("chunk", F.floor(F.col("number") / size)).drop("number")
+
+
+def positional_join(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """The n-th row of one beside the n-th row of the other."""
+    return numbered(left, left_order).join(numbered(right, right_order), "number")

@@ -42,27 +42,33 @@ def burst_ratio(spark, sf_dir):
     return A.burst_flags(activity(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("burst").cast("int")), 4).alias("burst_ratio"))
 
 
-SUSPICION_SQL = "WITH " + ACTIVITY_SQL + ", " + BURST_SQL + """
+TEMPLATE_SQL = r"""
+tt AS (SELECT user_id, regexp_replace(text, '[\s\pP]', '', 'g') AS t, count(*) AS n FROM e GROUP BY 1, 2),
+tg AS (SELECT *, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS s FROM tt WHERE length(t) > 3),
+tp AS (SELECT DISTINCT unnest([a.t, b.t]) AS t, a.user_id FROM tg a JOIN tg b ON a.user_id = b.user_id AND a.t < b.t AND len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9),
+tm AS (SELECT tg.user_id, CASE WHEN sum(n) >= 3 THEN sum(CASE WHEN n > 1 OR tp.t IS NOT NULL THEN n ELSE 0 END) / sum(n) ELSE 0 END AS template_like FROM tg LEFT JOIN tp ON tg.user_id = tp.user_id AND tg.t = tp.t GROUP BY 1)
+"""
+SUSPICION_SQL = "WITH " + ACTIVITY_SQL + ", " + BURST_SQL + ", " + TEMPLATE_SQL + """
 , s AS (SELECT user_id, brand, count(*) AS n, avg(sentiment) AS mean FROM e GROUP BY 1, 2),
 u AS (SELECT user_id, sum(n) AS total, max(n) AS most, max(mean) AS best, sum(mean) AS sm, count(*) AS k FROM s GROUP BY 1),
 x AS (SELECT user_id, avg((abs(sentiment) >= 0.85)::INT) AS extreme FROM e GROUP BY 1), y AS (SELECT user_id, avg(burst::INT) AS burst FROM b GROUP BY 1),
 f AS (SELECT user_id, total, CASE WHEN total >= 5 THEN CAST(round(CAST(least(1, (greatest(0, best) + abs(least(0, CASE WHEN k > 1 THEN (sm - best) / (k - 1) ELSE 0 END))) / 2) AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS one_sided,
-  CASE WHEN total >= 5 THEN CAST(round(CAST(most / total AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS single_brand, CASE WHEN total >= 5 THEN CAST(round(CAST(extreme AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS extreme, CASE WHEN total >= 5 THEN CAST(round(CAST(burst AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS burst
-  FROM u JOIN x USING (user_id) JOIN y USING (user_id)),
-g AS (SELECT *, CAST(round(CAST(least(1, greatest(0, 0.35 * one_sided + 0.20 * single_brand + 0.20 * extreme + 0.15 * burst)) AS DECIMAL(20,12)), 4) AS DOUBLE) AS suspicion FROM f)
+  CASE WHEN total >= 5 THEN CAST(round(CAST(most / total AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS single_brand, CASE WHEN total >= 5 THEN CAST(round(CAST(extreme AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS extreme, CASE WHEN total >= 5 THEN CAST(round(CAST(burst AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS burst,
+  CASE WHEN total >= 5 THEN CAST(round(CAST(template_like AS DECIMAL(20,12)), 4) AS DOUBLE) ELSE 0 END AS template_like
+  FROM u JOIN x USING (user_id) JOIN y USING (user_id) JOIN tm USING (user_id)),
+g AS (SELECT *, CAST(round(CAST(least(1, greatest(0, 0.35 * one_sided + 0.20 * single_brand + 0.20 * extreme + 0.10 * template_like + 0.15 * burst)) AS DECIMAL(20,12)), 4) AS DOUBLE) AS suspicion FROM f)
 """
 
 
-@query(SUSPICION_SQL + "SELECT user_id, CAST(total AS BIGINT) AS total, one_sided, single_brand, extreme, burst FROM g")
+@query(SUSPICION_SQL + "SELECT user_id, CAST(total AS BIGINT) AS total, one_sided, single_brand, extreme, template_like, burst FROM g")
 def suspicion_features(spark, sf_dir):
-    rows = activity(spark, sf_dir)
-    return A.suspicion(rows, A.brand_stats(rows)).select("user_id", "total", "one_sided", "single_brand", "extreme", "burst")
+    return A.suspicion(activity(spark, sf_dir)).select("user_id", "total", "one_sided", "single_brand", "extreme", "template_like", "burst")
 
 
 @query(SUSPICION_SQL + ", h AS (SELECT user_id, suspicion, round(greatest(0.1, 1 - suspicion), 4) AS credibility FROM g) SELECT brand, CAST(count(*) AS BIGINT) AS n, round(sum(credibility * (sentiment + 1) / 2) / sum(credibility), 4) AS weighted_score FROM e JOIN h USING (user_id) GROUP BY 1")
 def credibility_weighted_score(spark, sf_dir):
     rows = activity(spark, sf_dir)
-    known = A.suspicion(rows, A.brand_stats(rows)).select("user_id", "credibility")
+    known = A.suspicion(rows).select("user_id", "credibility")
     w = F.coalesce("credibility", F.lit(1.0))
     return rows.join(known, "user_id", "left").groupBy("brand").agg(F.count("*").alias("n"), F.round(F.sum(w * (F.col("sentiment") + 1) / 2) / F.sum(w), 4).alias("weighted_score"))
 
@@ -73,7 +79,7 @@ def suspicion_listing(spark, sf_dir):
 
     rows = activity(spark, sf_dir)
     order = (F.col("suspicion").desc(), F.col("total").desc(), "user_id")
-    top = A.suspicion(rows, A.brand_stats(rows)).orderBy(*order).limit(30)
+    top = A.suspicion(rows).orderBy(*order).limit(30)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "user_id", "suspicion", "total")
 
 

@@ -108,9 +108,6 @@ WITH a AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS k FROM
 SELECT item_id, doc_id FROM a JOIN b USING (k)
 """)
 def positional_join(spark, sf_dir):
-    from pyspark.sql import Window
+    from ..operators.store import positional_join as join
 
-    # Two small label files joined row by row: the numbering is part of the files' contract.
-    a = table(spark, sf_dir, "benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("k"))
-    b = table(spark, sf_dir, "labels").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("k"))
-    return a.join(b, "k").select("item_id", "doc_id")
+    return join(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("item_id", "doc_id")

@@ -24,8 +24,8 @@ def reports(posts: DataFrame, as_of) -> DataFrame:
     """Fair scores of products (brand and name), authors and commenters voting alike."""
     rows = comments(posts).withColumn("product", F.struct("brand", F.col("product_name").alias("name")))
     active = rows.where("eligible")
-    activity = active.select("user_id", "brand", "sentiment", F.col("at").alias("ts"), F.xxhash64("id", "idx").alias("event_id"))
-    trust = A.suspicion(activity, A.brand_stats(activity)).select("user_id", "credibility")
+    activity = active.select("user_id", "brand", "sentiment", F.col("at").alias("ts"), F.xxhash64("id", "idx").alias("event_id"), "text")
+    trust = A.suspicion(activity).select("user_id", "credibility")
     spoken = active.select("product", F.col("user_id").alias("user"), F.lit("commenter").alias("role"), ((F.col("sentiment") + 1) / 2).alias("score"), "at", F.struct(F.lit(1).alias("k"), "id", "idx").alias("ord"))
     written = posts.where(F.col("author_score").isNotNull()).select(
         F.struct("brand", F.col("product_name").alias("name")).alias("product"), F.col("author").alias("user"), F.lit("author").alias("role"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("author_score") / 100)).alias("score"), F.col("posted_at").alias("at"), F.struct(F.lit(0).alias("k"), "id", F.lit(0).alias("idx")).alias("ord")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import store as S
 from .catalogue import query
-from .standins import day_decay, table
+from .standins import table
 
 NOW = dt.datetime(2024, 2, 1)
 
@@ -32,17 +32,19 @@ def seen_anti(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT doc_id, source, sha256(lower(trim(source)) || chr(31) || lang || chr(31) || left(text, 40)) AS key FROM documents),
-c AS (SELECT sha256(lower(trim(source)) || chr(31) || lang || chr(31) || left(text, 40)) AS key FROM documents JOIN labels USING (doc_id) WHERE quality = 0)
-SELECT key, min(doc_id) AS doc_id FROM k WHERE key NOT IN (SELECT key FROM c) GROUP BY 1
+WITH k AS (SELECT doc_id, quality, sha256('v2' || chr(31) || lower(trim(source)) || chr(31) || lang || chr(31) || text) AS key, sha256(source || chr(31) || text) AS legacy FROM documents LEFT JOIN labels USING (doc_id)),
+c AS (SELECT key FROM k WHERE quality = 0 AND doc_id % 2 = 0), g AS (SELECT legacy FROM k WHERE quality = 0 AND doc_id % 2 = 1)
+SELECT key, min(doc_id) AS doc_id FROM k WHERE key NOT IN (SELECT key FROM c) AND legacy NOT IN (SELECT legacy FROM g) GROUP BY 1
 """)
 def delta_export(spark, sf_dir):
-    from ..operators.labels import fingerprint
+    from ..operators.labels import export_delta, fingerprint
 
     docs = table(spark, sf_dir, "documents")
-    keyed = docs.select("doc_id", fingerprint(F.lower(F.trim("source")), F.col("lang"), F.left("text", F.lit(40))).alias("key"))
-    cached = keyed.join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi").select("key")
-    return keyed.join(cached, "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    key = fingerprint(F.lit("v2"), F.lower(F.trim("source")), F.col("lang"), F.col("text"))
+    keyed = docs.select("doc_id", key.alias("key"), fingerprint(F.col("source"), F.col("text")).alias("legacy"))
+    cached = keyed.join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    stored, old = cached.where("doc_id % 2 = 0").select("key"), cached.where("doc_id % 2 = 1").select("legacy")
+    return export_delta(keyed, [(stored, "key"), (old, "legacy")], "key", "doc_id").select("key", "doc_id")
 
 
 @query("""
@@ -92,9 +94,11 @@ def refresh_candidates(spark, sf_dir):
     return table(spark, sf_dir, "events").where(window.holds(F.col("ts"))).select("event_id", "user_id")
 
 
-@query("SELECT o_orderkey, round(exp(-0.005 * greatest(0, datediff('day', o_orderdate::DATE, DATE '2001-08-01'))), 9) AS decay FROM orders")
+@query("SELECT o_orderkey, round(exp(-0.005 * greatest(0, epoch(TIMESTAMP '1997-08-01 06:30:00' - o_orderdate) / 86400)), 9) AS decay FROM orders")
 def decay_weight(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(day_decay("o_orderdate"), 9).alias("decay"))
+    from ..operators.opinions import decay_weight as decay
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(decay(F.col("o_orderdate"), F.lit("1997-08-01 06:30:00").cast("timestamp_ntz")), 9).alias("decay"))
 
 
 @query("""
