@@ -108,9 +108,11 @@ def parse_time(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss"
 
 
 def field_map(body: Column) -> Column:
-    """【key】value pairs of a form; of repeated keys the later one counts."""
-    keys = F.transform(F.regexp_extract_all(body, F.lit(r"【([^】\n]+)】([^【]*)"), 1), lambda k: F.regexp_replace(k, r"(?U)\s", ""))
-    values = F.transform(F.regexp_extract_all(body, F.lit(r"【([^】\n]+)】([^【]*)"), 2), lambda v: F.trim(F.regexp_replace(v, r"^[:：]|\s+$", "")))
+    """【key】value pairs of a form, a value up to the next key at a line's start; of repeated keys the later one counts."""
+    pattern = F.lit(r"(?s)【\s*([^】\n]+?)\s*】\s*(.*?)(?=\n\s*【|\z)")
+    text = F.regexp_replace(body, r"\r\n?", "\n")
+    keys = F.transform(F.regexp_extract_all(text, pattern, 1), lambda k: F.regexp_replace(k, r"(?U)\s", ""))
+    values = F.transform(F.regexp_extract_all(text, pattern, 2), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)

@@ -9,31 +9,35 @@ from ..operators import similar as SM
 from .catalogue import query
 from .standins import table
 
+# An account stands for the documents of a source, dealt in 40.
 DUP_SQL = r"""
-WITH d AS (SELECT doc_id, lang, source, regexp_replace(lower(text), '[\s\pP]', '', 'g') AS t FROM documents),
-c AS (SELECT doc_id, lang, source, string_split(t, '') AS c FROM d WHERE length(t) > 3),
-g AS (SELECT doc_id, lang, source, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS s FROM c),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) + len(b.s) AS n FROM g a JOIN g b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id
+WITH d AS (SELECT doc_id, source || '-' || doc_id % 40 AS user_id, regexp_replace(lower(text), '[\s\pP]', '', 'g') AS t FROM documents),
+f AS (SELECT user_id, t, min(doc_id) AS doc_id, count(*) AS n FROM d WHERE length(t) > 3 GROUP BY 1, 2),
+c AS (SELECT *, string_split(t, '') AS c FROM f),
+g AS (SELECT user_id, doc_id, n, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS s FROM c),
+p AS (SELECT a.user_id, least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) + len(b.s) AS m FROM g a JOIN g b ON a.user_id = b.user_id AND a.doc_id < b.doc_id
       AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s))
 """
 
 
-def _templates(spark, sf_dir):
-    t = TX.bare(F.lower("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", t.alias("t")).where(F.length("t") > 3).select("doc_id", "lang", "source", TX.bigrams(F.col("t")).alias("s"))
-    return rows, SM.similar_pairs(rows, ["lang", "source"], "doc_id", "s", 0.8)
+def _accounts(spark, sf_dir):
+    user = F.concat_ws("-", "source", F.col("doc_id") % 40)
+    return table(spark, sf_dir, "documents").select("doc_id", user.alias("user_id"), F.lower("text").alias("text"))
 
 
-@query(DUP_SQL + "SELECT a, b, round(k / (n - k), 6) AS similarity FROM p WHERE k >= 0.8 * (n - k) - 1e-9")
+@query(DUP_SQL + "SELECT a, b, round(k / (m - k), 6) AS similarity FROM p WHERE k >= 0.8 * (m - k) - 1e-9")
 def template_pairs(spark, sf_dir):
-    return _templates(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 6))
+    rows = _accounts(spark, sf_dir).withColumn("t", TX.bare(F.col("text"))).where(F.length("t") > 3)
+    folded = rows.groupBy("user_id", "t").agg(F.min("doc_id").alias("doc_id")).withColumn("s", TX.bigrams(F.col("t")))
+    return SM.similar_pairs(folded, ["user_id"], "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(DUP_SQL + """, h AS (SELECT DISTINCT unnest([a, b]) AS doc_id FROM p WHERE k >= 0.8 * (n - k) - 1e-9)
-SELECT lang, source, CAST(count(*) AS BIGINT) AS n, CAST(count(h.doc_id) AS BIGINT) AS flagged, CASE WHEN count(*) >= 3 THEN round(count(h.doc_id) / count(*), 4) ELSE 0 END AS ratio FROM g LEFT JOIN h ON g.doc_id = h.doc_id GROUP BY 1, 2""")
+@query(DUP_SQL + """, h AS (SELECT DISTINCT user_id, unnest([a, b]) AS doc_id FROM p WHERE k >= 0.8 * (m - k) - 1e-9)
+SELECT g.user_id, round(CASE WHEN sum(n) >= 3 THEN sum(CASE WHEN n > 1 OR h.doc_id IS NOT NULL THEN n ELSE 0 END) / sum(n) ELSE 0 END, 6) AS ratio FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.user_id = h.user_id GROUP BY 1""")
 def template_ratio(spark, sf_dir):
-    rows, pairs = _templates(spark, sf_dir)
-    return SM.flagged_ratio(rows, pairs, ["lang", "source"], "doc_id")
+    from ..operators.accounts import template_ratio as ratio
+
+    return ratio(_accounts(spark, sf_dir)).select("user_id", F.round("template_like", 6).alias("ratio"))
 
 
 @query("""
@@ -117,7 +121,7 @@ def json_fields(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, '【name】' || p_name AS form, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part
+SELECT p_partkey, '【name】' || p_name AS form, p_name AS name, '：' || p_size AS size FROM part
 """)
 def field_map(spark, sf_dir):
     form = F.concat(F.lit("【name】"), "p_name", F.lit("\n【 size】:9\n【size】："), F.col("p_size").cast("string"), F.lit(" \n"))
