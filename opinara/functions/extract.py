@@ -1,41 +1,240 @@
-"""Products and prices of a form's free text, as Columns over NFKC text."""
+"""Products and prices of a form's free text, as Columns over NFKC text.
+
+A line is tidied, then read in several ways; the first reading that finds something counts. Fields of several lines
+are read line by line, a line of prices going to the name before it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
-from .attribution import BRANDS, brand_pattern
+from . import names as N
+from .cleaners import unwrap_brackets
+
+# Limits of a price, and patterns of prices, bundles, asides and tails.
+LEAST, MOST, MOST_SHARED = 15, 400, 999
+UNIT = "支|入|個|包|瓶|罐|杯|盒|組|件|份"
+PRICE = r"(?<![0-9])([0-9]{1,3})(?![0-9])\s*(?:元|台幣)?"
+IN_RANGE = r"(?<![0-9])(1[5-9]|[2-9][0-9]|[1-3][0-9]{2}|400)(?![0-9])\s*(?:元|台幣)?"
+BUNDLE = rf"([2-6])\s*(?:{UNIT})\s*\$?\s*([0-9]{{2,3}})\s*(?:元)?"
+TRAILING = r"^(.+?)\s*(?:各)?\s*([0-9]{2,3})\s*元?$"
+BEFORE_PROMO = (
+    r"^(.+?)([0-9]{2,3})(?:元)?(?:搭|取件|隨買|跨店|買[一二三四五六七八九十0-9]+[送得支個入包瓶罐杯盒組件份]|第[二三四五六七八九十0-9]+件|任選|滿額|加購|優惠|半價|"
+    r"[買滿][0-9]+[送打折抽]|好康|活動|限時|特惠|促銷|折扣).*$"
+)
+SAME_PRICE = r"^\s*(.+?)\s*(?:[/／]\s*)?(?:都|各)\s*([0-9]{2,3})\s*(?:元)?\s*\$?\s*$"
+FLAVOURS = r"([^-－/／]{2,}?)[-－]([^-－/／]*?、[^-－/／]*?)(雙風味|雙口味|雙口感|兩種口味|兩款口味)"
+QUALIFIER = (
+    r"([0-9]{1,3})?\s*元?\s*(?:友善|嚐鮮價|嘗鮮價|嚐鮮|嘗鮮|促銷價|加購價|優惠價|特惠價|活動價|會員價|原價|售價|特價|優惠|促銷|單價|總價|價格|價|折價後|打折後|折後|折價|打折|領券|自助結帳|結帳|i珍食|惜福|限店|"
+    r"第[一兩二三四五六七八九十0-9]+[件瓶隻支個杯份]|任[一兩二三四五六七八九十0-9]*[件瓶隻支個杯份]?折?|任|[一兩二三四五六七八九十0-9]+折|折|商品)+$"
+)
+NOTE = r"[/／｜|，,]\s*[^/／｜|0-9]*(?:一起結帳|結帳|忘記|不確定|不知道|沒注意|沒記|可能是|大概是|忘了)[^/／｜|0-9]*$"
+GIFT = (
+    r"(?:[/／、,，+＋]?\s*(?:消費滿[0-9]*|任[一兩二三四五六七八九十0-9]+[件瓶個支杯份]?|買[一兩二三四五六七八九十0-9]+[件瓶個支杯份]?|[一兩二三四五六七八九十0-9]+件)\s*[一兩二三四五六七八九十0-9]*折?\s*(?:免費)?送.*"
+    r"|[/／、,，+＋]\s*[0-9]{0,3}\s*元?\s*(?:免費)?送.*|[0-9]{1,3}\s*元\s*(?:免費)?送.*)$"
+)
+PAYMENT = r"付款|支付|刷卡|信用卡|金融卡|聯邦卡|國泰卡|中信卡|玉山卡|台新卡|悠遊卡|一卡通|icash|ipass|i\s*pass|line\s*pay|linepay|街口|全支付|全盈|apple\s*pay|google\s*pay|samsung\s*pay"
+TEMPLATE = "(區域型商品請註明 試吃試用品請標示價格0元)"
+REVIEW_STARTS = r"^\s*[：:]?\s*[【\[]?\s*心得\s*[】\]]?\s*[:：]"
+PRICE_LINE = r"(?i)^\s*(?:價格|售價|價錢|原價|特價|目前|活動價|NT\$?|\$|[0-9]+\s*(?:ML|毫升|G|公克|克))"
+SUFFIXES = ["三明治", "御飯糰", "飯糰", "便當", "軟歐", "貝果", "可頌", "餐包", "蛋餅", "義大利麵", "霜淇淋", "冰淇淋", "布丁", "泡芙", "蛋糕", "拉麵", "麵包", "吐司", "土司"]
+COMBO = r"[0-9]+\s*(?:入|包|個|顆|片|杯|瓶|罐|盒|組|件|份)"
+
+ITEMS = "array<struct<name:string,price:int>>"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _item(name: Column, price: Column | None) -> Column:
+    return F.struct(name.cast("string").alias("name"), (F.lit(None) if price is None else price).cast("int").alias("price"))
+
+
+def _one(name: Column, price: Column | None) -> Column:
+    return F.array(_item(name, price))
+
+
+def _shortened(text: Column, pattern: str) -> Column:
+    """Without the pattern, unless hardly anything were left."""
+    rest = F.trim(F.regexp_replace(text, pattern, ""))
+    return F.when(F.length(rest) >= 2, rest).otherwise(text)
+
+
+def tidy(line: Column, brand: Column) -> Column:
+    """A line without brand, brackets, friendly hours, decimals of prices, multipliers and asides on price, gifts and payment."""
+    s = N.replaced(line, (r"^[：:]+\s*", ""), ("(?i)Fami!ce", "Famice"), (r"\$([0-9])", "$1"), (r"([0-9])\$", "$1"))
+    s = N.strip_brand(F.regexp_replace(unwrap_brackets(s), r"[\[\(（【][^\]\)）】]*$", " "), brand)
+    s = N.replaced(s, ("友善時光", " "), (r"[/／]?\s*[0-9]{1,3}\s*時光\s*$", ""), (r"([0-9]+)\.[0-9]+(?=\s*元)", "$1"), (r"\s*[xX*×]\s*0?\.[0-9]+\s*", " "))
+    s = _shortened(_shortened(s, NOTE), GIFT)
+    return N.replaced(s, (rf"(?i)[/／｜|]\s*[^/／｜|0-9]*(?:{PAYMENT})[^/／｜|0-9]*(?=[0-9]{{2,3}}\s*(?:元)?)", " "), (rf"(?i)([0-9]{{2,3}}元)\s*[/／｜|]\s*[^/／｜|]*(?:{PAYMENT}).*$", "$1"))
+
+
+def squashed(text: Column) -> Column:
+    """One run of letters and digits: no separators, remarks or white space."""
+    return N.replaced(text, (r"(?<=[一-鿿])[xX×](?=[一-鿿])", " "), (N.SEPARATOR, " "), (N.TITLE_PREFIX, " "), (N.NOISE, " "), (r"(?U)\s+", ""))
+
+
+def prices(text: Column, most: int = MOST) -> Column:
+    """All prices in range, those of bundles by the piece (half up) and after the others."""
+    plain = F.transform(F.regexp_extract_all(F.regexp_replace(text, BUNDLE, " "), F.lit(PRICE), 1), lambda p: p.cast("int"))
+    counts, totals = F.regexp_extract_all(text, F.lit(BUNDLE), 1), F.regexp_extract_all(text, F.lit(BUNDLE), 2)
+    pieces = F.zip_with(counts, totals, lambda c, t: F.floor(t.cast("double") / c.cast("double") + 0.5).cast("int"))
+    fit = lambda ps: F.filter(ps, lambda p: p.between(LEAST, most))
+    return let(fit(plain), lambda p: F.when(F.size(p) > 0, p).otherwise(fit(pieces)))
+
+
+def best_price(text: Column) -> Column:
+    """The last price."""
+    return let(prices(text), lambda p: F.get(p, F.size(p) - 1))
+
+
+def first_price(text: Column) -> Column:
+    return F.get(prices(text, MOST_SHARED), F.lit(0))
+
+
+def segments(text: Column, brand: Column) -> Column:
+    """A name in front of each price; a bundle's price by the piece."""
+    names, found = F.regexp_extract_all(text, F.lit("(?s)(.*?)" + IN_RANGE), 1), F.regexp_extract_all(text, F.lit("(?s)(.*?)" + IN_RANGE), 2)
+    count = lambda n: F.regexp_extract(n, rf"([2-6])\s*(?:{UNIT})\s*$", 1)
+    piece = lambda n, p: F.when(count(n) == "", p.cast("int")).otherwise(F.floor(p.cast("double") / F.nullif(count(n), F.lit("")).cast("double") + 0.5).cast("int"))
+    items = F.zip_with(names, found, lambda n, p: _item(N.cleaned(F.regexp_replace(n, rf"[2-6]\s*(?:{UNIT})\s*$", ""), brand), piece(n, p)))
+    return F.filter(items, lambda i: (F.length(i["name"]) >= 2) & ~i["name"].rlike(N.PRICE_LABEL) & i["price"].between(LEAST, MOST))
+
+
+def _priced(text: Column, pattern: str, *strip: str) -> Column:
+    """One name with one price, if the pattern fits; null otherwise."""
+    name, price = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2).try_cast("int")
+    plain = F.trim(N.replaced(name, *[(p, "") for p in (N.QUANTITY, N.OPTIONAL, *strip)]))
+    return F.when((F.length(name) >= 2) & price.between(LEAST, MOST) & (F.length(plain) >= 2), _one(plain, price))
+
 
-LEAST, MOST = 15, 400
+def _same_price(s: Column) -> Column:
+    """Names set apart by slashes or commas that share one price."""
+    listed, price = F.regexp_extract(s, SAME_PRICE, 1), F.regexp_extract(s, SAME_PRICE, 2).try_cast("int")
+    names = F.transform(F.split(listed, "[/／、]"), lambda n: N.replaced(n, (N.NOISE, " "), (r"(?U)^\s+|\s+$", ""), ("[，,、]+$", ""), (r"(?U)\s+", "")))
+    items = F.transform(F.filter(names, lambda n: F.length(n) >= 2), lambda n: _item(n, price))
+    return F.when(listed.rlike("[/／、]") & price.between(LEAST, MOST) & (F.size(items) >= 2), items)
 
 
-def clean_field(raw: Column, brand: Column) -> Column:
-    """Without colons in front, the brand's own name, times of day and asides about paying."""
-    text = F.regexp_replace(raw, r"(?U)^[\s:：]+|\s+$", "")
-    for b, names in BRANDS.items():
-        text = F.when(brand == b, F.regexp_replace(text, brand_pattern(names), "")).otherwise(text)
-    text = F.regexp_replace(text, r"/\s*[0-9]+\s*時光", "")
-    text = F.regexp_replace(text, r"(?:第[二2]|加購).{0,3}?[0-9]+\s*元?", "")
-    return F.regexp_replace(text, r"/?\s*[^/\s]*(?:不確定價格|一起結帳)[^/]*", "")
+def _shared_prefix(s: Column) -> Column:
+    """One prefix with several flavours."""
+    prefix, flavours, mark = (F.regexp_extract(s, FLAVOURS, k) for k in (1, 2, 3))
+    end = F.when(mark.contains("口味"), "口味").otherwise("風味")
+    kinds = F.filter(F.transform(F.split(flavours, "、"), lambda f: F.trim(f)), lambda f: f != "")
+    items = let(best_price(s), lambda p: F.transform(kinds, lambda f: _item(F.regexp_replace(F.concat(prefix, f, end), r"(?U)\s+", ""), p)))
+    return F.when((F.length(F.trim(prefix)) >= 2) & (F.size(kinds) >= 2), items)
 
 
-def _name(text: Column) -> Column:
-    """A product's name: no quantity, link words or marks around it."""
-    text = F.regexp_replace(text, r"(?:酷碰價|特價|優惠價|售價|[0-9]+入|[一二兩三四五0-9]+[支個份杯盒包])+\s*$", "")
-    return F.regexp_replace(text, r"(?U)^[\s\p{P}]+|[\s\p{P}]+$|(?<=\p{IsHan})[-+](?=\p{IsHan})", "")
+def _plain(s: Column, brand: Column) -> Column:
+    """A squashed text: several priced names, one before or after promotions, or a name alone."""
+    bare = F.regexp_replace(s, N.PROMO, "")
+    alone = F.regexp_replace(bare, "[0-9]{2,3}元?$", "")
+    return let(
+        segments(s, brand),
+        lambda found: F.coalesce(
+            F.when((F.size(found) >= 2) | ((F.size(found) == 1) & s.rlike(BUNDLE)), found),
+            _priced(s, TRAILING, N.PROMO, N.PROMO_TAIL), _priced(s, BEFORE_PROMO), _priced(bare, TRAILING),
+            _one(F.when(alone == "", s).otherwise(alone), None),
+        ),
+    )
+
+
+def read_line(line: Column, brand: Column) -> Column:
+    """The items of one line; a combination of two packs counts as its first."""
+
+    def combined(s):
+        first, rest = F.regexp_extract(s, r"^([^+＋]+?)[+＋](.+)$", 1), F.regexp_extract(s, r"^([^+＋]+?)[+＋](.+)$", 2)
+        name = let(F.get(_plain(squashed(first), brand), F.lit(0)), lambda i: _item(F.trim(N.replaced(i["name"], (N.QUANTITY, ""), (N.OPTIONAL, ""))), F.coalesce(i["price"], first_price(s))))
+        return F.when(first.rlike(COMBO) & rest.rlike(COMBO), F.filter(F.array(name), lambda i: F.length(i["name"]) >= 2))
+
+    def readings(s):
+        combo = combined(s)
+        return F.coalesce(F.when(F.size(combo) > 0, combo), _same_price(s), _shared_prefix(s), let(squashed(s), lambda x: _plain(x, brand)))
+
+    return let(tidy(line, brand), readings)
+
+
+def _lines(raw: Column) -> Column:
+    """A field's lines up to the review, without links and the form's own words."""
+    every = F.transform(F.split(raw, r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    starts = F.filter(F.transform(every, lambda x, i: F.when(x.rlike(REVIEW_STARTS), i)), lambda i: i.isNotNull())
+    until = F.coalesce(F.get(starts, F.lit(0)), F.size(every))
+    return F.filter(F.slice(every, F.lit(1), until), lambda x: (x != "") & ~x.rlike("^[：:]+$") & (x != TEMPLATE) & ~x.rlike("(?i)https?://"))
+
+
+def _several_lines(lines: Column, brand: Column) -> Column:
+    """Items of lines, a line of prices going to the name before it."""
+    state = f"struct<items:{ITEMS},name:string>"
+
+    def make(items, name):
+        return F.struct(items.cast(ITEMS).alias("items"), name.cast("string").alias("name")).cast(state)
+
+    def add(done, line):
+        price = best_price(line)
+        context = F.when(done["name"].isNotNull() & price.isNotNull(), make(F.concat(done["items"], _one(done["name"], price)), F.lit(None))).otherwise(done)
+
+        def other(got):
+            priced = F.filter(got, lambda i: (i["name"] != "") & i["price"].isNotNull())
+            name = F.nullif(F.get(got, F.lit(0))["name"], F.lit(""))
+            return F.when(F.size(priced) > 0, make(F.concat(done["items"], priced), F.lit(None))).otherwise(make(done["items"], F.coalesce(name, done["name"])))
+
+        several = segments(line, brand)
+        return F.when(line.rlike(PRICE_LINE), context).when(F.size(several) >= 2, make(F.concat(done["items"], several), F.lit(None))).otherwise(let(read_line(line, brand), other))
+
+    shared = _same_price(tidy(F.array_join(lines, " "), brand))
+    folded = F.aggregate(lines, make(F.array().cast(ITEMS), F.lit(None)), add)["items"]
+    # Nothing priced: the first line's name, short lines that go on with it, and the first price further down.
+    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    later = F.get(F.filter(F.transform(rest, best_price), lambda p: p.isNotNull()), F.lit(0))
+    more = F.filter(rest, lambda x: (F.length(x) <= 16) & ~x.rlike(PRICE) & ~x.rlike(N.PROMO) & ~x.rlike(N.OPTIONAL) & (F.length(squashed(x)) >= 2))
+    anywhere = let(F.get(read_line(F.get(lines, F.lit(0)), brand), F.lit(0)), lambda i: _one(F.concat(i["name"], F.array_join(F.transform(F.filter(more, lambda x: ~F.contains(i["name"], squashed(x))), squashed), "")), F.coalesce(i["price"], later)))
+    return F.coalesce(shared, let(folded, lambda f: F.when(F.size(f) > 0, f)), anywhere)
+
+
+def _parallel(line: Column, brand: Column) -> Column:
+    """Names set apart by white space, each of which ends as products' names do."""
+    parts = F.split(F.regexp_replace(line, r"^[：:]+\s*", ""), r"(?U)\s+")
+    ends = "(?:" + "|".join(SUFFIXES) + ")$"
+    items = F.transform(parts, lambda p: F.get(read_line(p, brand), F.lit(0)))
+    return F.when((F.size(parts) >= 2) & F.forall(parts, lambda p: F.regexp_replace(p, "[/／]?[0-9]*元?$", "").rlike(ends)), items)
+
+
+def without_qualifiers(items: Column) -> Column:
+    """Names without a shop's words on prices at their end; a price swallowed by these becomes the item's. No name shrinks below three characters."""
+
+    def one(i):
+        end = F.regexp_extract(i["name"], QUALIFIER, 0)
+        rest = F.regexp_replace(F.regexp_replace(i["name"], QUALIFIER, ""), r"(?U)[、,，.。/／|｜\-\s]+$", "")
+        bare = F.regexp_replace(rest, N.QUANTITY, "")
+        swallowed = F.regexp_extract(i["name"], QUALIFIER, 1).try_cast("int")
+        price = F.coalesce(i["price"], F.when(swallowed.between(LEAST, MOST), swallowed))
+        return F.when((end != "") & (F.length(rest) >= 3), _item(F.when(F.length(bare) >= 2, bare).otherwise(rest), price)).otherwise(i)
+
+    return F.transform(items, one)
+
+
+def reply_part(raw: Column) -> Column:
+    """What a reply says in front of its signature."""
+    return F.regexp_replace(raw, r"(?s)(?:^|\n)[：:]?\s*--\s*(?:\n.*)?$", "")
 
 
 def extract_products(raw: Column, brand: Column) -> Column:
-    """array<struct<name, price>>: a price shared by names set apart by slashes, several names each with a price, or one name with the first price."""
-    text = clean_field(raw, brand)
-    text = F.regexp_replace(text, r"^([^+/]+?[0-9]+入)\+[^/]+[0-9]+入", "$1")
-    text = F.regexp_replace(text, r"[0-9]+入(?=[/\s])", "")
-    shared = F.regexp_extract(text, r"^(.+?/.+?)都([0-9]{2,3})元?", 1)
-    shared_price = F.regexp_extract(text, r"都([0-9]{2,3})元?", 1).try_cast("int")
-    several = r"([^0-9/]*(?:[0-9]\.[0-9])?[^0-9/]+)[/\s]*(?:酷碰價|特價|優惠價|售價)?\s*([0-9]{2,3})(?:\.[0-9])?\s*元?"
-    names, prices = F.regexp_extract_all(text, F.lit(several), 1), F.regexp_extract_all(text, F.lit(several), 2)
-    priced = F.zip_with(names, prices, lambda n, p: F.struct(_name(n).alias("name"), p.try_cast("int").alias("price")))
-    priced = F.transform(priced, lambda x: F.struct(x["name"].alias("name"), F.when(x["price"].between(LEAST, MOST), x["price"]).alias("price")))
-    priced = F.filter(priced, lambda x: F.length(x["name"]) >= 2)
-    bare = F.array(F.struct(_name(F.regexp_replace(text, "/.*$", "")).alias("name"), F.lit(None).cast("int").alias("price")))
-    return F.when(shared != "", F.transform(F.split(shared, "/"), lambda n: F.struct(_name(n).alias("name"), shared_price.alias("price")))).when(F.size(priced) > 0, priced).otherwise(F.filter(bare, lambda x: x["name"] != ""))
+    """array<struct<name, price>>: the products of a form's field by rules. Give it NFKC text."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+    def read(lines):
+        first = F.get(lines, F.lit(0))
+        one = F.coalesce(_parallel(first, brand), F.when(F.size(lines) > 1, _several_lines(lines, brand)), read_line(first, brand))
+        return F.when(F.size(lines) > 0, one).otherwise(_one(F.lit(""), None))
+
+    return without_qualifiers(let(_lines(text), read)).cast(ITEMS)
+
+
+def with_labels(rules: Column, labelled: Column) -> Column:
+    """A label's items in place of the rules'; the rules lend a price where both name one product and the label has none. Null: not labelled; empty: no usable name."""
+    lent = (F.size(labelled) == 1) & (F.size(rules) == 1) & F.get(labelled, F.lit(0))["price"].isNull() & F.get(rules, F.lit(0))["price"].isNotNull()
+    return F.when(labelled.isNull(), rules).when(lent, _one(F.get(labelled, F.lit(0))["name"], F.get(rules, F.lit(0))["price"])).otherwise(labelled)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
-from ..functions import attribution as AT, sentiment as SE, text as TX
-from ..operators import accounts as A, opinions as O, publish as P, store as S
+from ..functions import attribution as AT, cleaners as CL, sentiment as SE, text as TX
+from ..functions import names as N
+from ..operators import accounts as A, identity as ID, opinions as O, publish as P, shelf as SH, store as S
 
 
 def comments(posts: DataFrame) -> DataFrame:
     """A row per comment with its sentiment, eligibility and whom it speaks of."""
-    rows = posts.select("id", "brand", "product_name", "author", F.col("posted_at").alias("post_at"), F.posexplode("comments").alias("idx", "c"))
+    rows = posts.select("id", "brand", "product_key", "author", F.col("posted_at").alias("post_at"), F.posexplode("comments").alias("idx", "c"))
     text = TX.nfkc(F.coalesce("c.text", F.lit("")))
     rows = rows.withColumns({"text": text, "user_id": F.col("c.user"), "at": F.coalesce("c.posted_at", "post_at")})
     rows = rows.withColumn("s", F.coalesce("c.sentiment", SE.comment_score(F.coalesce("c.tag", F.lit("")), F.col("text"))))
@@ -20,25 +21,53 @@ def comments(posts: DataFrame) -> DataFrame:
     return rows.withColumns({"eligible": good & F.col("said.sentiment").isNotNull(), "sentiment": F.col("said.sentiment")})
 
 
-def reports(posts: DataFrame, as_of) -> DataFrame:
-    """Fair scores of products (brand and name), authors and commenters voting alike."""
-    rows = comments(posts).withColumn("product", F.struct("brand", F.col("product_name").alias("name")))
+def products(posts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """A row per post and product, with ``product_key``: the cluster of the name among its brand's."""
+    rows = ID.split_posts(posts, labels)
+    rows = S.pinned(rows.withColumn("name", N.canonical_name(TX.nfkc(F.col("product_name")), F.col("brand"))))
+    found = ID.cluster_names(rows.select("brand", "name")).select("brand", "name", F.col("cluster").alias("product_key"))
+    return rows.join(found, ["brand", "name"])
+
+
+def reports(posts: DataFrame, as_of, labels: DataFrame | None = None) -> DataFrame:
+    """Fair scores of products (brand and key), authors and commenters voting alike, with counts, the name most posts use, the latest price and date, and the posts' URLs."""
+    posts = S.pinned(products(posts, labels))
+    product = F.struct("brand", F.col("product_key").alias("name")).alias("product")
+    names = posts.groupBy(product, "name").agg(F.count("*").alias("n")).groupBy("product").agg(F.min_by("name", F.struct(-F.col("n"), -F.length("name"), F.col("name"))).alias("product_name"))
+    priced = F.when(F.col("price").rlike("^[0-9]+$"), F.struct(F.coalesce("posted_at", F.lit("0001-01-01").cast("timestamp")), "id"))
+    about = posts.groupBy(product).agg(
+        F.count("*").alias("n_posts"), F.sum(F.size("comments")).alias("n_comments"), F.max("posted_at").alias("latest_post_date"), F.max_by("price", priced).try_cast("int").alias("price"), F.array_sort(F.collect_set("url")).alias("post_urls")
+    )
+    return scored(posts, as_of).join(about, "product", "right").join(names, "product")
+
+
+def scored(posts: DataFrame, as_of) -> DataFrame:
+    """Moments and scores of products, with eligible comments and distinct commenters; posts have a product_key."""
+    rows = comments(posts).withColumn("product", F.struct("brand", F.col("product_key").alias("name")))
     active = rows.where("eligible")
     activity = active.select("user_id", "brand", "sentiment", F.col("at").alias("ts"), F.xxhash64("id", "idx").alias("event_id"), "text")
     trust = A.suspicion(activity).select("user_id", "credibility")
     spoken = active.select("product", F.col("user_id").alias("user"), F.lit("commenter").alias("role"), ((F.col("sentiment") + 1) / 2).alias("score"), "at", F.struct(F.lit(1).alias("k"), "id", "idx").alias("ord"))
     written = posts.where(F.col("author_score").isNotNull()).select(
-        F.struct("brand", F.col("product_name").alias("name")).alias("product"), F.col("author").alias("user"), F.lit("author").alias("role"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("author_score") / 100)).alias("score"), F.col("posted_at").alias("at"), F.struct(F.lit(0).alias("k"), "id", F.lit(0).alias("idx")).alias("ord")
+        F.struct("brand", F.col("product_key").alias("name")).alias("product"), F.col("author").alias("user"), F.lit("author").alias("role"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("author_score") / 100)).alias("score"), F.col("posted_at").alias("at"), F.struct(F.lit(0).alias("k"), "id", F.lit(0).alias("idx")).alias("ord")
     )
     votes = spoken.unionByName(written).join(trust, F.col("user") == F.col("user_id"), "left")
     votes = votes.withColumn("weight", F.coalesce("credibility", F.lit(1.0)) * O.decay_weight(F.col("at"), F.lit(as_of).cast("timestamp")))
     paid = P.shill_stats(rows.select("product", TX.shill(F.col("text")).alias("shill"), (F.trim("text") != "").alias("counted")))
-    return O.fair_scores(O.product_moments(O.one_vote(votes), paid.where("shill_flag")))
+    counts = active.groupBy("product").agg(F.count("*").alias("n_eligible_comments"), F.countDistinct("user_id").alias("n_unique_commenters"))
+    named = rows.where("size(said.brands) > 0").select("product", F.col("said.brands").alias("brands"), F.col("said.other_preferred").alias("other_preferred"), F.col("said.own_preferred").alias("own_preferred"))
+    out = O.fair_scores(O.product_moments(O.one_vote(votes), paid.where("shill_flag")))
+    return out.join(counts, "product", "left").join(paid.select("product", "shill_ratio", "shill_flag"), "product", "left").join(SH.competitor_stats(named), "product", "left")
 
 
-def query(posts: DataFrame, as_of, window: S.TimeWindow | None = None, **having) -> DataFrame:
-    """The whole way: time filter first, as only it may go below the profiles; then reports, HAVING, limit."""
-    return O.filter_reports(reports(S.filter_posts(posts, window) if window else posts, as_of), **having)
+def query(posts: DataFrame, as_of, window: S.TimeWindow | None = None, brand: str | None = None, recent_days: int | None = None, labels: DataFrame | None = None, **having) -> DataFrame:
+    """The whole way: time filter first, as only it may go below the profiles; then reports, those of a brand or of the last days, HAVING, limit."""
+    found = reports(S.filter_posts(posts, window) if window else posts, as_of, labels)
+    if brand:
+        found = found.where(CL.same_brand(F.col("product.brand"), brand))
+    if recent_days and recent_days > 0:
+        found = found.where(F.col("latest_post_date") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(recent_days)} days"))
+    return O.filter_reports(found, **having)
 
 
 DEFAULTS = {"min_n_eff": C.N_EFF_MIN}
