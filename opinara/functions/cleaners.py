@@ -64,9 +64,12 @@ def clean_representatives(texts: Column, most: int = REPRESENTATIVES) -> Column:
 def representative_comment(text: Column, brand: Column) -> Column:
     """Without links, a brand's name as a label in front, brackets and marks at the edges."""
     s = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), LINK, " "))
-    for b, names in BRANDS.items():
-        label = "|".join(sorted({rf"\Q{n}\E" for n in (b, *names)}, key=len, reverse=True))
-        s = F.when(brand == b, F.regexp_replace(s, rf"(?i)^(?:{label})(?=[\s:：])[\s:：]*", "")).otherwise(s)
+    names = {b: "|".join(sorted({rf"\Q{n}\E" for n in (b, *ns)}, key=len, reverse=True)) for b, ns in BRANDS.items()}
+    label = None
+    for b, either in names.items():
+        pattern = F.lit(rf"(?i)^(?:{either})(?=[\s:：])[\s:：]*")
+        label = F.when(brand == b, pattern) if label is None else label.when(brand == b, pattern)
+    s = F.regexp_replace(s, label.otherwise(F.lit("(?!)")), F.lit(""))
     s = squeeze(F.regexp_replace(s, r"[\[(（【].*?[\])）】]", " "))
     edge = r"[\s:：,，.。!！?？~～\-]+"
     return F.trim(F.regexp_replace(s, f"^{edge}|{edge}$", ""))

@@ -6,12 +6,11 @@ are read line by line, a line of prices going to the name before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from . import names as N
 from .cleaners import unwrap_brackets
+from .names import let
 
 # Limits of a price, and patterns of prices, bundles, asides and tails.
 LEAST, MOST, MOST_SHARED = 15, 400, 999
@@ -45,11 +44,6 @@ COMBO = r"[0-9]+\s*(?:入|包|個|顆|片|杯|瓶|罐|盒|組|件|份)"
 ITEMS = "array<struct<name:string,price:int>>"
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, also inside other lambdas."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _item(name: Column, price: Column | None) -> Column:
     return F.struct(name.cast("string").alias("name"), (F.lit(None) if price is None else price).cast("int").alias("price"))
 
@@ -60,8 +54,7 @@ def _one(name: Column, price: Column | None) -> Column:
 
 def _shortened(text: Column, pattern: str) -> Column:
     """Without the pattern, unless hardly anything were left."""
-    rest = F.trim(F.regexp_replace(text, pattern, ""))
-    return F.when(F.length(rest) >= 2, rest).otherwise(text)
+    return let(text, lambda t: F.when(F.length(F.trim(F.regexp_replace(t, pattern, ""))) >= 2, F.trim(F.regexp_replace(t, pattern, ""))).otherwise(t))
 
 
 def tidy(line: Column, brand: Column) -> Column:
@@ -107,9 +100,12 @@ def segments(text: Column, brand: Column) -> Column:
 
 def _priced(text: Column, pattern: str, *strip: str) -> Column:
     """One name with one price, if the pattern fits; null otherwise."""
-    name, price = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2).try_cast("int")
-    plain = F.trim(N.replaced(name, *[(p, "") for p in (N.QUANTITY, N.OPTIONAL, *strip)]))
-    return F.when((F.length(name) >= 2) & price.between(LEAST, MOST) & (F.length(plain) >= 2), _one(plain, price))
+    price = F.regexp_extract(text, pattern, 2).try_cast("int")
+
+    def named(name):
+        return let(F.trim(N.replaced(name, *[(p, "") for p in (N.QUANTITY, N.OPTIONAL, *strip)])), lambda plain: F.when((F.length(name) >= 2) & price.between(LEAST, MOST) & (F.length(plain) >= 2), _one(plain, price)))
+
+    return let(F.regexp_extract(text, pattern, 1), named)
 
 
 def _same_price(s: Column) -> Column:
@@ -131,29 +127,26 @@ def _shared_prefix(s: Column) -> Column:
 
 def _plain(s: Column, brand: Column) -> Column:
     """A squashed text: several priced names, one before or after promotions, or a name alone."""
-    bare = F.regexp_replace(s, N.PROMO, "")
-    alone = F.regexp_replace(bare, "[0-9]{2,3}元?$", "")
+
+    def alone(bare):
+        return F.coalesce(_priced(bare, TRAILING), _one(F.coalesce(F.nullif(F.regexp_replace(bare, "[0-9]{2,3}元?$", ""), F.lit("")), s), None))
+
     return let(
         segments(s, brand),
-        lambda found: F.coalesce(
-            F.when((F.size(found) >= 2) | ((F.size(found) == 1) & s.rlike(BUNDLE)), found),
-            _priced(s, TRAILING, N.PROMO, N.PROMO_TAIL), _priced(s, BEFORE_PROMO), _priced(bare, TRAILING),
-            _one(F.when(alone == "", s).otherwise(alone), None),
-        ),
-    )
+        lambda found: F.coalesce(F.when((F.size(found) >= 2) | ((F.size(found) == 1) & s.rlike(BUNDLE)), found), _priced(s, TRAILING, N.PROMO, N.PROMO_TAIL), _priced(s, BEFORE_PROMO), let(F.regexp_replace(s, N.PROMO, ""), alone)),
+    )
 
 
 def read_line(line: Column, brand: Column) -> Column:
     """The items of one line; a combination of two packs counts as its first."""
-
-    def combined(s):
-        first, rest = F.regexp_extract(s, r"^([^+＋]+?)[+＋](.+)$", 1), F.regexp_extract(s, r"^([^+＋]+?)[+＋](.+)$", 2)
-        name = let(F.get(_plain(squashed(first), brand), F.lit(0)), lambda i: _item(F.trim(N.replaced(i["name"], (N.QUANTITY, ""), (N.OPTIONAL, ""))), F.coalesce(i["price"], first_price(s))))
-        return F.when(first.rlike(COMBO) & rest.rlike(COMBO), F.filter(F.array(name), lambda i: F.length(i["name"]) >= 2))
+    both = r"^([^+＋]+?)[+＋](.+)$"
 
     def readings(s):
-        combo = combined(s)
-        return F.coalesce(F.when(F.size(combo) > 0, combo), _same_price(s), _shared_prefix(s), let(squashed(s), lambda x: _plain(x, brand)))
+        combo = F.regexp_extract(s, both, 1).rlike(COMBO) & F.regexp_extract(s, both, 2).rlike(COMBO)
+        text = squashed(F.when(combo, F.regexp_extract(s, both, 1)).otherwise(s))
+        first = lambda i: F.array(_item(F.trim(N.replaced(i["name"], (N.QUANTITY, ""), (N.OPTIONAL, ""))), F.coalesce(i["price"], first_price(s))))
+        plain = let(text, lambda x: _plain(x, brand))
+        return F.coalesce(F.when(~combo, F.coalesce(_same_price(s), _shared_prefix(s))), let(plain, lambda p: F.when(combo, let(F.get(p, F.lit(0)), first)).otherwise(p)))
 
     return let(tidy(line, brand), readings)
 
@@ -166,41 +159,38 @@ def _lines(raw: Column) -> Column:
     return F.filter(F.slice(every, F.lit(1), until), lambda x: (x != "") & ~x.rlike("^[：:]+$") & (x != TEMPLATE) & ~x.rlike("(?i)https?://"))
 
 
-def _several_lines(lines: Column, brand: Column) -> Column:
-    """Items of lines, a line of prices going to the name before it."""
+def _several_lines(lines: Column, read: Column, brand: Column) -> Column:
+    """Items of lines, given with what each one reads as; a line of prices goes to the name before it."""
     state = f"struct<items:{ITEMS},name:string>"
 
     def make(items, name):
         return F.struct(items.cast(ITEMS).alias("items"), name.cast("string").alias("name")).cast(state)
 
-    def add(done, line):
-        price = best_price(line)
+    def add(done, pair):
+        line, price = pair["line"], pair["price"]
+        more = F.when(F.size(pair["several"]) >= 2, pair["several"]).otherwise(F.filter(pair["read"], lambda i: (i["name"] != "") & i["price"].isNotNull()))
+        name = F.coalesce(F.nullif(F.get(pair["read"], F.lit(0))["name"], F.lit("")), done["name"])
         context = F.when(done["name"].isNotNull() & price.isNotNull(), make(F.concat(done["items"], _one(done["name"], price)), F.lit(None))).otherwise(done)
+        return F.when(line.rlike(PRICE_LINE), context).otherwise(let(more, lambda m: F.when(F.size(m) > 0, make(F.concat(done["items"], m), F.lit(None))).otherwise(make(done["items"], name))))
 
-        def other(got):
-            priced = F.filter(got, lambda i: (i["name"] != "") & i["price"].isNotNull())
-            name = F.nullif(F.get(got, F.lit(0))["name"], F.lit(""))
-            return F.when(F.size(priced) > 0, make(F.concat(done["items"], priced), F.lit(None))).otherwise(make(done["items"], F.coalesce(name, done["name"])))
+    pairs = F.zip_with(lines, read, lambda x, r: F.struct(x.alias("line"), r.alias("read"), segments(x, brand).alias("several"), best_price(x).alias("price")))
+    # Nothing priced: the first line's name, short lines that go on with it, and the first price further down.
+    later = lambda ps: F.get(F.filter(F.transform(F.slice(ps, F.lit(2), F.size(ps)), lambda p: p["price"]), lambda p: p.isNotNull()), F.lit(0))
+    goes_on = lambda x: (F.length(x) <= 16) & ~x.rlike(PRICE) & ~x.rlike(N.PROMO) & ~x.rlike(N.OPTIONAL) & (F.length(squashed(x)) >= 2)
+    more = F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), goes_on), squashed)
 
-        several = segments(line, brand)
-        return F.when(line.rlike(PRICE_LINE), context).when(F.size(several) >= 2, make(F.concat(done["items"], several), F.lit(None))).otherwise(let(read_line(line, brand), other))
+    def items(ps):
+        anywhere = let(F.get(ps, F.lit(0))["read"], lambda r: _one(F.concat(F.get(r, F.lit(0))["name"], F.array_join(F.filter(more, lambda x: ~F.contains(F.get(r, F.lit(0))["name"], x)), "")), F.coalesce(F.get(r, F.lit(0))["price"], later(ps))))
+        return let(F.aggregate(ps, make(F.array().cast(ITEMS), F.lit(None)), add)["items"], lambda f: F.when(F.size(f) > 0, f).otherwise(anywhere))
 
-    shared = _same_price(tidy(F.array_join(lines, " "), brand))
-    folded = F.aggregate(lines, make(F.array().cast(ITEMS), F.lit(None)), add)["items"]
-    # Nothing priced: the first line's name, short lines that go on with it, and the first price further down.
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    later = F.get(F.filter(F.transform(rest, best_price), lambda p: p.isNotNull()), F.lit(0))
-    more = F.filter(rest, lambda x: (F.length(x) <= 16) & ~x.rlike(PRICE) & ~x.rlike(N.PROMO) & ~x.rlike(N.OPTIONAL) & (F.length(squashed(x)) >= 2))
-    anywhere = let(F.get(read_line(F.get(lines, F.lit(0)), brand), F.lit(0)), lambda i: _one(F.concat(i["name"], F.array_join(F.transform(F.filter(more, lambda x: ~F.contains(i["name"], squashed(x))), squashed), "")), F.coalesce(i["price"], later)))
-    return F.coalesce(shared, let(folded, lambda f: F.when(F.size(f) > 0, f)), anywhere)
+    shared = let(tidy(F.array_join(lines, " "), brand), _same_price)
+    return F.coalesce(shared, let(pairs, items))
 
 
-def _parallel(line: Column, brand: Column) -> Column:
-    """Names set apart by white space, each of which ends as products' names do."""
-    parts = F.split(F.regexp_replace(line, r"^[：:]+\s*", ""), r"(?U)\s+")
-    ends = "(?:" + "|".join(SUFFIXES) + ")$"
-    items = F.transform(parts, lambda p: F.get(read_line(p, brand), F.lit(0)))
-    return F.when((F.size(parts) >= 2) & F.forall(parts, lambda p: F.regexp_replace(p, "[/／]?[0-9]*元?$", "").rlike(ends)), items)
+def _parallel(line: Column) -> Column:
+    """The parts of a line set apart by white space, if there are several and each ends as products' names do; null otherwise."""
+    ends = "(?:" + "|".join(SUFFIXES) + ")(?:[/／]?[0-9]*元?)$"
+    return let(F.split(F.regexp_replace(line, r"^[：:]+\s*", ""), r"(?U)\s+"), lambda parts: F.when((F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(ends)), parts))
 
 
 def without_qualifiers(items: Column) -> Column:
@@ -227,9 +217,11 @@ def extract_products(raw: Column, brand: Column) -> Column:
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+$", "")
 
     def read(lines):
-        first = F.get(lines, F.lit(0))
-        one = F.coalesce(_parallel(first, brand), F.when(F.size(lines) > 1, _several_lines(lines, brand)), read_line(first, brand))
-        return F.when(F.size(lines) > 0, one).otherwise(_one(F.lit(""), None))
+        parts = _parallel(F.get(lines, F.lit(0)))
+        return let(F.struct(F.coalesce(parts, lines).alias("lines"), parts.isNotNull().alias("parallel")), chosen)
+
+    def chosen(c):
+        return let(F.transform(c["lines"], lambda x: read_line(x, brand)), lambda r: F.when(c["parallel"], F.transform(r, lambda x: F.get(x, F.lit(0)))).when(F.size(r) > 1, _several_lines(c["lines"], r, brand)).when(F.size(r) == 1, F.get(r, F.lit(0))).otherwise(_one(F.lit(""), None)))
 
     return without_qualifiers(let(_lines(text), read)).cast(ITEMS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -46,17 +47,27 @@ FLAVOURS = [
 UNKNOWN = "unknown"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that stands in the expression, and is computed, once; also inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), pairs, text)
 
 
+def brand_case(brand: Column, patterns: dict[str, str]) -> Column:
+    """A brand's pattern, as a column: so the text it is applied to stands in the expression once. Other brands' fits nothing."""
+    out = None
+    for b, p in patterns.items():
+        out = F.when(brand == b, F.lit(p)) if out is None else out.when(brand == b, F.lit(p))
+    return out.otherwise(F.lit("(?!)"))
+
+
 def strip_brand(text: Column, brand: Column) -> Column:
     """Without the names of the brand, those of Latin letters only where no letter or digit touches them."""
-    out = text
-    for b, names in BRANDS.items():
-        parts = [rf"(?<![A-Za-z0-9])\Q{n}\E(?![A-Za-z0-9])" if any(c.isascii() and c.isalnum() for c in n) else rf"\Q{n}\E" for n in sorted({b, *names}, key=len, reverse=True)]
-        out = F.when(brand == b, F.regexp_replace(text, "(?i)" + "|".join(parts), " ")).otherwise(out)
-    return out
+    whole = lambda n: rf"(?<![A-Za-z0-9])\Q{n}\E(?![A-Za-z0-9])" if any(c.isascii() and c.isalnum() for c in n) else rf"\Q{n}\E"
+    return F.regexp_replace(text, brand_case(brand, {b: "(?i)" + "|".join(whole(n) for n in sorted({b, *names}, key=len, reverse=True)) for b, names in BRANDS.items()}), F.lit(" "))
 
 
 def _letters(text: Column) -> Column:
@@ -76,14 +87,12 @@ def canonical_name(name: Column, brand: Column) -> Column:
     s = strip_brand(unwrap_brackets(F.trim(F.coalesce(name, F.lit("")))), brand)
     s = _letters(replaced(s, (SEPARATOR, " "), (TITLE_PREFIX, " "), (NOISE, " "), (OPTIONAL, " "), (PROMO, " ")))
     s = replaced(s, (TAIL_PRICE_NOISE, ""), (r"[0-9]{1,3}$", ""), (TAIL_FILLER, ""), (r"^(.{3,})\1.?$", "$1"))
-    s = replaced(s, *SYNONYMS.items())
-    return F.when(s == "", UNKNOWN).otherwise(s)
+    return F.coalesce(F.nullif(replaced(s, *SYNONYMS.items()), F.lit("")), F.lit(UNKNOWN))
 
 
 def merge_key(name: Column) -> Column:
     """What spellings of one product share: letters and digits only, in lower case."""
-    s = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[^\w一-鿿]+", "")
-    return F.when(s == "", UNKNOWN).otherwise(s)
+    return F.coalesce(F.nullif(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[^\w一-鿿]+", ""), F.lit("")), F.lit(UNKNOWN))
 
 
 def is_condition(name: Column) -> Column:
@@ -98,20 +107,19 @@ def is_garbage(name: Column) -> Column:
 
 def is_junk(name: Column) -> Column:
     """No product's name: prices, promotions, fragments, a bare category."""
-    s = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", "")
-    digits, promo = F.regexp_count(s, F.lit("[0-9]")), F.length(s) - F.length(F.regexp_replace(s, "預購|加點數|點數|會員|特價|優惠|原價|售價|目前|元", ""))
-    return (
-        (s == "") | s.rlike(PRICE_LABEL) | s.isin(CATEGORIES) | s.isin(FRAGMENTS) | s.rlike("即時救援|即期救援|救援價") | is_condition(s) | s.rlike("^(?:今日|會員|搭配|友善|購入)(?:價|[0-9]+折|一)?$")
-        | s.rlike("^(?:[0-9]+|元|價格|售價|原價|會員|目前|特價|優惠|預購|加點數|點數|塊|套餐|打折|換|的話|任選)+$")
-        | ((digits >= 2) & (digits / F.greatest(F.length(s), F.lit(1)) >= 0.35) & s.rlike("塊|套餐|打折|點數|換")) | ((promo >= 2) & (promo / F.greatest(F.length(s), F.lit(1)) >= 0.5))
-    )
+
+    def junk(s):
+        size = F.greatest(F.length(s), F.lit(1))
+        digits, promo = F.regexp_count(s, F.lit("[0-9]")), F.length(s) - F.length(F.regexp_replace(s, "預購|加點數|點數|會員|特價|優惠|原價|售價|目前|元", ""))
+        whole = "即時救援|即期救援|救援價|^(?:今日|會員|搭配|友善|購入)(?:價|[0-9]+折|一)?$|^(?:[0-9]+|元|價格|售價|原價|會員|目前|特價|優惠|預購|加點數|點數|塊|套餐|打折|換|的話|任選)+$|" + PRICE_LABEL
+        return (s == "") | s.isin(CATEGORIES + FRAGMENTS) | s.rlike(whole) | is_condition(s) | ((digits >= 2) & (digits / size >= 0.35) & s.rlike("塊|套餐|打折|點數|換")) | ((promo >= 2) & (promo / size >= 0.5))
+
+    return let(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", ""), junk)
 
 
 def title_fallback(title: Column, brand: Column) -> Column:
     """The name that a post's title gives."""
-    plain = title_name(F.coalesce(title, F.lit("")))
-    found = cleaned(plain, brand)
-    return F.when((F.length(found) >= 2) & ~is_junk(found), found).otherwise(plain)
+    return let(title_name(F.coalesce(title, F.lit(""))), lambda plain: let(cleaned(plain, brand), lambda found: F.when((F.length(found) >= 2) & ~is_junk(found), found).otherwise(plain)))
 
 
 def words_in(text: Column, words: list[str]) -> Column:

@@ -43,7 +43,8 @@ def reports(posts: DataFrame, as_of, labels: DataFrame | None = None) -> DataFra
 
 def scored(posts: DataFrame, as_of) -> DataFrame:
     """Moments and scores of products, with eligible comments and distinct commenters; posts have a product_key."""
-    rows = comments(posts).withColumn("product", F.struct("brand", F.col("product_key").alias("name")))
+    # Written once: accounts, votes, shills and competitors all read the judged comments.
+    rows = S.pinned(comments(posts).withColumn("product", F.struct("brand", F.col("product_key").alias("name"))).drop("c"))
     active = rows.where("eligible")
     activity = active.select("user_id", "brand", "sentiment", F.col("at").alias("ts"), F.xxhash64("id", "idx").alias("event_id"), "text")
     trust = A.suspicion(activity).select("user_id", "credibility")
