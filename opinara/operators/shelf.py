@@ -61,3 +61,23 @@ def competitor_stats(mentions: DataFrame) -> DataFrame:
     brands = flat.groupBy("product").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "brand"))), lambda x: x["brand"]).alias("competitor_brands"))
     counts = mentions.groupBy("product").agg(F.count_if(F.size("brands") > 0).alias("mentions"), F.count_if("other_preferred").alias("other_preferred"), F.count_if("own_preferred").alias("own_preferred"))
     return counts.join(brands, "product", "left")
+
+
+def brand_summary(reports: DataFrame) -> DataFrame:
+    """Per brand: products, posts and comments of its reports, most products first."""
+    g = reports.groupBy("brand").agg(F.count("*").alias("n_products"), F.sum("n_posts").alias("n_posts"), F.sum("n_comments").alias("n_comments"))
+    return g.orderBy(F.col("n_products").desc(), F.col("n_posts").desc(), "brand")
+
+
+def resolve_category(products: DataFrame, labels: DataFrame, key: str, given: str, name: str, words: list[tuple[str, str, bool]], other: str) -> DataFrame:
+    """With ``category``: that of a label (key, category), else the one given, else the words' guess."""
+    known = labels.select(F.col("key").alias("_k"), F.col("category").alias("_label"))
+    rows = categorise(products, name, words, other).join(known, F.col(key) == F.col("_k"), "left")
+    return rows.withColumn("category", F.coalesce("_label", F.nullif(F.col(given), F.lit("")), "category")).drop("_k", "_label")
+
+
+def override_excerpts(products: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """Excerpts of an override file (key, excerpt) in place of others; they aren't provisional."""
+    new = overrides.select(F.col(key).alias("_k"), F.col("excerpt").alias("_e"))
+    out = products.join(new, F.col(key) == F.col("_k"), "left")
+    return out.withColumns({"excerpt": F.coalesce("_e", "excerpt"), "review_provisional": F.col("review_provisional") & F.col("_e").isNull()}).drop("_k", "_e")
