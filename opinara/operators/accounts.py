@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import text as TX
-from .similar import similar_pairs
+from .similar import similar_pairs, spread
+from .store import pinned
 
 
 def brand_stats(activity: DataFrame) -> DataFrame:
@@ -45,12 +46,13 @@ def template_ratio(activity: DataFrame, least: int = 3) -> DataFrame:
     """
     bare = TX.bare(F.coalesce("text", F.lit("")))
     texts = activity.select("user_id", bare.alias("t")).where(F.length("t") > 3).groupBy("user_id", "t").agg(F.count("*").alias("n"))
-    keyed = texts.withColumns({"id": F.struct("user_id", "t"), "s": TX.bigrams(F.col("t"))})
+    # Pairs of characters are made and written once; rows go by a digest, not by their text.
+    keyed = pinned(spread(texts, "user_id", "t").select("user_id", "n", F.xxhash64("user_id", "t").alias("id"), TX.bigrams(F.col("t")).alias("s")))
     pairs = similar_pairs(keyed, ["user_id"], "id", "s", C.TEMPLATE_SIMILARITY)
-    partner = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").distinct().withColumn("_hit", F.lit(True))
+    partner = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_hit", F.lit(True))
     flagged = F.when((F.col("n") > 1) | F.col("_hit"), F.col("n")).otherwise(0)
     total = F.sum("n")
-    return texts.join(partner, ["user_id", "t"], "left").groupBy("user_id").agg(F.when(total >= least, F.sum(flagged) / total).otherwise(0.0).alias("template_like"))
+    return keyed.join(partner, "id", "left").groupBy("user_id").agg(F.when(total >= least, F.sum(flagged) / total).otherwise(0.0).alias("template_like"))
 
 
 def round_exact(value, digits: int = 4):

@@ -7,11 +7,17 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Over all partitions of the session's setting, for work that is heavier than its rows' bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, threshold: float) -> DataFrame:
     """Pairs (a < b) of one block whose token sets have a Jaccard similarity of ``threshold`` at least.
 
     Each set is ordered by how rare its tokens are in the block; similar sets share one of their first
-    size - ceil(threshold * size) + 1 tokens, so only those are joined. Sizes must be within the threshold of each other.
+    size - ceil(threshold * size) + 1 tokens, so only those are joined. Sizes must be within the threshold of each other, and what is
+    left of both sets from the shared token on must be enough for the overlap that the threshold asks for.
     """
     rows = rows.where(F.size(tokens) > 0).select(*block, F.col(key).alias("_id"), F.col(tokens).alias("_set"))
     flat = rows.select(*block, "_id", F.explode("_set").alias("_t"))
@@ -19,16 +25,18 @@ def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, thre
     ordered = flat.join(rarity, [*block, "_t"]).groupBy(*block, "_id").agg(F.sort_array(F.collect_list(F.struct("_df", "_t"))).alias("_o"))
     n = F.size("_o")
     prefix = F.slice("_o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    heads = ordered.select(*block, "_id", n.alias("_n"), F.explode(prefix).alias("_p")).select(*block, "_id", "_n", F.col("_p._t").alias("_t"))
+    heads = ordered.select(*block, "_id", n.alias("_n"), F.posexplode(prefix).alias("_i", "_p")).select(*block, "_id", "_n", "_i", F.col("_p._t").alias("_t"))
     a, b = heads.alias("a"), heads.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*block, "_t")]
     close = (F.col("a._n") >= F.col("b._n") * threshold - 1e-9) & (F.col("b._n") >= F.col("a._n") * threshold - 1e-9)
-    pairs = a.join(b, [*same, F.col("a._id") < F.col("b._id"), close]).select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct()
-    left = rows.select(F.col("_id").alias("a"), F.col("_set").alias("_x"))
-    right = rows.select(F.col("_id").alias("b"), F.col("_set").alias("_y"))
+    left = F.least(F.col("a._n") - F.col("a._i"), F.col("b._n") - F.col("b._i"))
+    able = left * (1 + threshold) >= (F.col("a._n") + F.col("b._n")) * threshold - 1e-9
+    pairs = a.join(b, [*same, F.col("a._id") < F.col("b._id"), close, able]).select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct()
+    first = rows.select(F.col("_id").alias("a"), F.col("_set").alias("_x"))
+    second = rows.select(F.col("_id").alias("b"), F.col("_set").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
     likeness = both / (F.size("_x") + F.size("_y") - both)
-    return pairs.join(left, "a").join(right, "b").withColumn("similarity", likeness).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    return pairs.join(first, "a").join(second, "b").withColumn("similarity", likeness).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
 def flagged_ratio(rows: DataFrame, pairs: DataFrame, group: list[str], key: str, least: int = 3) -> DataFrame:

@@ -54,10 +54,10 @@ o AS (
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as comments of a user on a brand, with a sentiment from -1 to 1 and a text."""
     return table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("event_type").alias("brand"), "ts", F.concat(F.lit("order of "), "event_type", F.lit(" no. "), (F.col("event_id") % 37 * 1009).cast("string")).alias("text"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * F.col("value") / 500 - 1)).alias("sentiment")
+        "event_id", "user_id", F.col("event_type").alias("brand"), "ts", F.concat(F.lit("order of "), "event_type", F.lit(" no. "), (F.col("event_id") % 7 * 1009).cast("string")).alias("text"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * F.col("value") / 500 - 1)).alias("sentiment")
     )
 
 
 ACTIVITY_SQL = """
-e AS (SELECT event_id, user_id, event_type AS brand, ts, 'order of ' || event_type || ' no. ' || CAST(event_id % 37 * 1009 AS VARCHAR) AS text, greatest(-1.0, least(1.0, 2 * value / 500 - 1)) AS sentiment FROM events)
+e AS (SELECT event_id, user_id, event_type AS brand, ts, 'order of ' || event_type || ' no. ' || CAST(event_id % 7 * 1009 AS VARCHAR) AS text, greatest(-1.0, least(1.0, 2 * value / 500 - 1)) AS sentiment FROM events)
 """

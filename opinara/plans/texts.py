@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import similar as SM
+from ..operators.store import pinned
 from .catalogue import query
 from .standins import table
 
-# An account stands for the documents of a source, dealt in 40.
+# An account stands for a two hundredth of a source's documents.
 DUP_SQL = r"""
-WITH d AS (SELECT doc_id, source || '-' || doc_id % 40 AS user_id, regexp_replace(lower(text), '[\s\pP]', '', 'g') AS t FROM documents),
+WITH d AS (SELECT doc_id, source || '-' || doc_id % 200 AS user_id, regexp_replace(lower(text), '[\s\pP]', '', 'g') AS t FROM documents),
 f AS (SELECT user_id, t, min(doc_id) AS doc_id, count(*) AS n FROM d WHERE length(t) > 3 GROUP BY 1, 2),
 c AS (SELECT *, string_split(t, '') AS c FROM f),
 g AS (SELECT user_id, doc_id, n, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS s FROM c),
@@ -21,14 +22,14 @@ p AS (SELECT a.user_id, least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc
 
 
 def _accounts(spark, sf_dir):
-    user = F.concat_ws("-", "source", F.col("doc_id") % 40)
+    user = F.concat_ws("-", "source", F.col("doc_id") % 200)
     return table(spark, sf_dir, "documents").select("doc_id", user.alias("user_id"), F.lower("text").alias("text"))
 
 
 @query(DUP_SQL + "SELECT a, b, round(k / (m - k), 6) AS similarity FROM p WHERE k >= 0.8 * (m - k) - 1e-9")
 def template_pairs(spark, sf_dir):
     rows = _accounts(spark, sf_dir).withColumn("t", TX.bare(F.col("text"))).where(F.length("t") > 3)
-    folded = rows.groupBy("user_id", "t").agg(F.min("doc_id").alias("doc_id")).withColumn("s", TX.bigrams(F.col("t")))
+    folded = pinned(SM.spread(rows.groupBy("user_id", "t").agg(F.min("doc_id").alias("doc_id")), "user_id", "t").select("user_id", "doc_id", TX.bigrams(F.col("t")).alias("s")))
     return SM.similar_pairs(folded, ["user_id"], "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
