@@ -84,14 +84,14 @@ def label_file_faults(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 97 = 5 THEN '2.5' ELSE CAST(quality - 0.5 AS VARCHAR) END AS s, doc_id % 3 AS m FROM labels),
+WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 199 = 5 THEN '2.5' ELSE CAST(quality - 0.5 AS VARCHAR) END AS s, doc_id % 3 AS m FROM labels),
 r AS (SELECT doc_id, s, CASE WHEN s = '' THEN 'skipped' WHEN s = '2.5' THEN 'rejected' ELSE 'accepted' END AS status FROM f), c AS (SELECT doc_id FROM labels WHERE doc_id % 4 = 0)
 SELECT r.doc_id, CASE WHEN status = 'accepted' AND doc_id % 4 > 0 THEN CAST(s AS DOUBLE) WHEN status = 'accepted' THEN CAST(s AS DOUBLE) ELSE 9.0 END AS score FROM r WHERE status = 'accepted' OR doc_id % 4 = 0
 """)
 def label_import(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     key = F.sha2(F.col("doc_id").cast("string"), 256)
-    score = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 97 == 5, "2.5").otherwise((F.col("quality") - 0.5).cast("string"))
+    score = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 199 == 5, "2.5").otherwise((F.col("quality") - 0.5).cast("string"))
     rows = labels.select("doc_id", key.alias("fingerprint"), score.alias("llm_score"), F.when(score == "", "").otherwise("正").alias("llm_label"), F.lit("是").alias("is_relevant"))
     cache = labels.where("doc_id % 4 = 0").select("doc_id", key.alias("fingerprint"), F.lit("9.0").alias("llm_score"))
     merged = IM.import_rows(IM.sentiment_rows(rows), cache, ["fingerprint"], replace=True).merged
