@@ -40,12 +40,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept_path(spark: SparkSession, name: str) -> str:
-    """A folder that later sessions meet again: beside the sessions' checkpoints where a shared folder is set, else this session's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}"
-
-
 def wanted_partitions(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
     """As many partitions as the session's setting, or more, so that one gets about ``each`` bytes at most."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))

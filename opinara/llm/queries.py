@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontam, embed_dedup, html_main, lang_id, lsh_forest, pieces, quality, suffix_dedup, token_counts, url_filters
-from .common import kept_path, table
+from .common import shared_path, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,8 +51,10 @@ def piece_model() -> str:
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The cache outlives the call: a later one encodes only texts that none before it had.
-    return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), piece_model(), kept_path(spark, "token-counts"))
+    # A cache of this call's own, met twice: the first pass encodes every distinct text, the second finds them all stored.
+    docs, cache = table(spark, sf_dir, "documents"), shared_path(spark, "token-counts")
+    token_counts.count_tokens(spark, docs, piece_model(), cache)
+    return token_counts.count_tokens(spark, docs, piece_model(), cache)
 
 
 @query

@@ -90,11 +90,14 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model: str, cache: str |
     missing = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
     if cache and _exists(spark, cache):
         missing = missing.join(stored().select("digest"), "digest", "left_anti")
+    missing = checkpoint(missing)
+    full = bool(cache) and missing.isEmpty()  # then no text has to move
     m = missing.withColumnRenamed("digest", "_digest").hint("shuffle_hash")
     texts = rows.join(m, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("rep"))).select("digest", "content")
     encoded = texts.mapInArrow(_encode(model), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     if cache:
-        encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
+        if not full or not _exists(spark, cache):
+            encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
         encoded = stored().join(keyed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # Read back from storage, counts have no aggregate in front of the join, so that it can split the rows of a frequent text.
     return keyed.join(checkpoint(encoded), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
