@@ -92,7 +92,18 @@ golden(
     lambda t: [CL.clean_author(t), CL.title_name(t), CL.strip_links(t), CL.representative_comment(t, F.lit("全家")), CL.unwrap_brackets(t)],
 )
 golden("parentheses", {"text": S}, {"matched": S}, [("a(b)c", "a(b)c"), ("a(b", "ab"), ("a)b(c)", "ab(c)"), ("((x)", "(x)"), ("", ""), (None, None)], lambda t: [CL.matched_parentheses(t)])
-golden("sentence_split", {"text": S}, {"sentences": S}, [("味道很香。口感偏脆！https", "味道很香。|口感偏脆！|https"), ("第一行\n看 https://a.b\n第二行", "第一行|第二行"), ("好吃\n--\n簽名", "好吃"), ("", ""), (None, "")], lambda t: [F.array_join(SN.sentences(t), "|")])
+golden(
+    "sentence_split", {"text": S}, {"sentences": S},
+    [("味道很香。口感偏脆！https", "味道很香。|口感偏脆!|https"), ("第一行\n看 https://a.b\n第二行", "第一行|第二行"), ("好吃\n--\n簽名", "好吃"), ("", ""), (None, ""), ("麵包本體吃起來也軟\n帶點彈牙", "麵包本體吃起來也軟帶點彈牙"), ("【心得】：很香\n※ 發信站\n後面", "很香"), ("甜(?)的，\n我覺得不錯", "甜的,。|我覺得不錯"),
+     ("之前吃過一款桃我開心塔是\n\n半顆杏桃搭配硬塔皮，這款\n\n則是杏桃片搭配奶霜蛋糕，\n\n切片後罐頭水蜜桃感降低，\n\n加上柔軟奶霜蛋糕整體很順\n\n口，有點像在吃迷你生日蛋\n\n糕的感覺(?)\n\n--", "之前吃過一款桃我開心塔是半顆杏桃搭配硬塔皮,這款則是杏桃片搭配奶霜蛋糕,切片後罐頭水蜜桃感降低,加上柔軟奶霜蛋糕整體很順口|有點像在吃迷你生日蛋糕的感覺"),
+     ("（但補充一下因為還沒烤過之前就吃光了，所以不知道烤過會如何）\n我覺得黑糖味道很濃郁而且不會太甜", "(但補充一下因為還沒烤過之前就吃光了,所以不知道烤過會如何)|我覺得黑糖味道很濃郁而且不會太甜")],
+    lambda t: [F.array_join(SN.sentences(TX.nfkc(t)), "|")],
+)
+golden(
+    "sentence_aspects", {"text": S, "name": S}, {"told": S, "named": S, "other_form": B},
+    [("滿滿果乾切片軟歐", "滿滿果乾切片軟歐", "", "texture,ingredient", False), ("果乾的確也是滿滿", "滿滿果乾切片軟歐", "ingredient", "texture,ingredient", False), ("這不是一支鹹甜口味的雪糕", "白醋涼麵", "taste", "taste", True), ("奶香很明顯，甜度不高", "", "taste", "taste", False), ("CP 值高", "布丁", "value", "value", False), ("吃起來就是奶油餅乾", "這不是菠蘿麵包", "texture", "texture", True), ("", "", "", "", False)],
+    lambda t, n: [F.array_join(SN.aspects(SN.compact(t), SN.product_forms(n)), ","), F.array_join(SN.aspects(SN.compact(t)), ","), SN.of_other_form(SN.compact(t), SN.compact(n))],
+)
 golden(
     "normal_labels", {"raw": S}, {"sentiment": S, "flag": B, "favoured": S, "target": S},
     [("正向", "positive", None, None, "other"), (" NEG ", "negative", None, None, "other"), ("0", "neutral", False, None, "other"), ("是", None, True, None, "other"), ("本牌", None, None, "own", "own"), ("差不多", None, None, "tie", "other"), ("", None, None, "unknown", "none"), ("no", None, False, None, "other"), (None, None, None, "unknown", "none")],

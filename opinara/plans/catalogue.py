@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _part in ("scores", "accounts", "store", "labels", "texts", "shelf", "cases", "reports"):
+for _part in ("scores", "accounts", "store", "labels", "texts", "shelf", "cases", "reports", "told"):
     importlib.import_module(f"opinara.plans.{_part}")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import config as C
 from ..functions import attribution as AT, cleaners as CL, sentiment as SE, text as TX
 from ..functions import names as N
-from ..operators import accounts as A, identity as ID, opinions as O, publish as P, shelf as SH, store as S
+from ..operators import accounts as A, excerpts as X, identity as ID, opinions as O, publish as P, shelf as SH, store as S
 
 
 def comments(posts: DataFrame) -> DataFrame:
@@ -29,22 +29,34 @@ def products(posts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return rows.join(found, ["brand", "name"])
 
 
-def reports(posts: DataFrame, as_of, labels: DataFrame | None = None) -> DataFrame:
-    """Fair scores of products (brand and key), authors and commenters voting alike, with counts, the name most posts use, the latest price and date, and the posts' URLs."""
-    posts = S.pinned(products(posts, labels))
+def reports(posts: DataFrame, as_of, labels: DataFrame | None = None, excerpt_labels: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
+    """Fair scores of products (brand and key), authors and commenters voting alike, with counts, the name most posts use, the latest price and date, the posts' URLs, an excerpt and representative comments."""
     product = F.struct("brand", F.col("product_key").alias("name")).alias("product")
+    posts = S.pinned(products(posts, labels).withColumn("product", product))
+    rows = judged(posts)
     names = posts.groupBy(product, "name").agg(F.count("*").alias("n")).groupBy("product").agg(F.min_by("name", F.struct(-F.col("n"), -F.length("name"), F.col("name"))).alias("product_name"))
     priced = F.when(F.col("price").rlike("^[0-9]+$"), F.struct(F.coalesce("posted_at", F.lit("0001-01-01").cast("timestamp")), "id"))
     about = posts.groupBy(product).agg(
         F.count("*").alias("n_posts"), F.sum(F.size("comments")).alias("n_comments"), F.max("posted_at").alias("latest_post_date"), F.max_by("price", priced).try_cast("int").alias("price"), F.array_sort(F.collect_set("url")).alias("post_urls")
     )
-    return scored(posts, as_of).join(about, "product", "right").join(names, "product")
+    return scored(posts, rows, as_of).join(about, "product", "right").join(names, "product").join(told(posts, rows, excerpt_labels, picks), "product")
 
 
-def scored(posts: DataFrame, as_of) -> DataFrame:
-    """Moments and scores of products, with eligible comments and distinct commenters; posts have a product_key."""
-    # Written once: accounts, votes, shills and competitors all read the judged comments.
-    rows = S.pinned(comments(posts).withColumn("product", F.struct("brand", F.col("product_key").alias("name"))).drop("c"))
+def judged(posts: DataFrame) -> DataFrame:
+    """Comments of products. Written once: accounts, votes, shills, competitors and representatives all read them."""
+    return S.pinned(comments(posts).withColumn("product", F.struct("brand", F.col("product_key").alias("name"))).drop("c"))
+
+
+def told(posts: DataFrame, rows: DataFrame, labels: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
+    """product, review_excerpt, rep_positive, rep_negative, review_provisional: whether rules stood in for labels in any of them."""
+    found = S.pinned(X.candidates(posts))
+    said = rows.select("product", "brand", "id", "idx", "text", F.col("said.include").alias("include"), "sentiment")
+    out = X.representatives(said, found, X.excerpts(posts, labels, found), picks)
+    return out.withColumn("review_provisional", F.col("review_provisional") | F.col("rep_provisional")).drop("rep_provisional")
+
+
+def scored(posts: DataFrame, rows: DataFrame, as_of) -> DataFrame:
+    """Moments and scores of products, with eligible comments and distinct commenters, from posts and judged comments."""
     active = rows.where("eligible")
     activity = active.select("user_id", "brand", "sentiment", F.col("at").alias("ts"), F.xxhash64("id", "idx").alias("event_id"), "text")
     trust = A.suspicion(activity).select("user_id", "credibility")

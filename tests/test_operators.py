@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.functions import attribution as AT, sentences as SN, sentiment as SE, text as TX
-from opinara.operators import accounts as A, identity as ID, labels as L, opinions as O, publish as P, shelf as SH, store as S
+from opinara.functions import attribution as AT, sentiment as SE, text as TX
+from opinara.operators import accounts as A, excerpts as X, fingerprints as FP, identity as ID, labels as L, opinions as O, publish as P, shelf as SH, store as S
 from opinara.plans import pipeline
 from opinara.sources import posts as SP
 from opinara.streaming import ingest
@@ -124,13 +124,51 @@ def test_shelf_order(spark):
     assert recent == hot == ["b", "c", "a"]
 
 
+PRODUCT = "product struct<brand:string,name:string>"
+
+
 def test_excerpts(spark):
-    review = "味道很香，甜度剛好。\nhttps://x.y/z\n口感偏脆！我覺得會回購。味道很香，甜度剛好。份量有點少？\n--\n簽名檔"
-    rows = spark.createDataFrame([("p", 1, review), ("q", 1, None)], "product string, o int, text string")
-    found = SN.candidates(rows, "product", "text", "o")
-    assert [r["sentence"] for r in found.orderBy("n").collect()] == ["味道很香，甜度剛好。", "口感偏脆！", "我覺得會回購。", "份量有點少？"]
-    got = SN.excerpts(found, "product").collect()
-    assert len(got) == 1 and got[0]["n_sentences"] == 3
+    rows = [("p", "a", "茶味濃而且不會太甜。\n口感滑順，喝起來很清爽。", 1), ("q", "b", "奶油很輕盈。", 1), ("q", "c", "蛋糕偏甜。", 2), ("r", "d", None, 1)]
+    posts = spark.createDataFrame([({"brand": "b", "name": p}, i, "b", "", t, f"2026-06-0{d}", None, []) for p, i, t, d in rows], PRODUCT + ", id string, brand string, product_name string, review_text string, posted_at string, author_score double, sibling_products array<string>").withColumn("posted_at", F.col("posted_at").cast("timestamp"))
+    found = X.pinned(X.candidates(posts))
+    short = {r["product"]["name"]: r["excerpt"] for r in X.rule_excerpts(found, length=18).collect()}
+    assert 0 < len(short["p"]) <= 18 and short["p"].endswith("。") and "r" not in short
+    pools = X.body_pools(posts, found)
+    key = FP.excerpt_key_v2(F.col("id"), F.col("product_name"), F.col("review_text"), F.col("brand"), F.array_join("sibling_products", " | "), F.col("pool"))
+    labels = pools.select("id", key.alias("fingerprint"), F.array(F.lit(0)).alias("source_indices"), F.when(F.col("id") == "b", "奶油輕盈").otherwise("蛋糕太甜了").alias("rewrite"))
+    take = lambda given, **kw: {r["product"]["name"]: (r["review_excerpt"], r["review_provisional"]) for r in X.excerpts(posts, given, found, **kw).collect()}
+    whole = take(labels.where("id <> 'a'"))
+    assert whole["q"] == ("蛋糕太甜了；奶油輕盈", False) and whole["r"] == ("", True) and whole["p"][1]
+    assert take(labels.where("id <> 'a'"), length=6)["q"] == ("蛋糕太甜了", False)  # what doesn't fit ends the row
+    assert take(labels.where("id = 'b'"))["q"][1]  # one post lacks a label
+    assert take(labels.withColumn("source_indices", F.array(F.lit(9))))["q"][1]  # past the pool
+    assert take(labels.withColumn("rewrite", F.lit("")))["q"] == ("", False)  # nothing worth telling is a label too
+    comments = spark.createDataFrame([], PRODUCT + ", brand string, id string, idx int, text string, include boolean, sentiment double")
+    picks = spark.createDataFrame([({"brand": "b", "name": "q"}, ["好", "蛋糕太甜了"], [], [], ["奶油少", "好"])], PRODUCT + ", positive array<string>, negative array<string>, positive_body array<string>, negative_body array<string>")
+    got = {r["product"]["name"]: r for r in X.representatives(comments, found, X.excerpts(posts, labels, found), picks).collect()}
+    assert (got["q"]["rep_positive"], got["q"]["rep_negative"], got["q"]["rep_provisional"]) == (["好"], ["奶油少"], False)
+    assert got["r"]["rep_positive"] == [] and got["r"]["rep_provisional"]
+    assert X.excerpts(posts.limit(0)).count() == 0
+
+
+def test_burst_alerts_equal_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    # One hot account, one that is at its edges: three events in exactly 24 hours, and three in a second more.
+    events = [("hot", "b", int(rng.random() * 20 * 86400)) for _ in range(300)] + [(f"u{rng.randrange(4)}", "b", int(rng.random() * 9 * 86400)) for _ in range(40)]
+    events += [("edge", "b", 3600), ("edge", "b", 4000), ("edge", "b", 3600 + 86400), ("past", "b", 3600), ("past", "b", 4000), ("past", "b", 3601 + 86400)]
+    rows = [(u, b, i, 1_750_000_000 + t) for i, (u, b, t) in enumerate(events)]
+    frame = lambda part: spark.createDataFrame(part, "user_id string, brand string, event_id long, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    rng.shuffle(rows)
+    for k in range(3):
+        frame(rows[k::3]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ingest.burst_alerts(stream, late="30 days").writeStream.outputMode("append").format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    told = [r["event"] for r in spark.table("told").collect()]
+    expected = {str(r["event_id"]) for r in A.burst_flags(frame(rows)).where("burst").collect()}
+    assert len(told) == len(set(told)) and set(told) == expected and 0 < len(expected) < len(rows)
 
 
 POST = {"id": "1", "title": "全家布丁", "brand": "其他", "product_name": "布丁", "author": "me", "author_score": 80.0, "review_text": "x", "posted_at": "2025-01-01T00:00:00Z", "comments": [{"tag": "推", "user": "u", "text": "好吃"}, {"tag": "推", "user": "me", "text": "自推"}, {"tag": "噓", "user": "v", "text": "小7比較好吃"}]}
@@ -145,6 +183,7 @@ def test_store_and_reports(spark, tmp_path):
     assert [(r["id"], r["title"], r["brand"]) for r in posts.collect()] == [("1", "全家布丁", "全家")]
     got = pipeline.query(posts, dt.datetime(2025, 1, 1)).collect()
     assert len(got) == 1 and got[0]["n_votes"] == 2 and got[0]["product"]["name"] == "布丁"
+    assert (got[0]["review_excerpt"], got[0]["rep_positive"], got[0]["rep_negative"], got[0]["review_provisional"]) == ("x。", ["好吃", "自推"], [], True)
     SP.save_new_posts(spark, posts.unionByName(posts.withColumn("id", F.lit("2"))), str(store))
     assert SP.read_posts(spark, str(store)).count() == 2
     assert SP.bad_lines(spark, str(store)).count() == 0
@@ -166,11 +205,11 @@ def test_streams(spark, tmp_path):
     rows = [(str(i % 3), dt.datetime(2025, 1, 1, i), "u", "b") for i in range(6)]
     spark.createDataFrame(rows, "id string, posted_at timestamp, user_id string, brand string").coalesce(1).write.parquet(str(source))
     stream = spark.readStream.schema("id string, posted_at timestamp, user_id string, brand string").parquet(str(source))
-    for name, frame, mode in (("once", ingest.new_once(stream), "append"), ("bursts", ingest.burst_alerts(stream, "posted_at"), "update")):
+    for name, frame, mode in (("once", ingest.new_once(stream), "append"), ("bursts", ingest.burst_alerts(stream, "posted_at", "id"), "append")):
         q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
-    assert spark.table("once").count() == 3 and spark.table("bursts").agg(F.max("n")).first()[0] == 6
+    assert spark.table("once").count() == 3 and spark.table("bursts").count() == 6
     held = {}
     run = ingest.upsert_batches(lambda: spark.createDataFrame([("1", 1), ("9", 1)], "id string, v int"), lambda df, n: held.update({n: sorted(map(tuple, df.collect()))}), "id", "v")
     run(spark.createDataFrame([("1", 5), ("1", 7), ("2", 2)], "id string, v int"), 0)
