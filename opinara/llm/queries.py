@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embed_dedup, html_main, lang_id, lsh_forest, pieces, quality, suffix_dedup, token_counts, url_filters
+from . import align, decontam, embed_dedup, html_main, lang_id, lsh_forest, pieces, quality, suffix_dedup, token_counts, url_filters
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -101,3 +101,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model())
