@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, decontam, embed_dedup, html_main, lang_id, lsh_forest, negatives, pieces, quality, suffix_dedup, token_counts, url_filters
+from . import align, decontam, embed_dedup, html_main, lang_id, licenses, lsh_forest, negatives, pieces, quality, suffix_dedup, token_counts, url_filters
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -132,3 +132,41 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_scor
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id)
 QUALIFY row_number() OVER w <= 5
 """
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def _license_sql() -> str:
+    """Every block of every text against every template, and every word as the start of each phrase."""
+    known = licenses.templates_table(licenses.TEMPLATES, licenses.THRESHOLD)
+    templates = ", ".join(f"('{t['label']}', {t['width']}, {t['need']}, {_list(t['words'])})" for t in known)
+    at = [f"list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split(), 1))})" for p, _ in licenses.PHRASES]
+    named = ", ".join(f"CASE WHEN len(p[{k}]) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES, 1))
+    return f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), t(label, width, need, own) AS (VALUES {templates}), b AS (
+  SELECT r, width, unnest(range(0, greatest(0, len(w) - width - 1) + 1, width)) AS s, w FROM d, (SELECT DISTINCT width FROM t)
+), m AS (
+  SELECT r, label, len(list_filter(own, lambda x: list_contains(w[s + 1 : s + 2 * b.width], x))) AS n, need, len(own) AS size FROM b JOIN t ON b.width = t.width
+), f AS (
+  SELECT r, list(DISTINCT label) AS names, max(n / size) AS share FROM m WHERE n >= need GROUP BY r
+), p AS (
+  SELECT r, doc_id, len(w) AS n_words, [{', '.join(at)}] AS p FROM d
+), q AS (
+  SELECT *, flatten(p) AS places, list_sort(list_filter(list_distinct([{named}]), lambda x: x IS NOT NULL)) AS base FROM p
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(base, ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(names, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM q LEFT JOIN f USING (r)
+"""
+
+
+ORACLES["op11_license_scan"] = _license_sql()
