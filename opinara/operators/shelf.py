@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -41,20 +39,6 @@ def heat(volume: Column, age: Column, half_life: float = 24.0) -> Column:
     return decay(age, half_life) * F.log1p(volume)
 
 
-def categorise(rows: DataFrame, name: str, words: list[tuple[str, str, bool]], other: str) -> DataFrame:
-    """The category whose words fit a name best: strong words first, then longer, then more plain ones, then the category's place."""
-    order = {c: i for i, c in reversed(list(enumerate(dict.fromkeys(w[0] for w in words))))}
-    count = lambda hits: reduce(lambda a, b: a + b, [h.cast("int") for h in hits], F.lit(0))
-    longest = lambda ws: F.greatest(F.lit(0), F.lit(0), *[F.when(F.col(name).contains(w), len(w)).otherwise(0) for w in ws])
-    scored = []
-    for c, i in order.items():
-        strong, plain = [w for k, w, s in words if k == c and s], [w for k, w, s in words if k == c and not s]
-        any_hit = reduce(lambda a, b: a | b, [F.col(name).contains(w) for w in strong + plain])
-        rank = F.struct(count([F.col(name).contains(w) for w in strong]).alias("s"), longest(strong).alias("ls"), count([F.col(name).contains(w) for w in plain]).alias("w"), longest(plain).alias("lw"), F.lit(-i).alias("i"), F.lit(c).alias("category"))
-        scored.append(F.when(any_hit, rank))
-    return rows.withColumn("category", F.coalesce(F.array_max(F.array_compact(F.array(*scored)))["category"], F.lit(other)))
-
-
 def competitor_stats(mentions: DataFrame) -> DataFrame:
     """Per product: comments that name another brand, preferences either way, and the brands by how often they are named."""
     flat = mentions.select("product", F.explode("brands").alias("brand")).groupBy("product", "brand").agg(F.count("*").alias("n"))
@@ -69,13 +53,6 @@ def brand_summary(reports: DataFrame) -> DataFrame:
     return g.orderBy(F.col("n_products").desc(), F.col("n_posts").desc(), "brand")
 
 
-def resolve_category(products: DataFrame, labels: DataFrame, key: str, given: str, name: str, words: list[tuple[str, str, bool]], other: str) -> DataFrame:
-    """With ``category``: that of a label (key, category), else the one given, else the words' guess."""
-    known = labels.select(F.col("key").alias("_k"), F.col("category").alias("_label"))
-    rows = categorise(products, name, words, other).join(known, F.col(key) == F.col("_k"), "left")
-    return rows.withColumn("category", F.coalesce("_label", F.nullif(F.col(given), F.lit("")), "category")).drop("_k", "_label")
-
-
 def override_excerpts(products: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     """Excerpts of an override file (key, excerpt) in place of others; they aren't provisional."""
     new = overrides.select(F.col(key).alias("_k"), F.col("excerpt").alias("_e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accounts as A, publish as P
-from .catalogue import query
+from .registry import query
 from .standins import ACTIVITY_SQL, activity, table
 
 

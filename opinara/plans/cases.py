@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import attribution as AT, cleaners as CL, display as D, extract as E, labelling as LB, names as N, sentences as SN, sentiment as SE, text as TX
 from ..operators import fingerprints as FP, identity as ID
-from .catalogue import ORACLES, QUERIES
+from .registry import ORACLES, QUERIES
 from .standins import table
 
 KINDS = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}

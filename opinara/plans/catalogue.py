@@ -1,24 +1,12 @@
-"""The registered queries over the driver's tables, with their DuckDB counterparts."""
+"""All registered queries over the driver's tables, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
 import importlib
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the oracle's SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-for _part in ("scores", "accounts", "store", "labels", "texts", "shelf", "cases", "reports", "told"):
+for _part in ("scores", "accounts", "store", "labels", "texts", "shelf", "cases", "reports", "told", "categories"):
     importlib.import_module(f"opinara.plans.{_part}")

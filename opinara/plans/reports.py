@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as EV, identity as ID, importing as IM, publish as P, shelf as SH
 from . import cases
-from .catalogue import ORACLES, QUERIES, query
+from .registry import ORACLES, QUERIES, query
 from .scores import reports
 from .standins import OPINIONS_SQL, table
 
@@ -98,15 +98,6 @@ def label_import(spark, sf_dir):
     return merged.select("doc_id", F.col("llm_score").cast("double").alias("score"))
 
 
-@query("""
-SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'label ' || p_brand END, CASE WHEN p_size % 2 = 0 THEN 'given' END, CASE WHEN contains(p_name, 'bolt') THEN 'fastener' ELSE 'other' END) AS category FROM part
-""")
-def resolved_category(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 2 == 0, "given").alias("given"))
-    labels = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"), F.concat(F.lit("label "), "p_brand").alias("category"))
-    return SH.resolve_category(part, labels, "key", "given", "p_name", [("fastener", "bolt", True)], "other").select("p_partkey", "category")
-
-
 def split_posts(spark, sf_dir):
     """Posts, one per part, with the golden fields: a row per product."""
     found = F.element_at(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(b).alias("b")) for f, b, _ in cases.EXTRACTIONS]), (F.col("p_partkey") % len(cases.EXTRACTIONS) + 1).cast("int"))

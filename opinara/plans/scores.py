@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import config as C
 from ..operators import opinions as O, publish as P
-from .catalogue import query
+from .registry import query
 from .standins import OPINIONS_SQL, opinions, table
 
 

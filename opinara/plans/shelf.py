@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import publish as P, shelf as SH
-from .catalogue import query
+from .registry import query
 from .standins import table
 
 PRODUCTS_SQL = """

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import store as S
-from .catalogue import query
+from .registry import query
 from .standins import table
 
 NOW = dt.datetime(2024, 2, 1)

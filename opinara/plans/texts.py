@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import similar as SM
 from ..operators.store import pinned
-from .catalogue import query
+from .registry import query
 from .standins import table
 
 # An account stands for a two hundredth of a source's documents.
@@ -62,23 +62,6 @@ def representative_name(spark, sf_dir):
     return c.groupBy("brand").agg(F.min_by("name", best).alias("name"), F.max("n").alias("n"))
 
 
-CATEGORY_WORDS = [("fastener", "bolt", True), ("fastener", "ring", False), ("machine", "gear", True), ("machine", "gizmo", False), ("colour", "red", False), ("colour", "blue", False), ("size", "small", False)]
-
-
-@query("""
-WITH k(category, word, strong, i) AS (VALUES ('fastener', 'bolt', true, 0), ('fastener', 'ring', false, 0), ('machine', 'gear', true, 1), ('machine', 'gizmo', false, 1), ('colour', 'red', false, 2), ('colour', 'blue', false, 2), ('size', 'small', false, 3)),
-n AS (SELECT DISTINCT p_name FROM part),
-h AS (SELECT p_name, category, i, count(*) FILTER (strong) AS s, coalesce(max(length(word)) FILTER (strong), 0) AS ls, count(*) FILTER (NOT strong) AS w, coalesce(max(length(word)) FILTER (NOT strong), 0) AS lw FROM n JOIN k ON contains(p_name, word) GROUP BY 1, 2, 3),
-b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY s DESC, ls DESC, w DESC, lw DESC, i) = 1)
-SELECT p_partkey, coalesce(category, 'other') AS category FROM part LEFT JOIN b USING (p_name)
-""")
-def keyword_category(spark, sf_dir):
-    from ..operators.shelf import categorise
-
-    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return categorise(names, "p_name", CATEGORY_WORDS, "other").select("p_partkey", "category")
-
-
 @query("SELECT conv_id, turn, regexp_matches(text, 'que|the') AND NOT regexp_matches(text, 'ment|tion') AS flagged FROM conversations")
 def predicate_chain(spark, sf_dir):
     t = F.col("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import excerpts as X
-from .catalogue import ORACLES, QUERIES
+from .registry import ORACLES, QUERIES
 from .standins import table
 
 #: Name, posts (days after the first, text), excerpt.
