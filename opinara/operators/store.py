@@ -38,6 +38,32 @@ def refresh(stored: DataFrame, fetched: DataFrame, key: str, take: list[str], ke
     return out.withColumns(changed).select(*stored.columns, F.coalesce("_found", F.lit(False)).alias("refreshed"))
 
 
+def lacks_review(posts: DataFrame, on_board: Column) -> DataFrame:
+    """Posts worth fetching again for their review: none stored, no reply, on the board. ``on_board``: whether the URL may be fetched."""
+    title = F.lower(F.coalesce("title", F.lit("")))
+    blank = F.regexp_replace(F.coalesce("review_text", F.lit("")), r"(?U)\s+", "") == ""
+    return posts.where(blank & ~F.coalesce("is_reply", F.lit(False)) & ~title.startswith("re:") & F.coalesce(on_board, F.lit(False)))
+
+
+def attempts(candidates: DataFrame, order: str, limit: int | None) -> DataFrame:
+    """The first ``limit`` candidates, all if there is no limit: what a run may fetch."""
+    return candidates if limit is None else candidates.orderBy(order).limit(limit)
+
+
+def backfill(posts: DataFrame, tried: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:
+    """Posts with the review of a fetched page where theirs was tried for; and per post its ``outcome``.
+
+    ``tried``: keys that were attempted; ``fetched``: key, review_text and ``problem`` (null if the page could be read; a page that is no
+    product thread has a null review). Outcomes: not_tried, failed, non_product, no_review_text, updated. A failure keeps the row.
+    """
+    new = fetched.select(F.col(key), F.col("review_text").alias("_review"), F.col("problem").alias("_problem"), F.lit(True).alias("_there"))
+    out = posts.join(tried.select(key, F.lit(True).alias("_tried")), key, "left").join(new, key, "left")
+    empty = F.trim("_review") == ""
+    outcome = F.when(F.col("_tried").isNull(), "not_tried").when(F.col("_there").isNull() | F.col("_problem").isNotNull(), "failed").when(F.col("_review").isNull(), "non_product").when(empty, "no_review_text").otherwise("updated")
+    out = out.withColumn("outcome", outcome)
+    return out.withColumn("review_text", F.when(F.col("outcome") == "updated", F.col("_review")).otherwise(F.col("review_text"))).select(*posts.columns, "outcome")
+
+
 class TimeWindow:
     """Inclusive bounds, either open. ``recent_days`` beats start and end; a date as end means its last microsecond."""
 

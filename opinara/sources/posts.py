@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.attribution import OTHER, infer_brand
 from ..operators.store import append_new, latest, pinned
+from .snapshots import Snapshots
 
 POST_SCHEMA = """
 id string, source string, board string, url string, title string, brand string, product_name string, price string, author string, author_score double, review_text string,
@@ -53,14 +54,20 @@ def save_new_posts(spark: SparkSession, batch: DataFrame, path: str, order: str
     return new.count()
 
 
-def write_labels(rows: DataFrame, path: str, key: str) -> None:
-    """A label cache as CSV with a header, in the order of its keys."""
-    rows.orderBy(key).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_labels(rows: DataFrame, path: str, key: str) -> int:
+    """A new version of a label cache, as CSV with a header, in the order of its keys."""
+    return Snapshots(rows.sparkSession, path).write(rows.orderBy(key), "csv", header=True, escape='"')
+
+
+def label_files(spark: SparkSession, path: str) -> str:
+    """Where the label file is: that of the latest version of a cache, or the path itself."""
+    found = Snapshots(spark, path).manifest()
+    return f"{path.rstrip('/')}/data/{found['folder']}" if found else path
 
 
 def read_labels(spark: SparkSession, path: str, columns: list[str], exact: bool = False) -> DataFrame:
     """A label file: every column is needed (and with ``exact`` in this order and no other), a byte-order mark is taken off, later rows of a key come later in ``line``."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = spark.read.csv(label_files(spark, path), header=True, multiLine=True, escape='"')
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     if missing := [c for c in columns if c not in rows.columns]:
         raise ValueError(f"{path} lacks {missing}")
