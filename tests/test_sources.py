@@ -80,7 +80,7 @@ def test_label_files(spark, tmp_path):
     with pytest.raises(ValueError, match="lacks"):
         P.read_labels(spark, str(f), ["fingerprint", "model"])
     P.write_labels(rows.drop("line"), str(tmp_path / "out"), "fingerprint")
-    assert spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "out")).count() == 3
+    assert spark.read.option("header", True).option("multiLine", True).csv(P.label_files(spark, str(tmp_path / "out"))).count() == 3
 
 
 def test_whole_file_faults(spark):
