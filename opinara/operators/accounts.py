@@ -5,7 +5,7 @@ An activity frame has user_id, brand, sentiment (-1 to 1), ts event_id (a total
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import text as TX
@@ -39,20 +39,42 @@ def burst_flags(activity: DataFrame, keys: tuple[str, ...] = ("user_id", "brand"
     return rows.withColumn("burst", F.coalesce(near, F.lit(False))).drop("_at", "_start")
 
 
-def template_ratio(activity: DataFrame, least: int = 3) -> DataFrame:
-    """user_id, template_like: the share of an account's texts, of those with more than three characters, that equal another of its texts or nearly so.
+def alike_texts(activity: DataFrame, least: int = 3) -> DataFrame:
+    """user_id, text_id, n, flagged: an account's texts of more than three characters, each once with its number, and whether another equals it or nearly so.
 
-    Equal texts are folded first; 0 for accounts of fewer than ``least`` such texts.
+    Accounts of fewer than ``least`` such texts have none flagged. ``text_key`` gives a row's text_id.
     """
     bare = TX.bare(F.coalesce("text", F.lit("")))
     texts = activity.select("user_id", bare.alias("t")).where(F.length("t") > 3).groupBy("user_id", "t").agg(F.count("*").alias("n"))
     # Pairs of characters are made and written once; rows go by a digest, not by their text.
-    keyed = pinned(spread(texts, "user_id", "t").select("user_id", "n", F.xxhash64("user_id", "t").alias("id"), TX.bigrams(F.col("t")).alias("s")))
-    pairs = similar_pairs(keyed, ["user_id"], "id", "s", C.TEMPLATE_SIMILARITY)
-    partner = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_hit", F.lit(True))
-    flagged = F.when((F.col("n") > 1) | F.col("_hit"), F.col("n")).otherwise(0)
-    total = F.sum("n")
-    return keyed.join(partner, "id", "left").groupBy("user_id").agg(F.when(total >= least, F.sum(flagged) / total).otherwise(0.0).alias("template_like"))
+    keyed = pinned(spread(texts, "user_id", "t").select("user_id", "n", F.xxhash64("user_id", "t").alias("text_id"), TX.bigrams(F.col("t")).alias("s")))
+    enough = keyed.groupBy("user_id").agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds")).where(F.col("_total") >= least)
+    # Only accounts of two different texts or more have pairs to look for.
+    several = keyed.join(enough.where("_kinds > 1").select("user_id"), "user_id", "left_semi")
+    pairs = similar_pairs(several, ["user_id"], "text_id", "s", C.TEMPLATE_SIMILARITY)
+    partner = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct().withColumn("_hit", F.lit(True))
+    found = keyed.drop("s").join(enough.select("user_id", F.lit(True).alias("_enough")), "user_id", "left").join(partner, "text_id", "left")
+    flagged = F.coalesce(F.col("_enough") & ((F.col("n") > 1) | F.coalesce("_hit", F.lit(False))), F.lit(False))
+    return found.select("user_id", "text_id", "n", flagged.alias("flagged"), F.coalesce("_enough", F.lit(False)).alias("enough"))
+
+
+def text_key(user: Column, text: Column) -> Column:
+    return F.xxhash64(user, TX.bare(F.coalesce(text, F.lit(""))))
+
+
+def template_ratio(activity: DataFrame, least: int = 3) -> DataFrame:
+    """user_id, template_like: the share of an account's texts, of those with more than three characters, that equal another of its texts or nearly so.
+
+    Equal texts are folded first; 0 for accounts of fewer than ``least`` such texts.
+    """
+    return alike_texts(activity, least).groupBy("user_id").agg((F.sum(F.when(F.col("flagged"), F.col("n")).otherwise(0)) / F.sum("n")).alias("template_like"))
+
+
+def template_flags(activity: DataFrame, least: int = 3) -> DataFrame:
+    """The rows with ``template``: whether another of the account's texts equals theirs or nearly so."""
+    found = alike_texts(activity, least).where("flagged").select(F.col("text_id").alias("_t"), F.lit(True).alias("_hit"))
+    rows = activity.withColumn("_key", F.when(F.length(TX.bare(F.coalesce("text", F.lit("")))) > 3, text_key(F.col("user_id"), F.col("text"))))
+    return rows.join(found, F.col("_key") == F.col("_t"), "left").withColumn("template", F.coalesce("_hit", F.lit(False))).drop("_key", "_t", "_hit")
 
 
 def round_exact(value, digits: int = 4):

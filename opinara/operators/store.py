@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -103,14 +104,24 @@ def age_label(days: Column) -> Column:
     return F.when(days.isNull(), "unknown").when(days <= 0, "today").when(days == 1, "yesterday").when(days < 7, F.concat(days.cast("string"), F.lit(" days ago"))).when(days < 30, F.concat((F.floor(days / 7)).cast("string"), F.lit(" weeks ago"))).otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit(" months ago")))
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Materialised in the session's checkpoint folder, so that what is read twice is the same; a temporary folder only on a local master."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one is set only on a local master."""
     if spark.sparkContext.getCheckpointDir() is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="opinara-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Materialised in the session's checkpoint folder, so that what is read twice is the same."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -101,3 +101,51 @@ def run_merge(spark, sf_dir):
 @query("SELECT c_custkey, substr(sha256('salt:' || c_custkey), 1, 12) AS user_hash FROM customer")
 def hashed_accounts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", P.user_hash(F.col("c_custkey"), "salt").alias("user_hash"))
+
+
+DRILL_SQL = SUSPICION_SQL + """
+, top AS (SELECT user_id, suspicion, CAST(row_number() OVER (ORDER BY suspicion DESC, total DESC, user_id) AS INTEGER) AS rank FROM g QUALIFY row_number() OVER (ORDER BY suspicion DESC, total DESC, user_id) <= 30),
+flagged AS (SELECT DISTINCT tt.user_id, tt.t FROM tt JOIN (SELECT user_id, sum(n) AS eligible FROM tt WHERE length(t) > 3 GROUP BY 1) q ON tt.user_id = q.user_id AND eligible >= 3 LEFT JOIN tp ON tp.user_id = tt.user_id AND tp.t = tt.t WHERE length(tt.t) > 3 AND (n > 1 OR tp.t IS NOT NULL)),
+marked AS (SELECT top.rank, b.*, f.t IS NOT NULL AS template FROM b JOIN top USING (user_id) LEFT JOIN flagged f ON f.user_id = b.user_id AND f.t = regexp_replace(b.text, '[\\s\\pP]', '', 'g'))
+"""
+
+
+def _drilled(spark, sf_dir):
+    """The 30 most suspicious accounts and their stored comments."""
+    from ..operators import drilldown as DR
+    from ..operators.store import shared_folder
+
+    rows, path = activity(spark, sf_dir), shared_folder(spark, "activity")
+    DR.store_activity(rows, path)
+    listed = DR.suspects(rows)
+    return listed, DR.stored_comments(spark, path, listed)
+
+
+@query(DRILL_SQL + "SELECT rank, user_id, event_id, brand, ts, template, burst FROM marked")
+def account_drilldown(spark, sf_dir):
+    from ..operators import drilldown as DR
+
+    return DR.marked_comments(_drilled(spark, sf_dir)[1]).select("rank", "user_id", "event_id", "brand", "ts", "template", "burst")
+
+
+@query(DRILL_SQL + """
+, s2 AS (SELECT user_id, brand, count(*) AS n, avg(sentiment) AS mean FROM e GROUP BY 1, 2),
+lean AS (SELECT user_id, brand FROM (SELECT user_id, brand, avg(sentiment) AS mean, min((ts, event_id)) AS first FROM e GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY mean DESC, first) = 1),
+head AS (SELECT rank, user_id, 0 AS part, unnest([0, 1, 2]) AS pos, unnest(['帳號可疑明細: ' || user_id, '總留言數: ' || g.total || '; 信度: ' || printf('%.2f', round(greatest(0.1, 1 - g.suspicion), 4)) || '; 可疑分: ' || printf('%.2f', g.suspicion) || '; 傾向品牌: ' || lean.brand, '品牌互動']) AS text
+  FROM top JOIN g USING (user_id) JOIN lean USING (user_id)),
+brands AS (SELECT rank, user_id, 1 AS part, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, brand) AS pos, '- ' || brand || ': 留言數=' || n || ', 平均情感=' || printf('%.2f', round(mean, 4)) AS text FROM s2 JOIN top USING (user_id)),
+features AS (SELECT rank, user_id, 2 AS part, unnest(range(CASE WHEN total >= 5 THEN 6 ELSE 2 END)) AS pos, unnest(CASE WHEN total >= 5 THEN ['特徵明細', '- one_sided: ' || printf('%.2f', one_sided) || ' (偏向單一品牌正面、競品負面的程度)', '- single_brand: ' || printf('%.2f', single_brand) || ' (留言集中在單一品牌的程度)',
+  '- extreme: ' || printf('%.2f', extreme) || ' (極端情感留言比例)', '- template_like: ' || printf('%.2f', template_like) || ' (完全重複或近似樣板留言比例)', '- burst: ' || printf('%.2f', burst) || ' (同品牌短時間爆發留言比例)'] ELSE ['特徵明細', '- 未達活動量門檻，未計算特徵'] END) AS text FROM top JOIN g USING (user_id)),
+shown AS (SELECT rank, user_id, 3 AS part, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, '- [' || brand || '] ' || strftime(ts, '%Y-%m-%d %H:%M') || ' ' || text AS text FROM marked WHERE template
+  UNION ALL SELECT rank, user_id, 4, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), '- [' || brand || '] ' || strftime(ts, '%Y-%m-%d %H:%M') || ' ' || text FROM marked WHERE burst),
+titles AS (SELECT rank, user_id, unnest([3, 4]) AS part, 0 AS pos, unnest(['template_like 標記留言', 'burst 標記留言']) AS text FROM top),
+nothing AS (SELECT rank, user_id, part, 1 AS pos, '- 無' AS text FROM titles t WHERE NOT EXISTS (SELECT 1 FROM shown WHERE shown.user_id = t.user_id AND shown.part = t.part)),
+lines AS (SELECT * FROM head UNION ALL SELECT * FROM brands UNION ALL SELECT * FROM features UNION ALL SELECT * FROM titles UNION ALL SELECT * FROM nothing UNION ALL SELECT * FROM shown WHERE pos <= 10)
+SELECT rank, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY part, pos) AS INTEGER) AS line, text FROM lines
+""")
+def account_details(spark, sf_dir):
+    from ..operators import drilldown as DR
+
+    listed, comments = _drilled(spark, sf_dir)
+    marked = DR.marked_comments(comments)
+    return DR.detail_lines(listed, marked, marked)
