@@ -102,10 +102,13 @@ def suspicion(activity: DataFrame) -> DataFrame:
     return out.withColumn("suspicion", round_exact(score)).withColumn("credibility", F.round(F.greatest(F.lit(C.WEIGHT_FLOOR), 1 - F.col("suspicion")), 4))
 
 
-def merge_runs(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], who: str, tag: str, text: str) -> DataFrame:
-    """Consecutive rows of one speaker become one: texts joined, the first tag that is no arrow, the first row's place."""
+def merge_runs(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], who: str, tag: str, text: str, at: str | None = None, pause_hours: float | None = None) -> DataFrame:
+    """Consecutive rows of one speaker become one: texts joined, the first tag that is no arrow, the first row's place. A pause in ``at`` longer than ``pause_hours`` parts a run, too."""
     w = Window.partitionBy(*keys).orderBy(*order)
     new = F.coalesce((F.lag(who).over(w) != F.col(who)).cast("int"), F.lit(1))
+    if pause_hours is not None:
+        micros = F.unix_micros(F.to_timestamp_ltz(at))
+        new = F.when(micros - F.lag(micros).over(w) > int(pause_hours * 3_600_000_000), 1).otherwise(new)
     rows = rows.withColumn("_run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.struct(*order)
     return rows.groupBy(*keys, "_run", who).agg(
