@@ -35,8 +35,18 @@ def read_posts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
         raise ValueError("; ".join(f"{r['file']}: {'cut off' if r['cut_off'] else 'bad'} line {r['value'][:80]!r}" for r in bad))
     parsed = F.from_json("value", POST_SCHEMA, {"mode": "PERMISSIVE"})
     rows = _lines(spark, path).select("file", "block", "line", parsed.alias("p")).where("p.id is not null").select("p.*", F.struct("file", "block", "line").alias("_at"))
+    return _told_anew(latest(rows, "id", "_at").drop("_at"))
+
+
+def _told_anew(posts: DataFrame) -> DataFrame:
     told = infer_brand(F.concat_ws(" ", "title", "product_name"), F.coalesce("review_text", F.lit("")))
-    return latest(rows, "id", "_at").drop("_at").withColumn("brand", F.when(told == OTHER, F.col("brand")).otherwise(told))
+    return posts.withColumn("brand", F.when(told == OTHER, F.col("brand")).otherwise(told))
+
+
+def last_stored(rows: DataFrame) -> DataFrame:
+    """Of numbered lines (file, line, p) the last of each post, with its brand told anew from title and text."""
+    rows = rows.where("p.id is not null").select("p.*", F.struct("file", "line").alias("_at"))
+    return _told_anew(latest(rows, "id", "_at").drop("_at"))
 
 
 def save_new_posts(spark: SparkSession, batch: DataFrame, path: str, order: str = "posted_at") -> int:
