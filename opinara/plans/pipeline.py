@@ -7,18 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from .. import config as C
 from ..functions import attribution as AT, cleaners as CL, sentiment as SE, text as TX
 from ..functions import names as N
-from ..operators import accounts as A, excerpts as X, identity as ID, opinions as O, publish as P, shelf as SH, store as S
+from ..operators import accounts as A, categories as CA, excerpts as X, fingerprints as FP, identity as ID, layers as LY, opinions as O, publish as P, shelf as SH, store as S
 
 
-def comments(posts: DataFrame) -> DataFrame:
-    """A row per comment with its sentiment, eligibility and whom it speaks of."""
-    rows = posts.select("id", "brand", "product_key", "author", F.col("posted_at").alias("post_at"), F.posexplode("comments").alias("idx", "c"))
+def comments(posts: DataFrame, layers: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A row per comment with its sentiment, eligibility and whom it speaks of.
+
+    ``layers``: labels by backend (see ``operators.layers``); a label stands before a stored sentiment and the rules, one that says irrelevant leaves none.
+    """
+    own = [c for c in ("url", "title", "source_product_name", "product_name") if c in posts.columns]
+    rows = posts.select("id", "brand", "product_key", "author", *own, F.col("posted_at").alias("post_at"), F.posexplode("comments").alias("idx", "c"))
     text = TX.nfkc(F.coalesce("c.text", F.lit("")))
     rows = rows.withColumns({"text": text, "user_id": F.col("c.user"), "at": F.coalesce("c.posted_at", "post_at")})
-    rows = rows.withColumn("s", F.coalesce("c.sentiment", SE.comment_score(F.coalesce("c.tag", F.lit("")), F.col("text"))))
-    rows = rows.withColumn("said", AT.attribution(F.col("brand"), F.col("text"), F.col("s"), F.coalesce("c.backend", F.lit("lexicon"))))
+    if layers:
+        column = lambda c: TX.nfkc(F.coalesce(F.col(c), F.lit(""))) if c in own else F.lit("")
+        source = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("id")) if "url" in own else F.col("id")
+        product = F.coalesce(F.nullif(column("source_product_name"), F.lit("")), column("product_name"))
+        rows = LY.resolve(rows, ["id", "product_key", "idx"], LY.comment_keys(source, F.col("brand"), product, column("title"), F.coalesce("c.tag", F.lit("")), F.col("text")), layers)
+        label = F.col("label")
+    else:
+        label = F.lit(None).cast("struct<score:double,relevant:boolean,backend:string>")
+    rule = F.coalesce("c.sentiment", SE.comment_score(F.coalesce("c.tag", F.lit("")), F.col("text")))
+    rows = rows.withColumn("s", F.when(label.isNotNull(), F.when(label["relevant"], F.round(label["score"], 4))).otherwise(rule))
+    rows = rows.withColumn("backend", F.coalesce(label["backend"], "c.backend", F.lit("lexicon"))).drop("label", *own)
+    rows = rows.withColumn("said", AT.attribution(F.col("brand"), F.col("text"), F.col("s"), F.col("backend")))
     good = F.coalesce(F.col("user_id") != "", F.lit(False)) & ~F.col("user_id").eqNullSafe(F.col("author")) & ~TX.off_topic(F.col("text")) & ~TX.echo(F.col("text")) & F.col("said.include")
-    return rows.withColumns({"eligible": good & F.col("said.sentiment").isNotNull(), "sentiment": F.col("said.sentiment")})
+    return rows.withColumns({"eligible": good & F.col("s").isNotNull() & F.col("said.sentiment").isNotNull(), "sentiment": F.col("said.sentiment")})
 
 
 def products(posts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -29,22 +43,42 @@ def products(posts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return rows.join(found, ["brand", "name"])
 
 
-def reports(posts: DataFrame, as_of, labels: DataFrame | None = None, excerpt_labels: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
-    """Fair scores of products (brand and key), authors and commenters voting alike, with counts, the name most posts use, the latest price and date, the posts' URLs, an excerpt and representative comments."""
+def reports(posts: DataFrame, as_of, labels: DataFrame | None = None, excerpt_labels: DataFrame | None = None, picks: DataFrame | None = None, sentiments: dict[str, DataFrame] | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """Fair scores of products (brand and key), authors and commenters voting alike, with counts, the name most posts use, the category, the latest price and date, the posts' URLs, an excerpt and representative comments.
+
+    Label layers: ``labels`` of product names, ``sentiments`` of comments by backend, ``categories`` (key, category), ``excerpt_labels``, ``picks``.
+    """
     product = F.struct("brand", F.col("product_key").alias("name")).alias("product")
     posts = S.pinned(products(posts, labels).withColumn("product", product))
-    rows = judged(posts)
+    rows = judged(posts, sentiments)
     names = posts.groupBy(product, "name").agg(F.count("*").alias("n")).groupBy("product").agg(F.min_by("name", F.struct(-F.col("n"), -F.length("name"), F.col("name"))).alias("product_name"))
     priced = F.when(F.col("price").rlike("^[0-9]+$"), F.struct(F.coalesce("posted_at", F.lit("0001-01-01").cast("timestamp")), "id"))
     about = posts.groupBy(product).agg(
         F.count("*").alias("n_posts"), F.sum(F.size("comments")).alias("n_comments"), F.max("posted_at").alias("latest_post_date"), F.max_by("price", priced).try_cast("int").alias("price"), F.array_sort(F.collect_set("url")).alias("post_urls")
     )
-    return scored(posts, rows, as_of).join(about, "product", "right").join(names, "product").join(told(posts, rows, excerpt_labels, picks), "product")
+    out = scored(posts, rows, as_of).join(about, "product", "right").join(names, "product").join(told(posts, rows, excerpt_labels, picks), "product")
+    name = TX.nfkc(F.col("product_name"))
+    return CA.resolve(out, categories, FP.category_key(TX.nfkc(F.col("product.brand")), name), None, F.col("product_name"))
+
+
+def payload(found: DataFrame, overrides: DataFrame | None = None, excerpts: DataFrame | None = None) -> DataFrame:
+    """What is published of reports: the contract's fields alone, products of one id as one, checked.
+
+    ``overrides``: id, line and what stands in place of a field (see ``publish.apply_overrides``); ``excerpts``: product_key, excerpt.
+    """
+    rows = found.select(F.col("product.brand").alias("brand"), F.col("product.name").alias("product_key"), *[c for c in found.columns if c not in ("product", "brand", "product_key")])
+    if excerpts is not None:
+        rows = SH.override_excerpts(rows.withColumnRenamed("review_excerpt", "excerpt"), excerpts, "product_key").withColumnRenamed("excerpt", "review_excerpt")
+    rows = P.to_products(rows.fillna({"n_eff": 0.0, "sw": 0.0, "sws": 0.0, "sww": 0.0, "consensus": C.INSUFFICIENT, "confidence": "低"}))
+    merged = P.merge_products(rows)
+    if overrides is not None:
+        merged = P.apply_overrides(merged, overrides, {"product_name": "string", "category": "string", "price": "int", "excerpt": "string"})
+    return P.validated(S.pinned(merged))
 
 
-def judged(posts: DataFrame) -> DataFrame:
+def judged(posts: DataFrame, layers: dict[str, DataFrame] | None = None) -> DataFrame:
     """Comments of products. Written once: accounts, votes, shills, competitors and representatives all read them."""
-    return S.pinned(comments(posts).withColumn("product", F.struct("brand", F.col("product_key").alias("name"))).drop("c"))
+    return S.pinned(comments(posts, layers).withColumn("product", F.struct("brand", F.col("product_key").alias("name"))).drop("c"))
 
 
 def told(posts: DataFrame, rows: DataFrame, labels: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
