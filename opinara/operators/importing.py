@@ -151,7 +151,7 @@ def excerpt_rows(rows: DataFrame, verdicts: DataFrame, floor: float = 0.25) -> D
 
 
 def pick_rows(rows: DataFrame) -> DataFrame:
-    """The comment-pick layer: two JSON lists of rewrites, with no source both positive and negative."""
+    """The shape of comment picks alone: two JSON lists of rewrites, with no source both positive and negative. ``picks.judged`` has all rules."""
     rows = rows.withColumns({"_p": LB.parse_rewrites(F.col("positive_rewrites")), "_n": LB.parse_rewrites(F.col("negative_rewrites"))})
     index = lambda c: F.transform(c, lambda r: r["source_index"])
     blank = (F.coalesce(F.size("_p"), F.lit(0)) == 0) & (F.coalesce(F.size("_n"), F.lit(0)) == 0) & F.col("_p").isNotNull() & F.col("_n").isNotNull() & (F.trim(F.coalesce("model", F.lit(""))) == "")
