@@ -1,8 +1,8 @@
 """HTML extraction (operator 7): a tree-structured graphical model over a page's block elements.
 
 A page becomes a tree of its block elements; inline elements belong to the block they stand in. Each block is content or not: its
-own potential comes from its tag, the words of its class, id and role, the length of its text and its share of
-link text; a potential between parent and child ties their labels. Sum-product messages go up from
+own potential comes from its tag, the words of its class, id and role, the length of its text, its share of
+link text and whether it stands beside the page's article or main element; a potential between parent and child ties their labels. Sum-product messages go up from
 the leaves and down from the root, and give each block's exact marginal. Weights are trained by
 gradient ascent on the likelihood of labelled pages, where the same messages give the expected
 counts. ``labelled_pages`` makes pages of many layouts with labels in ``data-main`` attributes; own labelled pages may be passed instead.
@@ -30,16 +30,22 @@ from pyspark.sql import DataFrame, functions as F
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg iframe textarea title object math canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label br img wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big blink br button cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var video wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS_OWN_KIND = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 HOLDS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}'|["'])*+)(?:>|\Z)|([^<]+|<)""", re.S)
+# A quote is one only where a value begins; a value is read to its quote however long it is.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)(?:>|\Z)|([^<]+|<)""", re.S)
 ATTRIBUTES = re.compile(r"""(?<![^\s"'/])(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
+def is_inline(tag: str) -> bool:
+    """Elements of the page's own making are inline, as long as their style isn't read."""
+    return tag in INLINE or "-" in tag
+
+
 class Page:
     """Blocks in page order: tag, attribute text, parent, text pieces; ``flow`` is the text with block borders."""
 
@@ -91,7 +97,7 @@ class Page:
                 self.flow.append((stack[-1][1], " "))
             if tag in VOID:
                 continue
-            if tag in INLINE:
+            if is_inline(tag):
                 self._open.setdefault(tag, []).append(len(stack))
                 stack.append((tag, stack[-1][1]))
                 links += tag == "a"
@@ -116,11 +122,27 @@ class Page:
             self._open[t].pop()
             if t == "a":
                 links -= 1
-            elif t not in INLINE:
+            elif not is_inline(t):
                 self.flow.append((stack[-1][1], None))
             if t == tag:
                 return links
 
+    @functools.cached_property
+    def outside(self) -> list[bool]:
+        """Blocks that neither are in an article or main element nor hold one; none, if such elements hold little of the page's plain text."""
+        n = len(self.tags)
+        inside, holds, plain = [False] * n, [False] * n, 0
+        for i in range(n):
+            inside[i] = self.tags[i] in ("article", "main") or i > 0 and inside[self.parents[i]]
+        for i in range(n - 1, 0, -1):
+            if inside[i] or holds[i]:
+                holds[self.parents[i]] = True
+        own = [c - k for c, k in zip(self.chars, self.linked)]
+        plain = sum(own)
+        if not any(inside) or sum(c for c, k in zip(own, inside) if k) < 0.3 * plain:
+            return [False] * n
+        return [not (a or b) for a, b in zip(inside, holds)]
+
     def text(self, keep) -> str:
         lines, now = [], []
         for block, text in self.flow:
@@ -139,7 +161,7 @@ class Page:
         for parent, a in zip(self.parents, self.attributes, strict=True):
             found = re.search(r'data-main="([01])"', a)
             out.append(int(found[1]) if found else out[parent] if parent >= 0 else 0)
-        return out
+        return [*out[1:2], *out[1:]]  # the page is what its outermost element is
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -153,16 +175,20 @@ def name_features(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def shape_features(page: Page, i: int) -> tuple[str, ...]:
-    """How much text stands in the block itself, and how much of it links."""
+    """How much text stands in the block itself, how much of it links, and whether the page's article is elsewhere."""
     n = page.chars[i]
     size = "none" if n == 0 else "few" if n < 25 else "some" if n < 80 else "many" if n < 300 else "lots"
     share = page.linked[i] / n if n else 0
-    return (f"n:{size}", f"l:{'all' if share > 0.8 else 'half' if share > 0.3 else 'no'}:{size != 'none'}")
+    return (f"n:{size}", f"l:{'all' if share > 0.8 else 'half' if share > 0.3 else 'no'}:{size != 'none'}", *(("outside",) if page.outside[i] else ()))
 
 
 def pair_feature(page: Page, i: int) -> str:
-    """Which kind of edge leads to block i: to a plain block, or to one whose name may set it apart."""
-    return "named" if len(name_features(page.tags[i], page.attributes[i])) > 1 or page.tags[i] in ("article", "aside", "footer", "form", "header", "main", "nav", "section") else "plain"
+    """Which kind of edge leads to block i: to an article or main element, to a plain block, one that leaves the article's side, or one whose name may set it apart."""
+    if page.tags[i] in ("article", "main"):
+        return "main"
+    if page.outside[i] and not page.outside[page.parents[i]]:
+        return "beside"
+    return "named" if len(name_features(page.tags[i], page.attributes[i])) > 1 or page.tags[i] in ("aside", "footer", "form", "header", "nav") else "plain"
 
 
 def _logadd(a: float, b: float) -> float:
@@ -174,7 +200,7 @@ class TreeModel:
 
     def __init__(self):
         self.weights: dict[str, float] = {}
-        self.pairs = {k: [[0.0, 0.0], [0.0, 0.0]] for k in ("named", "plain")}
+        self.pairs = {k: [[0.0, 0.0], [0.0, 0.0]] for k in ("beside", "main", "named", "plain")}
         self._own = functools.lru_cache(maxsize=50_000)(lambda tag, attributes: sum(self.weights.get(f, 0.0) for f in name_features(tag, attributes)))
 
     def __getstate__(self):
@@ -263,7 +289,7 @@ def train(pages: list[str], rounds: int = 45, rate: float = 0.5, l2: float = 0.0
 
 
 # Names that pages give to their parts.
-CONTENT_NAMES = ["article", "content", "post", "entry", "story", "body", "main", "text", "article-body", "post-content", "entry-content", "page", "wrapper", "container"]
+CONTENT_NAMES = ["article", "content", "post", "entry", "story", "body", "main", "text", "article-body", "article-content", "post-content", "post-body", "post-text", "entry-content", "entry-body", "story-body", "main-content", "page", "wrapper", "container"]
 PART_NAMES = {
     "nav": ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager"],
     "header": ["header", "masthead", "topbar", "branding", "site-header", "logo"],
@@ -277,9 +303,13 @@ PART_NAMES = {
 }
 
 
-def labelled_pages(n: int = 120, seed: int = 7, named: Callable[[list[str]], list[str]] = list) -> list[str]:
-    """Pages of many layouts; ``data-main`` says which elements are the article. ``named`` picks, of each list of names, those to use."""
+def labelled_pages(n: int = 200, seed: int = 7, named: Callable[[list[str]], list[str]] = list) -> list[str]:
+    """Pages of many layouts; ``data-main`` says what isn't the article: whatever isn't a part of another kind is. ``named`` picks, of each list of names, those to use.
+
+    The article stands in an article or main element, in a named or nameless block, in several, in cells of a table, or straight in the body.
+    """
     r = random.Random(seed)
+    some = lambda kinds, p: "".join(part(k) for k in kinds if r.random() < p)
 
     def words(a: int, b: int) -> str:
         return " ".join("x" * r.randint(2, 9) for _ in range(r.randint(a, b)))
@@ -292,18 +322,26 @@ def labelled_pages(n: int = 120, seed: int = 7, named: Callable[[list[str]], lis
         out = ""
         for _ in range(k):
             kind = r.random()
-            if kind < 0.7:
+            if kind < 0.62:
                 out += f"<p>{words(1, 70)}" + (f' <a href="/x">{words(1, 4)}</a> {words(0, 9)}' if r.random() < 0.2 else "") + "</p>"
-            elif kind < 0.78:
+            elif kind < 0.7:
                 out += f"<h{r.randint(2, 4)}>{words(2, 8)}</h2>"
-            elif kind < 0.86:
-                out += "<ul>" + "".join(f"<li>{words(2, 20)}</li>" for _ in range(3)) + "</ul>"
-            elif kind < 0.92:
+            elif kind < 0.77:
+                out += "<ul>" + "".join(f"<li>{words(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+            elif kind < 0.82:
+                out += "<ul>" + "".join(f'<li><a href="/x">{words(1, 5)}</a></li>' for _ in range(r.randint(1, 4))) + "</ul>"
+            elif kind < 0.87:
                 out += f"<blockquote><p>{words(5, 30)}</p></blockquote>"
-            elif kind < 0.96:
+            elif kind < 0.9:
                 out += f"<pre>{words(5, 20)}</pre>"
+            elif kind < 0.93:
+                out += f"<table><tr><th>{words(1, 3)}</th></tr><tr><td>{words(1, 4)}</td><td>{words(1, 9)}</td></tr></table>"
+            elif kind < 0.95:
+                out += f"<figure><img><figcaption>{words(2, 15)}</figcaption></figure>"
+            elif kind < 0.97:
+                out += f"<div>{words(3, 40)}</div>"
             else:
-                out += f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 9)}</td></tr></table>"
+                out += f"<dl><dt>{words(1, 3)}</dt><dd>{words(2, 20)}</dd></dl>"
         return out
 
     def part(kind: str) -> str:
@@ -317,24 +355,47 @@ def labelled_pages(n: int = 120, seed: int = 7, named: Callable[[list[str]], lis
             "footer": lambda: f"&copy; {words(2, 12)} {links(tag) if r.random() < 0.5 else ''}" if r.random() < 0.6 else f"<p>{words(3, 25)}</p>", "aside": lambda: f"<h3>{words(1, 4)}</h3>" + (links(tag) if r.random() < 0.6 else f"<p>{words(5, 40)}</p>"),
             "notice": lambda: f"<p>{words(5, 40)}</p><button>{words(1, 2)}</button>" if r.random() < 0.5 else words(5, 40), "ad": lambda: words(3, 30) if r.random() < 0.6 else f"<p>{words(3, 30)}</p>",
             "form": lambda: f"<p>{words(1, 6)}</p><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button><select><option>{words(1, 1)}</option></select>", "share": lambda: links("div") if r.random() < 0.5 else f"<span>{words(1, 4)}</span>",
-            "comments": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(f'<div class="{r.choice(["comment", "reply", "comment-body"])}"><p>{words(3, 50)}</p></div>' if r.random() < 0.7 else f"<p>{words(3, 50)}</p>" for _ in range(r.randint(1, 4))),
+            "comments": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(comment() for _ in range(r.randint(1, 4))),
         }[kind]()
         return f'<{tag}{name} data-main="0">{inner}</{tag}>'
 
+    def comment() -> str:
+        tag = r.choice(["div", "div", "div", "li", "li", "article"])
+        name = f' class="{r.choice(["comment", "reply", "comment-body"])}"' if r.random() < 0.7 or tag == "article" else ""
+        return f"<{tag}{name}><p>{words(3, 50)}</p></{tag}>"
+
+    def article() -> str:
+        if r.random() < 0.2:  # hardly any text
+            return f"<h1>{words(1, 9)}</h1>" * (r.random() < 0.5) + f"<p>{words(1, 25)}</p>"
+        if r.random() < 0.1:  # lines without elements of their own
+            return f"<h1>{words(1, 9)}</h1>" * (r.random() < 0.5) + "<br>".join(words(5, 60) for _ in range(r.randint(1, 4)))
+        heads = r.random()
+        head = f"<h1>{words(2, 10)}</h1>" if heads < 0.6 else f"<header><h1>{words(2, 10)}</h1></header>" if heads < 0.7 else ""
+        out = head + prose(r.randint(1, 4)) + some(["ad", "share", "aside"], 0.15) + prose(r.randint(0, 6)) + some(["share", "form", "comments", "notice"], 0.12)
+        return out + ("".join(f"<p>{words(1, 5)}</p>" for _ in range(r.randint(8, 40))) if r.random() < 0.2 else "")
+
     pages = []
     for _ in range(n):
-        some = lambda kinds, p: "".join(part(k) for k in kinds if r.random() < p)
-        tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        name = f' class="{r.choice(named(CONTENT_NAMES))}"' if tag in ("div", "section") or r.random() < 0.3 else ""
-        inner = f"<h1>{words(2, 10)}</h1>" * (r.random() < 0.8) + prose(r.randint(1, 4)) + some(["ad", "share", "aside"], 0.15) + prose(r.randint(0, 6)) + some(["share", "form", "comments", "notice"], 0.12)
-        if r.random() < 0.15:  # hardly any text
-            inner = f"<h1>{words(1, 9)}</h1>" * (r.random() < 0.5) + f"<p>{words(1, 20)}</p>"
-        elif r.random() < 0.25:  # a page of many short lines
-            inner += "".join(f"<p>{words(1, 5)}</p>" for _ in range(r.randint(8, 40)))
-        body = f'<{tag}{name} data-main="1">{inner}</{tag}>'
-        if r.random() < 0.4:
-            body = f'<div class="{r.choice(named(CONTENT_NAMES))}" data-main="0">{some(["nav", "ad"], 0.2)}{body}{some(["aside", "comments"], 0.3)}</div>'
-        pages.append(f'<html><body data-main="0">{some(["notice", "header", "nav", "form", "ad"], 0.6)}{body}{some(["comments", "aside", "ad", "form", "notice", "footer"], 0.6)}</body></html>')
+        kind, beside = r.random(), ""
+        if kind < 0.4:
+            tag = r.choice(["article", "article", "main"])
+            body = f'<{tag}{f" class={chr(34)}{r.choice(named(CONTENT_NAMES))}{chr(34)}" if r.random() < 0.3 else ""}>{article()}</{tag}>'
+            if r.random() < 0.7:  # what has no name, but stands beside the article
+                beside = f'<div data-main="0">{links("ul") if r.random() < 0.3 else words(2, 30)}</div>'
+        elif kind < 0.6:
+            body = f'<{r.choice(["div", "div", "section"])} {r.choice(["class", "id"])}="{r.choice(named(CONTENT_NAMES))}">{article()}</div>'
+        elif kind < 0.75:
+            tag = r.choice(["div", "div", "section"])
+            body = "".join(f"<{tag}>{article()}</{tag}>" for _ in range(r.choice([1, 1, 2])))
+        elif kind < 0.8:
+            body = f'<table><tr><td>{article()}</td><td data-main="0">{links("ul")}</td></tr></table>'
+        else:
+            body = article()
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):  # blocks around it
+            name = f' class="{r.choice(named(CONTENT_NAMES))}"' if r.random() < 0.5 else ""
+            body = f'<div{name}>{some(["nav", "ad"], 0.2)}{body}{some(["aside", "comments"], 0.3)}</div>'
+        more = r.random() * 0.9
+        pages.append(f'<html data-main="1"><body>{some(["notice", "header", "nav", "form", "ad"], more)}{beside}{body}{some(["comments", "aside", "ad", "form", "notice", "footer"], more)}</body></html>')
     return pages
 
 
