@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import checkpoint
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: More rules than this are joined by shuffle instead of being broadcast.
 MAX_BROADCAST_RULES = 200_000
@@ -31,6 +33,10 @@ def host_and_path(url):
     return F.coalesce(F.translate(authority, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def _labels(host):
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def _digest(text):
     return F.sha2(text, 256)
 
@@ -48,14 +54,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """One row per page: its id, host, path, the winning rule (or null) and the verdict."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    # How long the rules' paths are: a few small numbers, at most one per length a path can have.
+    # How long the rules' paths are, and of how many labels their hosts: a few small numbers. A URL gets expressions of these alone, however long it is.
     lengths = sorted(r[0] for r in rules.select(F.length(F.coalesce("path", F.lit("")))).distinct().collect())
+    depths = sorted(r[0] for r in rules.where(F.col("host").isNotNull()).select(_labels(F.col("host"))).distinct().collect())
     few = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
     known = rule_expressions(rules)
     known = F.broadcast(known) if few else known
 
-    labels = F.split(F.col("host"), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(_labels(F.col("host")) >= k, F.substring_index("host", ".", -k)) for k in depths])) if depths else F.array().cast("array<string>")
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     best = (
@@ -68,6 +74,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy(F.col("host").alias("h"), F.col("path").alias("p"))
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule_host", (F.col("rule_verdict") == "block").alias("blocks"), "rule", "rule_verdict")).alias("best"))
     )
-    return urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
+    # Read back from storage, it has no aggregate in front of the join, so that a frequent URL can be split; URLs without a host, which are all alike, aren't joined.
+    best = checkpoint(best)
+    met = urls.where(F.col("host") != "").join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    bare = urls.where(F.col("host") == "").select("*", *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("h", "p", "best")])
+    return met.unionByName(bare).select(
         id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )
