@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 BLOCK = 2000
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters that words may hold though they are no letters, as digits and numeric signs.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+NOT_LETTERS = re.compile(rf"[\W_{re.escape(NUMBERS)}]+")
 
 
 def letters(text: str) -> str:
