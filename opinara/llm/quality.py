@@ -139,13 +139,13 @@ def _buckets(batches):
     known: dict = {}
     for batch in batches:
         rows = [np.sort(features(t.as_py(), known)).astype("<i4").tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(rows, pa.binary())], ["grade", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("grade"), pa.array(rows, pa.binary())], ["rank", "grade", "buckets"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int = 8000) -> OrdinalModel:
-    """``ratings``: doc_id, grade (int)."""
+    """``ratings``: doc_id, grade (int). At most ``max_rows`` ids are drawn and, of their documents, as many rows, those of the smallest hashes, however often an id is repeated."""
     chosen = ratings.select("doc_id", "grade", F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)).alias("rank")).orderBy("rank", "doc_id").limit(max_rows)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_buckets, "grade int, buckets binary").collect()
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_buckets, "rank long, grade int, buckets binary").orderBy("rank", "grade", "buckets").limit(max_rows).collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["buckets"])))
     return fit([np.frombuffer(r["buckets"], "<i4") for r in rows], np.array([r["grade"] for r in rows], np.int64), n_grades)
 
