@@ -40,6 +40,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def wanted_partitions(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
     """As many partitions as the session's setting, or more, so that one gets about ``each`` bytes at most."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))

@@ -3,14 +3,17 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.llm import align, licenses, negatives
+from opinara.llm import align, lang_id, licenses, negatives, quality, url_filters
+from opinara.llm.queries import QUERIES, URL_RULES
 
 DOCS = "doc_id long, text string, id long, digest string, words string, label string, number long, shard long"
 
@@ -19,6 +22,40 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, 0, "d", "w", "l", 1, 2) for i, t in rows], DOCS)
 
 
+# 1, 2, 6, 9
+
+
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame([*URL_RULES, ("d.e.f.com", "/", "block"), ("a.com", "/x", "block"), ("com", "/x", "allow")], "host string, path string, verdict string")
+    urls = ["http://" + "s." * 16_000 + "d.e.f.com/", "http://e.f.com/", "http://com/x", "http://a.com/x", "http://a.com./x", "http://.com/", None, None, "no", "http:///x"]
+    began = time.time()
+    got = [(r["rule"], r["verdict"]) for r in url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()]
+    assert time.time() - began < 30
+    assert got == [("d.e.f.com/", "block"), ("com/", "allow"), ("com/x", "allow"), ("a.com/x", "block"), (None, "allow"), ("com/", "allow"), *[(None, "allow")] * 4]
+
+
+def test_signs_are_no_letters():
+    assert lang_id.letters("½ ² ① Ⅷ 12 _ ६") == "" and lang_id.letters("Straße 3² 日本 x½y") == "straße 日本 x y"
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda buckets, grades, n: seen.append(len(grades)))
+    rows = docs(spark, [(i % 3, f"text {i}") for i in range(50)])
+    ratings = spark.createDataFrame([(i, i) for i in range(3)], "doc_id long, grade int")
+    for bound in (7, 100):
+        quality.train(rows, ratings, max_rows=bound)
+    assert seen == [7, 50]
+
+
+def test_token_counts_leave_no_cache(spark):
+    from opinara.llm import common
+
+    before = set(os.listdir(common.checkpoint_dir(spark).removeprefix("file:")))
+    got = QUERIES["op6_token_counts"](spark, "/root/testdata/sf0.001")
+    assert got.count() == 200 and not any(n.startswith("token-counts") for n in set(os.listdir(common.checkpoint_dir(spark).removeprefix("file:"))) - before)
+
+
 # 11
 
 
