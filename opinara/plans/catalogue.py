@@ -8,5 +8,5 @@ from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
 
-for _part in ("scores", "accounts", "store", "labels", "texts", "shelf", "cases", "reports", "told", "categories", "streams", "labelling", "layers", "picks", "evaluating"):
+for _part in ("scores", "accounts", "store", "labels", "texts", "shelf", "cases", "reports", "told", "categories", "streams", "labelling", "layers", "picks", "evaluating", "domain"):
     importlib.import_module(f"opinara.plans.{_part}")
