@@ -130,7 +130,7 @@ golden("name_routing", {"text": S}, {"routed": S}, [("草莓好吃", "草莓大
 def fingerprints(spark, sf_dir):
     """All label layers' keys of documents: their source as brand, language as tag, text as field."""
     t, lang, source = F.col("text"), F.col("lang"), F.col("source")
-    lines = F.slice(F.split("text", "\n"), 1, 3)
+    lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select(
         "doc_id", FP.sentiment_key(source, lang, t).alias("sentiment"), FP.sentiment_key_v2(source, lang, t, source, lang, lang).alias("sentiment_v2"), FP.product_key(source, lang, t).alias("product"), FP.product_key_v2(source, lang, t, lang).alias("product_v2"),
         FP.excerpt_key(lang, source, t).alias("excerpt"), FP.excerpt_key_v2(lang, source, t, source, lang, lines).alias("excerpt_v2"), FP.picks_key(source, lang, lines, lines, lang).alias("picks"), FP.category_key(source, t).alias("category"), FP.grounding_key(t, source).alias("grounding"),
@@ -141,7 +141,7 @@ QUERIES["fingerprints"] = fingerprints
 _parts = lambda *p: "sha256(" + " || chr(31) || ".join(p) + ")"
 _sq = r"trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x0b\x1c-\x1f\x85]+', ' ', 'g'))"
 ORACLES["fingerprints"] = (
-    rf"WITH d AS (SELECT doc_id, source, lang, {_sq} AS t, list_transform(string_split(text, chr(10))[1:3], lambda x: trim(regexp_replace(x, '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', ' ', 'g'))) AS l FROM documents), "
+    rf"WITH d AS (SELECT doc_id, source, lang, {_sq} AS t, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', ' ', 'g'))) AS l FROM documents), "
     r"e AS (SELECT *, trim(regexp_replace(t, '[!！?？。．.]+$', '')) AS o, trim(regexp_replace(t, '^[：:]+', '')) AS r, array_to_string(l, chr(30)) AS j FROM d) SELECT doc_id, "
     + ", ".join(
         [

@@ -173,3 +173,23 @@ def label_forms(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(form))).otherwise(form)
     rows = table(spark, sf_dir, "labels").select("doc_id", raw.alias("raw"))
     return rows.select("doc_id", "raw", LB.sentiment_label(F.col("raw"), strict=False).alias("sentiment"), LB.boolean_label(F.col("raw"), strict=False).alias("flag"), LB.favoured_label(F.col("raw"), strict=False).alias("favoured"), LB.target_label(F.col("raw")).alias("target"))
+
+
+TIMES_SQL = """
+WITH r AS (SELECT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS clock FROM orders)
+SELECT k AS o_orderkey, CASE k % 9 WHEN 0 THEN date_trunc('day', clock) - INTERVAL 8 HOURS WHEN 1 THEN date_trunc('day', clock) - INTERVAL 8 HOURS WHEN 2 THEN date_trunc('day', clock) - INTERVAL 8 HOURS WHEN 3 THEN clock - INTERVAL 8 HOURS WHEN 4 THEN clock WHEN 5 THEN clock + INTERVAL 210 MINUTES WHEN 6 THEN date_trunc('minute', clock) - INTERVAL 8 HOURS WHEN 7 THEN NULL ELSE clock - INTERVAL 8 HOURS + INTERVAL 250 MILLISECONDS END AS at,
+  CASE WHEN k % 9 < 3 THEN date_trunc('day', clock) + INTERVAL 16 HOURS - INTERVAL 1 MICROSECOND END AS until FROM r
+"""
+
+
+@query(TIMES_SQL)
+def strict_times(spark, sf_dir):
+    """Times of orders in every form that is read: days, clocks with and without zone, blanks."""
+    from ..functions import times as TM
+
+    k = F.col("o_orderkey")
+    clock = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + k % 86400)
+    says = lambda form: F.date_format(clock, form)
+    raw = F.when(k % 9 == 0, says("yyyy-MM-dd")).when(k % 9 == 1, says("yyyy/M/d")).when(k % 9 == 2, says("yyyyMMdd")).when(k % 9 == 3, says("yyyy-MM-dd HH:mm:ss")).when(k % 9 == 4, says("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 9 == 5, says("yyyy-MM-dd HH:mm:ss'-0330'"))
+    raw = raw.when(k % 9 == 6, says("yyyy-MM-dd'T'HH:mm")).when(k % 9 == 7, " ").otherwise(F.concat(says("yyyy-MM-dd HH:mm:ss"), F.lit(".25+08:00")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", TM.in_zone(TM.read_time(raw), "UTC").alias("at"), F.when(k % 9 < 3, TM.in_zone(TM.read_time(raw, end_of_day=True), "UTC")).alias("until"))
