@@ -67,3 +67,16 @@ def comment_keys(source: Column, brand: Column, product: Column, title: Column,
     return F.array(
         ask(TEXT, plain, 1), ask(FINGERPRINT, FP.sentiment_key(source, tag, text), 2), ask(FINGERPRINT, FP.sentiment_key_v2(source, tag, text, brand, product, title), 3), ask(CORRECTION, plain, 4),
     )
+
+
+def canonical_overrides(rows: DataFrame, text: str, score: str, line: str = "line") -> DataFrame:
+    """text, score, n_votes, conflict, line of a legacy file: one row per normal form of the text, in the file's order by ``line``.
+
+    Variants of a text vote with their scores; of equal numbers the score that the normal form itself has, then the earliest.
+    """
+    from .labels import majority
+
+    key = TX.override_text(TX.nfkc(F.coalesce(text, F.lit(""))))
+    votes = rows.select(key.alias("text"), F.col(score).try_cast("double").alias("score"), F.col(line).alias("line"), F.col(text).alias("_own")).where((F.col("text") != "") & F.col("score").isNotNull())
+    first = votes.groupBy("text").agg(F.min("line").alias("line"))
+    return majority(votes, "text", "score", "line", F.col("_own") == F.col("text")).join(first, "text").select("text", "score", "n_votes", "conflict", "line")

@@ -73,12 +73,12 @@ def report_order() -> list[Column]:
     return [F.col("fair_score").isNull().asc(), weak.asc(), F.col("fair_score").desc_nulls_last(), F.col("product").asc()]
 
 
-def filter_reports(reports: DataFrame, min_score=None, min_n_eff=None, min_votes=None, limit=None) -> DataFrame:
+def filter_reports(reports: DataFrame, min_score=None, min_n_eff=None, min_votes=None, limit=None, min_posts=None, min_comments=None) -> DataFrame:
     """HAVING over reports; a null score fails ``min_score``. Negative bounds are errors."""
-    for name, value in (("min_score", min_score), ("min_n_eff", min_n_eff), ("min_votes", min_votes), ("limit", limit)):
+    for name, value in (("min_score", min_score), ("min_n_eff", min_n_eff), ("min_votes", min_votes), ("limit", limit), ("min_posts", min_posts), ("min_comments", min_comments)):
         if value is not None and value < 0:
             raise ValueError(f"{name} is negative: {value}")
-    for column, least in (("fair_score", min_score), ("n_eff", min_n_eff), ("n_votes", min_votes)):
+    for column, least in (("fair_score", min_score), ("n_eff", min_n_eff), ("n_votes", min_votes), ("n_posts", min_posts), ("n_comments", min_comments)):
         if least is not None:
             reports = reports.where(F.col(column) >= least)
     return reports.orderBy(*report_order()).limit(limit) if limit is not None else reports

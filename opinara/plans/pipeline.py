@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
@@ -117,4 +119,33 @@ def query(posts: DataFrame, as_of, window: S.TimeWindow | None = None, brand: st
     return O.filter_reports(found, **having)
 
 
+@dataclass(frozen=True)
+class Answer:
+    """What was asked for, as it was applied; the brands of the selected posts; the reports."""
+
+    filters: dict
+    brands: DataFrame
+    reports: DataFrame
+
+
+def select_posts(posts: DataFrame, start=None, end=None, recent_days: int | None = None, now=None) -> DataFrame:
+    """Posts and comments of a time window, without any scoring."""
+    return S.filter_posts(posts, S.TimeWindow(start, end, recent_days, now))
+
+
+def brands_of(posts: DataFrame) -> DataFrame:
+    """brand, n_products (distinct normal names), n_posts, n_comments; most products first, then most posts, then by name."""
+    name = N.merge_key(N.canonical_name(TX.nfkc(F.coalesce("product_name", F.lit(""))), F.col("brand")))
+    g = posts.groupBy("brand").agg(F.countDistinct(name).alias("n_products"), F.count("*").alias("n_posts"), F.sum(F.size("comments")).cast("long").alias("n_comments"))
+    return g.orderBy(F.col("n_products").desc(), F.col("n_posts").desc(), "brand")
+
+
+def answer(posts: DataFrame, as_of, start=None, end=None, recent_days: int | None = None, now=None, brand: str | None = None, **having) -> Answer:
+    """A whole question: posts of the window are selected once, their brands listed, their products scored, filtered and ranked, and the filters told as applied."""
+    window = S.TimeWindow(start, end, recent_days, now)
+    chosen = S.filter_posts(posts, window)
+    told = {"brand": brand, "start": window.start.isoformat() if window.start else None, "end": window.end.isoformat() if window.end else None, "recent_days": recent_days, **having}
+    return Answer(told, brands_of(chosen), query(chosen, as_of, brand=brand, **having))
+
+
 DEFAULTS = {"min_n_eff": C.N_EFF_MIN}

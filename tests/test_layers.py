@@ -60,3 +60,20 @@ def test_labelling_rows(spark):
     assert first != [x["comment_id"] for x in LR.labelling_sample(rows, 7, seed=4).collect()]
     with pytest.raises(ValueError):
         LR.labelling_sample(rows, -1)
+
+
+def test_overrides_become_canonical(spark):
+    rows = spark.createDataFrame([("好吃!", "0.5", 1), ("好吃", "0.9", 2), ("好吃。", "0.5", 3), ("普通", "0.1", 4), ("普通!!", "0.2", 5), ("  ", "1", 6), ("壞", "x", 7)], "t string, s string, line int")
+    got = [tuple(r) for r in LY.canonical_overrides(rows, "t", "s").orderBy("line").collect()]
+    assert got == [("好吃", 0.5, 3, True, 1), ("普通", 0.1, 2, True, 4)]
+
+
+def test_selection_and_brands(spark):
+    posts = board.open_posts(spark)
+    posts = posts.withColumn("comments", F.transform("comments", lambda c: c.withField("at", c["posted_at"].cast("timestamp_ntz")))).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+    chosen = pipeline.select_posts(posts, start=dt.date(2024, 5, 2), end=dt.date(2024, 5, 3))
+    assert sorted(r["id"] for r in chosen.collect()) == ["demo-2", "demo-3"]
+    assert [tuple(r) for r in pipeline.brands_of(posts).collect()] == [("7-11", 2, 2, 12), ("全家", 1, 1, 7), ("萊爾富", 1, 1, 6)]
+    found = pipeline.answer(posts.withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz")), AS_OF, end=dt.date(2024, 5, 1), brand="全家", min_posts=1)
+    assert found.filters == {"brand": "全家", "start": None, "end": "2024-05-01T23:59:59.999999", "recent_days": None, "min_posts": 1}
+    assert [r["brand"] for r in found.brands.collect()] == ["全家"]
