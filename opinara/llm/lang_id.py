@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 BLOCK = 2000
-#: Characters that words may hold though they are no letters, as digits and numeric signs.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-NOT_LETTERS = re.compile(rf"[\W_{re.escape(NUMBERS)}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> str:
-    """Lower-cased words with one space between them; digits, marks and signs are left out."""
-    return NOT_LETTERS.sub(" ", text).strip().lower()
+    """Lower-cased words with one space between them; digits, marks and signs are left out, as are numeric signs, which patterns take for letters."""
+    words = NOT_LETTERS.sub(" ", text).strip()
+    if not words.replace(" ", "").isalpha():
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words.lower()
 
 
 def learn(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 98_304) -> dict[str, bytes]:
