@@ -102,11 +102,6 @@ def board_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(F.regexp_replace(bare_day, r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy")), F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
-def parse_time(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "yyyy-MM-dd")) -> Column:
-    """The first format that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.regexp_replace(text, "Z$", ""), F.lit(f)) for f in formats])
-
-
 def field_map(body: Column) -> Column:
     """【key】value pairs of a form, a value up to the next key at a line's start; of repeated keys the later one counts."""
     pattern = F.lit(r"(?s)【\s*([^】\n]+?)\s*】\s*(.*?)(?=\n\s*【|\z)")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import labelling as LB
-from ..functions.text import squeeze
 from .labels import audit, gaps, reject_rate
 from .store import upsert
 
@@ -187,7 +186,3 @@ def replace_excerpts(reports: DataFrame, rebuilt: DataFrame, key: str) -> DataFr
 def prelabel(rows: DataFrame, score: Column) -> DataFrame:
     """Rows for human labels with the rules' guess filled in."""
     return rows.withColumn("sentiment", F.when(score > C.POSITIVE, "positive").when(score < C.NEGATIVE, "negative").otherwise("neutral"))
-
-
-def numbered_name(names: Column) -> Column:
-    return LB.numbered(F.transform(names, squeeze))

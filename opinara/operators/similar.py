@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -37,15 +35,3 @@ def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, thre
     both = F.size(F.array_intersect("_x", "_y"))
     likeness = both / (F.size("_x") + F.size("_y") - both)
     return pairs.join(first, "a").join(second, "b").withColumn("similarity", likeness).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
-
-
-def flagged_ratio(rows: DataFrame, pairs: DataFrame, group: list[str], key: str, least: int = 3) -> DataFrame:
-    """Per group the share of rows with a similar partner; 0 for groups of fewer than ``least`` rows."""
-    hit = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct().withColumn("_hit", F.lit(1))
-    g = rows.select(*group, key).join(hit, key, "left").groupBy(*group).agg(F.count("*").alias("n"), F.count("_hit").alias("flagged"))
-    return g.withColumn("ratio", F.when(F.col("n") >= least, F.round(F.col("flagged") / F.col("n"), 4)).otherwise(0.0))
-
-
-def overlap_bound(n: int, threshold: float) -> int:
-    """How many tokens of a set of n a similar set must share."""
-    return math.ceil(n * threshold - 1e-9)
