@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import cleaners as CL, sentences as SN, text as TX
+from ..functions import cleaners as CL, labelling as LB, sentences as SN, text as TX
 from . import fingerprints as FP
 from .store import pinned
 
@@ -162,6 +162,28 @@ def _body_highlights(found: DataFrame, told: DataFrame, up: bool, against: list[
     return taken.select("product", _of(F.col("_taken"), "shown").alias("_body"))
 
 
+def shown_for_picks(posts: DataFrame, comments: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
+    """product, fingerprint and what a labeller is shown of a product, in a fixed order: brand, product_name, other_products, comments, body_candidates.
+
+    Comments are those of ``comment_pool``; body candidates the sentences told of the product, those of newer posts first; both at most ``CANDIDATES``,
+    which is the labeller's page. names: product, product_name.
+    """
+    pool = comment_pool(comments).groupBy("product").agg(_of(F.array_sort(F.collect_list(F.struct("id", "idx", "text"))), "text").alias("comments"))
+    order = Window.partitionBy("product").orderBy(F.col("at").desc(), F.col("id").desc(), "place")
+    told = found.where("strict and shown <> ''").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SN.CANDIDATES)
+    body = told.groupBy("product").agg(_of(F.array_sort(F.collect_list(F.struct("_n", "shown"))), "shown").alias("body_candidates"))
+    others = posts.select("product", F.explode_outer("sibling_products").alias("_s")).groupBy("product").agg(F.array_join(F.array_sort(F.collect_set("_s")), " | ").alias("other_products"))
+    rows = names.join(others, "product").join(pool, "product", "left").join(body, "product", "left").withColumns({c: F.coalesce(c, _texts()) for c in ("comments", "body_candidates")})
+    rows = rows.withColumn("brand", F.col("product.brand"))
+    return rows.withColumn("fingerprint", FP.picks_key(F.col("brand"), F.col("product_name"), F.col("comments"), F.col("body_candidates"), F.col("other_products")))
+
+
+def picks_for(shown: DataFrame, cache: DataFrame) -> DataFrame:
+    """product, positive, negative, positive_body, negative_body: the rewrites of a cache (see ``operators.picks``) for products of which just what is shown now was judged."""
+    kept = cache.select(F.col("fingerprint").alias("_key"), *[_of(LB.parse_rewrites(F.col(c)), "text").alias(n) for c, n in (("positive_rewrites", "positive"), ("negative_rewrites", "negative"), ("positive_body_rewrites", "positive_body"), ("negative_body_rewrites", "negative_body"))])
+    return shown.select("product", "fingerprint").join(kept, F.col("fingerprint") == F.col("_key")).drop("fingerprint", "_key")
+
+
 def representatives(comments: DataFrame, found: DataFrame, told: DataFrame, picks: DataFrame | None = None, most: int = CL.REPRESENTATIVES) -> DataFrame:
     """``told`` (product, review_excerpt, ...) with rep_positive, rep_negative and rep_provisional.
 

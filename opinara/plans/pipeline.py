@@ -58,7 +58,7 @@ def reports(posts: DataFrame, as_of, labels: DataFrame | None = None, excerpt_la
     about = posts.groupBy(product).agg(
         F.count("*").alias("n_posts"), F.sum(F.size("comments")).alias("n_comments"), F.max("posted_at").alias("latest_post_date"), F.max_by("price", priced).try_cast("int").alias("price"), F.array_sort(F.collect_set("url")).alias("post_urls")
     )
-    out = scored(posts, rows, as_of).join(about, "product", "right").join(names, "product").join(told(posts, rows, excerpt_labels, picks), "product")
+    out = scored(posts, rows, as_of).join(about, "product", "right").join(names, "product").join(told(posts, rows, excerpt_labels, picks, names), "product")
     name = TX.nfkc(F.col("product_name"))
     return CA.resolve(out, categories, FP.category_key(TX.nfkc(F.col("product.brand")), name), None, F.col("product_name"))
 
@@ -83,14 +83,24 @@ def judged(posts: DataFrame, layers: dict[str, DataFrame] | None = None) -> Data
     return S.pinned(comments(posts, layers).withColumn("product", F.struct("brand", F.col("product_key").alias("name"))).drop("c"))
 
 
-def told(posts: DataFrame, rows: DataFrame, labels: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
-    """product, review_excerpt, rep_positive, rep_negative, review_provisional: whether rules stood in for labels in any of them."""
+def told(posts: DataFrame, rows: DataFrame, labels: DataFrame | None = None, picks: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """product, review_excerpt, rep_positive, rep_negative, review_provisional: whether rules stood in for labels in any of them.
+
+    ``picks``: by product, or a cache by the fingerprint of what a labeller was shown (then with ``names``: product, product_name).
+    """
     found = S.pinned(X.candidates(posts))
-    said = rows.select("product", "brand", "id", "idx", "text", F.col("said.include").alias("include"), "sentiment")
+    said = spoken(rows)
+    if picks is not None and "fingerprint" in picks.columns:
+        picks = S.pinned(X.picks_for(X.shown_for_picks(posts, said, found, names), picks))
     out = X.representatives(said, found, X.excerpts(posts, labels, found), picks)
     return out.withColumn("review_provisional", F.col("review_provisional") | F.col("rep_provisional")).drop("rep_provisional")
 
 
+def spoken(rows: DataFrame) -> DataFrame:
+    """Judged comments as excerpts and representatives read them."""
+    return rows.select("product", "brand", "id", "idx", "text", F.col("said.include").alias("include"), "sentiment")
+
+
 def scored(posts: DataFrame, rows: DataFrame, as_of) -> DataFrame:
     """Moments and scores of products, with eligible comments and distinct commenters, from posts and judged comments."""
     active = rows.where("eligible")

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.operators import fingerprints as FP, labelling_rows as LR, layers as LY, publish as P
+from opinara.operators import excerpts as X, fingerprints as FP, labelling_rows as LR, layers as LY, publish as P
 from opinara.operators.store import pinned
 from opinara.plans import pipeline
 from opinara.sources import board
@@ -29,9 +29,18 @@ def test_layers_reach_the_scores(spark):
     assert got["好吃推薦"] == (-1.0, LY.TEXT, True) and got["珍珠好吃"] == (0.5, LY.FINGERPRINT, True)
     assert got["甜度剛好"] == (None, LY.FINGERPRINT, False) and got["驚豔"] == (-0.5, LY.CORRECTION, True) and got["失望"][1] == "lexicon"
     category = one.select(FP.category_key(F.lit("全家"), F.lit("海鹽焦糖布丁")).alias("key"), F.lit("零食").alias("category"), F.lit(1).alias("line"))
-    found = pinned(pipeline.reports(posts, AS_OF, sentiments=layers, categories=category))
+    # A labeller's picks count only while what was shown is what is shown now.
+    product = F.struct("brand", F.col("product_key").alias("name")).alias("product")
+    split = pinned(rows.withColumn("product", product))
+    names = split.select("product", F.col("name").alias("product_name")).distinct()
+    shown = pinned(X.shown_for_picks(split, pipeline.spoken(pipeline.judged(split, layers)), X.candidates(split), names))
+    pudding_row = next(r for r in shown.collect() if "布丁" in r["product_name"])
+    assert pudding_row["comments"][:1] == ["好吃推薦"] and pudding_row["body_candidates"]
+    stale = [("0" * 64, '[{"source_index": 0, "text": "舊的"}]', "")]
+    cache = spark_rows([(pudding_row["fingerprint"], '[{"source_index": 0, "text": "大家都推"}]', "")] + stale, "fingerprint string, positive_rewrites string, negative_rewrites string").withColumns({c: F.lit("") for c in ("positive_body_rewrites", "negative_body_rewrites")})
+    found = pinned(pipeline.reports(posts, AS_OF, sentiments=layers, categories=category, picks=cache))
     after = {r["product_name"]: r for r in found.collect()}
-    assert len(after) == 4
+    assert len(after) == 4 and sum("大家都推" in r["rep_positive"] for r in after.values()) == 1 and not any("舊的" in r["rep_positive"] for r in after.values())
     pudding = next(n for n in after if "布丁" in n)
     assert after[pudding]["n_eligible_comments"] == 4  # one each of kai, zoe, lulu and noa
     assert after[pudding]["category"] == "零食" and next(r for n, r in after.items() if "雪糕" in n)["category"] == "冰品"
