@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import cleaners as CL, labelling as LB, sentences as SN, text as TX
 from . import fingerprints as FP
+from .similar import spread
 from .store import pinned
 
 # What a representative comment says without.
@@ -24,10 +25,15 @@ def _texts(*columns: Column | str) -> Column:
     return F.array(*columns).cast(TEXTS)
 
 
+def _beside(rows: DataFrame, each: DataFrame, on: str | list[str] = "product", how: str = "inner") -> DataFrame:
+    """Rows with what ``each`` has on their product. Never broadcast: sizes are estimated too low here, as texts come of few bytes, and there is a row for all products."""
+    return rows.join(each.hint("merge"), on, how)
+
+
 def candidates(posts: DataFrame) -> DataFrame:
     """A row per sentence of each product's posts: where it stands, how it is shown, aspects, score, and whether it is told of this very product (strict)."""
     name = F.coalesce("product_name", F.lit(""))
-    rows = posts.select("product", "id", F.coalesce("posted_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "author_score", SN.compact(name).alias("_name"), SN.product_forms(name).alias("_names"), TX.nfkc(F.coalesce("review_text", F.lit(""))).alias("_review"))
+    rows = spread(posts, "product", "id").select("product", "id", F.coalesce("posted_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "author_score", SN.compact(name).alias("_name"), SN.product_forms(name).alias("_names"), TX.nfkc(F.coalesce("review_text", F.lit(""))).alias("_review"))
     rows = rows.select("*", F.posexplode(SN.sentences(F.col("_review"))).alias("place", "text")).drop("_review")
     text, plain = F.col("text"), F.col("_plain")
     rows = rows.withColumn("_plain", SN.compact(text))
@@ -45,7 +51,7 @@ def _take(rows: DataFrame, most: int | None, value: Column, order: Callable[[Col
     kind = T.ArrayType(rows.select(value.alias("v")).schema["v"].dataType)
     taken, rounds = None, 0
     while most is None or rounds < most:
-        now = rows.withColumn("_taken", F.array().cast(kind)) if taken is None else rows.join(taken, "product")
+        now = rows.withColumn("_taken", F.array().cast(kind)) if taken is None else _beside(rows, taken)
         now = now.withColumn("_ok", ok(F.col("_taken")))
         pick = F.max(F.when(F.col("_ok"), F.struct(order(F.col("_taken")).alias("o"), value.alias("v"))))
         now = now.groupBy("product").agg(pick.alias("_pick"), F.any_value("_taken").alias("_taken"))
@@ -69,7 +75,7 @@ def rule_excerpts(found: DataFrame, length: int = SN.LENGTH, most: int = 3) -> D
     """
     kind = 2 * F.col("strict").cast("int") + ((F.size("aspects") > 0) | F.col("decisive")).cast("int")
     rows = found.withColumn("_kind", kind)
-    rows = rows.join(rows.groupBy("product").agg(F.max("_kind").alias("_best")), "product").where("_kind = _best")
+    rows = _beside(rows, rows.groupBy("product").agg(F.max("_kind").alias("_best"))).where("_kind = _best")
     value = F.struct("at", "id", (-F.col("place")).alias("back"), "shown", "text", "aspects", "first_hand")
     fresh = lambda taken: F.size(F.array_except("aspects", F.flatten(_of(taken, "aspects"))))
     used = lambda taken: F.length(F.array_join(F.filter(_of(taken, "shown"), lambda s: s != ""), " "))
@@ -92,7 +98,7 @@ def body_pools(posts: DataFrame, found: DataFrame) -> DataFrame:
     """Posts with ``pool``: what a labeller is shown, the post's sentences that are unlike each other; posts without any go."""
     own = found.groupBy("product", "id").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("_all"))  # of one post
     own = own.select("product", "id", SN.unlike(_of(F.col("_all"), "shown"), _texts()).alias("pool"))
-    return posts.join(own.where(F.size("pool") > 0), ["product", "id"])
+    return _beside(posts, own.where(F.size("pool") > 0), ["product", "id"])
 
 
 def labelled_excerpts(pools: DataFrame, labels: DataFrame, length: int = SN.LENGTH) -> DataFrame:
@@ -109,18 +115,18 @@ def labelled_excerpts(pools: DataFrame, labels: DataFrame, length: int = SN.LENG
     used = lambda taken: F.length(F.array_join(_of(taken, "text"), JOINER))
     after = lambda taken: F.coalesce(F.struct("at", "id") < F.struct(F.get(taken, F.size(taken) - 1)["at"].alias("at"), F.get(taken, F.size(taken) - 1)["id"].alias("id")), F.size(taken) == 0)
     ok = lambda taken: (F.size(taken) == 0) | (after(taken) & (used(taken) <= length) & ~SN.alike_any(F.col("text"), _of(taken, "text")))
-    taken = _take(rows.join(whole, "product").where("text <> ''"), None, F.struct("at", "id", "text"), lambda _: F.struct("at", "id"), ok)
+    taken = _take(_beside(rows, whole).where("text <> ''"), None, F.struct("at", "id", "text"), lambda _: F.struct("at", "id"), ok)
     # The first that doesn't fit ends the row of rewrites, and isn't part of it.
     fit = F.when(used(F.col("_taken")) > length, F.slice("_taken", F.lit(1), F.size("_taken") - 1)).otherwise(F.col("_taken"))
-    return whole.join(taken, "product", "left").select("product", F.coalesce(F.array_join(_of(fit, "text"), JOINER), F.lit("")).alias("excerpt"))
+    return _beside(whole, taken, how="left").select("product", F.coalesce(F.array_join(_of(fit, "text"), JOINER), F.lit("")).alias("excerpt"))
 
 
 def excerpts(posts: DataFrame, labels: DataFrame | None = None, found: DataFrame | None = None, length: int = SN.LENGTH) -> DataFrame:
     """product, review_excerpt, review_provisional of every product: the labelled excerpt, else that of the rules, which is provisional."""
     found = pinned(candidates(posts)) if found is None else found
-    out = posts.select("product").distinct().join(rule_excerpts(found, length), "product", "left").withColumn("_label", F.lit(None).cast("string"))
+    out = _beside(posts.select("product").distinct(), rule_excerpts(found, length), how="left").withColumn("_label", F.lit(None).cast("string"))
     if labels is not None:
-        out = out.drop("_label").join(labelled_excerpts(body_pools(posts, found), labels, length).withColumnRenamed("excerpt", "_label"), "product", "left")
+        out = _beside(out.drop("_label"), labelled_excerpts(body_pools(posts, found), labels, length).withColumnRenamed("excerpt", "_label"), how="left")
     return out.select("product", F.coalesce("_label", "excerpt", F.lit("")).alias("review_excerpt"), F.col("_label").isNull().alias("review_provisional"))
 
 
@@ -145,7 +151,7 @@ def _comment_highlights(comments: DataFrame, told: DataFrame, most: int) -> Data
     """product, _positive, _negative: the first few comments of either side that don't say what the excerpt says."""
     rows = comment_pool(comments).withColumn("text", F.trim(F.regexp_replace("text", COMMENT_NOISE, " ")))
     rows = _first(rows.where((F.col("text") != "") & ~TX.off_topic(F.col("text")) & ~TX.echo(F.col("text"))))
-    rows = rows.where("sentiment <> 0").join(told.select("product", "review_excerpt"), "product").withColumn("_like", SN.alike_any(F.col("text"), _texts("review_excerpt"))).where("not _like")
+    rows = _beside(rows.where("sentiment <> 0"), told.select("product", "review_excerpt")).withColumn("_like", SN.alike_any(F.col("text"), _texts("review_excerpt"))).where("not _like")
     rows = rows.withColumn("_up", F.col("sentiment") > 0).withColumn("_n", F.row_number().over(Window.partitionBy("product", "_up").orderBy("id", "idx"))).where(F.col("_n") <= most)
     side = lambda up: _of(F.array_sort(F.collect_list(F.when(F.col("_up") == up, F.struct("_n", "text")))), "text")
     return rows.groupBy("product").agg(side(True).alias("_positive"), side(False).alias("_negative"))
@@ -154,7 +160,7 @@ def _comment_highlights(comments: DataFrame, told: DataFrame, most: int) -> Data
 def _body_highlights(found: DataFrame, told: DataFrame, up: bool, against: list[str], most: int) -> DataFrame:
     """product, _body: the best sentences of one side, unlike the excerpt and what the columns ``against`` hold. ``told``: products that need some."""
     rows = found.where((F.col("shown") != "") & ((SN.polarity(F.col("text")) > 0) if up else (SN.polarity(F.col("text")) < 0)))
-    rows = rows.join(told.select("product", F.concat(_texts("review_excerpt"), *against).alias("_against")), "product")
+    rows = _beside(rows, told.select("product", F.concat(_texts("review_excerpt"), *against).alias("_against")))
     value = F.struct("shown", "at", "id", "place")
     order = lambda _: F.struct("score", "at", "id", (-F.col("place")).alias("back"))
     again = lambda taken: F.exists(taken, lambda t: (t["at"] == F.col("at")) & (t["id"] == F.col("id")) & (t["place"] == F.col("place")))
@@ -173,7 +179,7 @@ def shown_for_picks(posts: DataFrame, comments: DataFrame, found: DataFrame, nam
     told = found.where("strict and shown <> ''").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SN.CANDIDATES)
     body = told.groupBy("product").agg(_of(F.array_sort(F.collect_list(F.struct("_n", "shown"))), "shown").alias("body_candidates"))
     others = posts.select("product", F.explode_outer("sibling_products").alias("_s")).groupBy("product").agg(F.array_join(F.array_sort(F.collect_set("_s")), " | ").alias("other_products"))
-    rows = names.join(others, "product").join(pool, "product", "left").join(body, "product", "left").withColumns({c: F.coalesce(c, _texts()) for c in ("comments", "body_candidates")})
+    rows = _beside(_beside(_beside(names, others), pool, how="left"), body, how="left").withColumns({c: F.coalesce(c, _texts()) for c in ("comments", "body_candidates")})
     rows = rows.withColumn("brand", F.col("product.brand"))
     return rows.withColumn("fingerprint", FP.picks_key(F.col("brand"), F.col("product_name"), F.col("comments"), F.col("body_candidates"), F.col("other_products")))
 
@@ -191,15 +197,15 @@ def representatives(comments: DataFrame, found: DataFrame, told: DataFrame, pick
     their sentiment, and sentences of the reviews for a side without any.
     """
     strict = found.groupBy("product").agg(F.max("strict").alias("_strict"))
-    found = found.join(strict, "product").where("strict = _strict")
-    told = pinned(told.join(_comment_highlights(comments, told, most), "product", "left").withColumns({c: F.coalesce(c, _texts()) for c in ("_positive", "_negative")}))
+    found = _beside(found, strict).where("strict = _strict")
+    told = pinned(_beside(told, _comment_highlights(comments, told, most), how="left").withColumns({c: F.coalesce(c, _texts()) for c in ("_positive", "_negative")}))
     for side, other, up in (("_positive", "_negative", True), ("_negative", "_positive", False)):
         body = _body_highlights(found, told.where(F.size(side) == 0), up, [other], most)
-        told = pinned(told.join(body, "product", "left").withColumn(side, F.when(F.size(side) == 0, F.coalesce("_body", _texts())).otherwise(F.col(side))).drop("_body"))
+        told = pinned(_beside(told, body, how="left").withColumn(side, F.when(F.size(side) == 0, F.coalesce("_body", _texts())).otherwise(F.col(side))).drop("_body"))
     if picks is None:
         return told.withColumnsRenamed({"_positive": "rep_positive", "_negative": "rep_negative"}).withColumn("rep_provisional", F.lit(True))
     chosen = picks.select("product", F.lit(True).alias("_picked"), *[F.coalesce(c, _texts()).alias(f"_{c}_pick") for c in ("positive", "negative", "positive_body", "negative_body")])
-    out = told.join(chosen, "product", "left")
+    out = _beside(told, chosen, how="left")
     above = _texts("review_excerpt")
     out = out.withColumn("_p", SN.unlike("_positive_pick", above)).withColumn("_n", SN.unlike("_negative_pick", F.concat(above, "_p")))
     out = out.withColumn("_p", F.when(F.size("_p") > 0, F.col("_p")).otherwise(SN.unlike("_positive_body_pick", F.concat(above, "_n"))))
