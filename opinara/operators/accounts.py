@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import text as TX
-from .similar import similar_pairs, spread
+from .similar import packed_pairs, similar_texts
 from .store import pinned
 
 
@@ -47,12 +47,11 @@ def alike_texts(activity: DataFrame, least: int = 3) -> DataFrame:
     bare = TX.bare(F.coalesce("text", F.lit("")))
     texts = activity.select("user_id", bare.alias("t")).where(F.length("t") > 3).groupBy("user_id", "t").agg(F.count("*").alias("n"))
     # Pairs of characters are made and written once; rows go by a digest, not by their text.
-    keyed = pinned(spread(texts, "user_id", "t").select("user_id", "n", F.xxhash64("user_id", "t").alias("text_id"), TX.bigrams(F.col("t")).alias("s")))
+    keyed = pinned(texts.select("user_id", "n", F.xxhash64("user_id", "t").alias("text_id"), packed_pairs(F.col("t")).alias("s")))
     enough = keyed.groupBy("user_id").agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds")).where(F.col("_total") >= least)
     # Only accounts of two different texts or more have pairs to look for.
     several = keyed.join(enough.where("_kinds > 1").select("user_id"), "user_id", "left_semi")
-    pairs = similar_pairs(several, ["user_id"], "text_id", "s", C.TEMPLATE_SIMILARITY)
-    partner = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct().withColumn("_hit", F.lit(True))
+    partner = similar_texts(several, "user_id", "text_id", "s", C.TEMPLATE_SIMILARITY, pairs=False).select(F.col("id").alias("text_id"), F.lit(True).alias("_hit"))
     found = keyed.drop("s").join(enough.select("user_id", F.lit(True).alias("_enough")), "user_id", "left").join(partner, "text_id", "left")
     flagged = F.coalesce(F.col("_enough") & ((F.col("n") > 1) | F.coalesce("_hit", F.lit(False))), F.lit(False))
     return found.select("user_id", "text_id", "n", flagged.alias("flagged"), F.coalesce("_enough", F.lit(False)).alias("enough"))

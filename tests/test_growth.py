@@ -1,8 +1,11 @@
 """What keeps the cost of queries in step with their input: plans without a broadcast of all products, work over all partitions, bounded pairs."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from opinara.operators import excerpts as X
+from opinara.operators import excerpts as X, similar as SM
+from opinara.plans import catalogue
 
 
 def _plan(frame) -> str:
@@ -25,3 +28,28 @@ def test_products_are_never_broadcast(spark):
     told = X.excerpts(posts, found=found)
     assert "Broadcast" not in _plan(told) and "SortMergeJoin" in _plan(told)
     assert [len(r["review_excerpt"]) > 10 for r in told.collect()] == [True] * 40
+
+
+def test_texts_in_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(SM, "TILE", 8)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 6))) for _ in range(60)] + ["很好吃😀", "奶茶"]
+    texts = []
+    for k in range(150):
+        text = "".join(rng.choice(words) for _ in range(rng.choice([2, 3, 20, 24, 28])))
+        texts += [text, text + rng.choice(words)] if k % 3 == 0 else [text]
+    rows = [(rng.choice(["one", "one", "one", "two", "three,0"]), i, t) for i, t in enumerate(texts)] + [("few", 9001, "abcdef"), ("few", 9002, "abcdefg"), ("none", 9003, "a")]
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = {(a, b): len(x & y) / len(x | y) for u, a, s in rows for v, b, t in rows if u == v and a < b for x, y in [(pairs(s), pairs(t))] if x and y and len(x & y) / len(x | y) >= 0.8}
+    frame = spark.createDataFrame(rows, "u string, i long, t string").select("u", "i", SM.packed_pairs(F.col("t")).alias("p"))
+    got = SM.similar_texts(frame, "u", "i", "p", 0.8).collect()
+    assert len(want) > 30 and {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(want)
+    members = SM.similar_texts(frame, "u", "i", "p", 0.8, pairs=False).collect()
+    assert sorted(r["id"] for r in members) == sorted({i for pair in want for i in pair})
+
+
+def test_template_queries_write_no_candidates(spark):
+    """A join of texts by the pairs of characters they share made rows with the square of an account's texts."""
+    for name, most in (("template_pairs", 1), ("template_ratio", 5)):
+        plan = _plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.count("Join ") <= most and "MapInPandas" in plan, name
