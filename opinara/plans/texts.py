@@ -29,8 +29,8 @@ def _accounts(spark, sf_dir):
 @query(DUP_SQL + "SELECT a, b, round(k / (m - k), 6) AS similarity FROM p WHERE k >= 0.8 * (m - k) - 1e-9")
 def template_pairs(spark, sf_dir):
     rows = _accounts(spark, sf_dir).withColumn("t", TX.bare(F.col("text"))).where(F.length("t") > 3)
-    folded = pinned(SM.spread(rows.groupBy("user_id", "t").agg(F.min("doc_id").alias("doc_id")), "user_id", "t").select("user_id", "doc_id", TX.bigrams(F.col("t")).alias("s")))
-    return SM.similar_pairs(folded, ["user_id"], "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
+    folded = pinned(rows.groupBy("user_id", "t").agg(F.min("doc_id").alias("doc_id")).select("user_id", "doc_id", SM.packed_pairs(F.col("t")).alias("s")))
+    return SM.similar_texts(folded, "user_id", "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(DUP_SQL + """, h AS (SELECT DISTINCT user_id, unnest([a, b]) AS doc_id FROM p WHERE k >= 0.8 * (m - k) - 1e-9)
