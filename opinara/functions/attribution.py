@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 # Brands and their names, comparison words, praise.
 BRANDS = {
     "7-11": ["7-11", "711", "7-eleven", "小7", "小七", "seven", "統一超"],
@@ -90,13 +92,20 @@ def favoured(text: Column, own: Column) -> Column:
 
 def attribution(own: Column, text: Column, sentiment: Column, backend: Column) -> Column:
     """include, sentiment, brands named, other_preferred, own_preferred. Give it NFKC text."""
-    t = marked(text)
-    others = F.filter(mentioned(t), lambda b: b != own)
+    # Each step's value stands in the next once: the marked text is read by dozens of patterns, the verdict by each field.
+    return let(marked(text), lambda t: let(F.filter(mentioned(t), lambda b: b != own), lambda others: _verdict(own, text, t, others, sentiment, backend)))
+
+
+def _verdict(own: Column, text: Column, t: Column, others: Column, sentiment: Column, backend: Column) -> Column:
     tone = F.lower(text).rlike("|".join(re.escape(c.lower()) for c in COMPARISONS))
-    winner = favoured(t, own)
-    own_wins = (F.size(others) > 0) & tone & F.coalesce(winner == own, F.lit(False))
+    # Who is favoured is asked only of a comparison with another brand.
+    compared = F.when(F.size(others) > 0, tone).otherwise(F.lit(False))
+    return let(F.struct(compared.alias("compared"), F.when(compared, F.coalesce(favoured(t, own) == own, F.lit(False))).otherwise(F.lit(False)).alias("own_wins")), lambda v: _fields(v["compared"], v["own_wins"], others, sentiment, backend))
+
+
+def _fields(compared: Column, own_wins: Column, others: Column, sentiment: Column, backend: Column) -> Column:
     lifted = F.when(backend.isin(AUTHORITATIVE) & sentiment.isNotNull(), sentiment).otherwise(F.greatest(F.coalesce(sentiment, F.lit(0.0)), F.lit(OWN_FLOOR)))
     return F.struct(
         ((F.size(others) == 0) | own_wins).alias("include"), F.when(own_wins, lifted).otherwise(sentiment).alias("sentiment"), others.alias("brands"),
-        ((F.size(others) > 0) & tone & ~own_wins).alias("other_preferred"), own_wins.alias("own_preferred"),
+        (compared & ~own_wins).alias("other_preferred"), own_wins.alias("own_preferred"),
     )

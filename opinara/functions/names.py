@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from .attribution import BRANDS
 from .cleaners import title_name, unwrap_brackets
+from .text import let
 
 # Patterns of what isn't part of a name, word lists of forms and flavours, spellings of one thing.
 SEPARATOR = r"(?U)(?:(?<!\d)\.(?!\d)|(?<!\d)%|%(?![\w一-鿿])|[#:/／｜|,，。!！?？~～\-_=+])+"
@@ -47,11 +47,6 @@ FLAVOURS = [
 UNKNOWN = "unknown"
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that stands in the expression, and is computed, once; also inside other lambdas."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), pairs, text)
 

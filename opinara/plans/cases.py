@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import attribution as AT, cleaners as CL, display as D, extract as E, labelling as LB, names as N, sentences as SN, sentiment as SE, text as TX
 from ..operators import fingerprints as FP, identity as ID
+from ..operators.similar import spread
 from .registry import ORACLES, QUERIES
 from .standins import table
 
@@ -28,7 +29,7 @@ def golden(name: str, inputs: dict[str, str], outputs: dict[str, str], rows: lis
 
     def run(spark, sf_dir):
         cases = F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for v, (c, k) in zip(r[: len(inputs)], inputs.items(), strict=True)]) for r in rows])
-        df = table(spark, sf_dir, "part").select("p_partkey", F.element_at(cases, (F.col("p_partkey") % len(rows) + 1).cast("int")).alias("_c")).select("p_partkey", "_c.*")
+        df = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.element_at(cases, (F.col("p_partkey") % len(rows) + 1).cast("int")).alias("_c")).select("p_partkey", "_c.*")
         return df.select("p_partkey", *inputs, *[c.cast(k).alias(n) for c, (n, k) in zip(f(*[F.col(c) for c in inputs]), outputs.items(), strict=True)])
 
     run.__name__ = name

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from opinara.operators import excerpts as X, similar as SM
+from opinara.functions import attribution as AT
+from opinara.operators import excerpts as X, identity as ID, similar as SM
 from opinara.plans import catalogue
 
 
@@ -53,3 +54,17 @@ def test_template_queries_write_no_candidates(spark):
     for name, most in (("template_pairs", 1), ("template_ratio", 5)):
         plan = _plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert plan.count("Join ") <= most and "MapInPandas" in plan, name
+
+
+def test_attribution_marks_a_text_once_in_every_partition(spark):
+    frame = catalogue.QUERIES["attribution_cases"](spark, "/root/testdata/sf0.001")
+    assert frame.rdd.getNumPartitions() == 4  # of a table of one small file
+    said = spark.sql("select '比小7好吃' as t").select(AT.attribution(F.lit("全家"), F.col("t"), F.lit(0.1), F.lit("lexicon")).alias("a")).select("a.*")
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("FamilyMart") <= 5  # a pattern of its names, once a field at most
+
+
+def test_fields_are_read_over_all_partitions(spark):
+    posts = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("title"), F.lit("").alias("brand"), F.lit("抹茶千層59").alias("product_name"), F.lit(False).alias("is_reply"))
+    found = ID.find_items(posts)
+    assert found.rdd.getNumPartitions() == 4
+    assert {(r["items"][0]["name"], r["items"][0]["price"]) for r in found.collect()} == {("抹茶千層", 59)}
