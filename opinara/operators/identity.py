@@ -16,7 +16,7 @@ from .. import config as C
 from ..functions import extract as E, names as N, text as TX
 from ..functions.text import bigrams
 from .fingerprints import product_key, product_key_v2, rule_guess
-from .similar import similar_pairs
+from .similar import similar_pairs, spread
 from .store import pinned
 
 
@@ -134,7 +134,8 @@ def labelled_items(labels: DataFrame) -> DataFrame:
 def find_items(posts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """With ``items``: the products of a post's field by rules, or by a label under its key, the current one before the legacy one."""
     field = F.when(F.coalesce("is_reply", F.lit(False)), E.reply_part(F.coalesce("product_name", F.lit("")))).otherwise(F.coalesce("product_name", F.lit("")))
-    rows = posts.withColumns({"_raw": TX.nfkc(field), "_title": TX.nfkc(F.coalesce("title", F.lit("")))})
+    # Reading a field is heavier than its bytes tell.
+    rows = spread(posts, "id").withColumns({"_raw": TX.nfkc(field), "_title": TX.nfkc(F.coalesce("title", F.lit("")))})
     # Written once: what follows reads the items several times, and would read the field anew each time.
     rows = pinned(rows.withColumn("items", E.extract_products(F.col("_raw"), F.col("brand"))))
     if labels is None:
