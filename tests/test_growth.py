@@ -2,11 +2,13 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from opinara.functions import attribution as AT
 from opinara.operators import excerpts as X, identity as ID, similar as SM
 from opinara.plans import catalogue
+from opinara.streaming import runs as R
 
 
 def _plan(frame) -> str:
@@ -68,3 +70,52 @@ def test_fields_are_read_over_all_partitions(spark):
     found = ID.find_items(posts)
     assert found.rdd.getNumPartitions() == 4
     assert {(r["items"][0]["name"], r["items"][0]["price"]) for r in found.collect()} == {("抹茶千層", 59)}
+
+
+def test_stream_sends_few_messages_to_its_state(monkeypatch):
+    """A message for each row, or three, made the stream's time."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.of = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "get":
+                    return list(self.of)
+                self.of = [] if name == "clear" else [*self.of, *args[0]] if name == "appendList" else [*self.of, args[0]] if name == "appendValue" else list(args[0])
+                return None
+
+            return call
+
+    class Head(State):
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "get":
+                    return self.of or None
+                self.of = () if name == "clear" else args[0]
+
+            return call
+
+    class Handle:
+        getListState, getMapState, getValueState = (lambda *_: State()), (lambda *_: State()), (lambda *_: Head())
+        registerTimer = staticmethod(lambda at: calls.append("timer"))
+
+    class Timer:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    runs = R.Runs(["u"], 10_000_000)
+    runs.init(Handle)
+    rows = pd.DataFrame({"at": [k * 1_000_000 for k in range(500)], "ord": range(500), "who": ["a" if k < 250 else "b" for k in range(500)], "tag": "→", "text": "x"})
+    assert list(runs.handleInputRows((7,), iter([rows[250:], rows[:250]]), Timer(0))) == []
+    first = pd.concat(list(runs.handleExpiredTimer((7,), Timer(300_000), None)))
+    second = pd.concat(list(runs.handleExpiredTimer((7,), Timer(900_000), None)))
+    assert [tuple(r) for r in pd.concat([first, second]).itertuples(index=False)] == [(7, "a", 250, 0, 0, "→", "x" * 250), (7, "b", 250, 250_000_000, 250, "→", "x" * 250)]
+    assert len(calls) < 30
